@@ -1,19 +1,19 @@
 """Technical indicators, returns and targets of daily bars, for all symbols at once.
 
-Each ``with_*`` function adds columns over one shared window; :func:`over_series` gives
-the frame to run them on.  Chained together they plan as one exchange and one sort.
+An indicator is a function of the shared window and gives its columns in layers;
+:func:`over_series` runs any number of them on one exchange and one sort.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marketframe.operators import series
 from marketframe.operators.windows import (
-    abs_dev, block_rows, change, ema_reach, frame, log_ratio, rolling, with_ema, with_rolling_corr)
+    Layers, abs_dev, block_rows, change, ema, ema_reach, frame, log_ratio, rolling, rolling_corr, with_layers)
 
 KEYS = ["symbol"]
 ORDER = "date"
@@ -24,131 +24,117 @@ EMA_SPAN, MACD_FAST, MACD_SLOW, MACD_SIGNAL = 50, 12, 26, 9
 REACH = ema_reach(EMA_SPAN) + 64
 BLOCK = block_rows([EMA_SPAN])
 
-Step = Callable[[DataFrame, WindowSpec], DataFrame]
+Indicator = Callable[[WindowSpec], Layers]
 
 
-def over_series(df: DataFrame, *steps: Step, before: int = REACH, after: int = 0, keys: list[str] = KEYS,
+def over_series(df: DataFrame, *indicators: Indicator, before: int = REACH, after: int = 0, keys: list[str] = KEYS,
                 order: str = ORDER, chunk_rows: int = series.CHUNK_ROWS) -> DataFrame:
-    """Run ``steps`` over each symbol's bars in date order."""
-    out = series.chunked(df, keys, order, before, after, chunk_rows, BLOCK)
+    """Add the indicators to each symbol's bars in date order."""
+    rows = series.chunked(df, keys, order, before, after, chunk_rows, BLOCK)
     w = series.chunk_window(keys)
-    for step in steps:
-        out = step(out, w)
-    return series.own_rows(out)
+    return series.own_rows(with_layers(rows, *[i(w) for i in indicators]))
 
 
-def with_moving_averages(df: DataFrame, w: WindowSpec) -> DataFrame:
-    return df.withColumns({f"sma_{n}": rolling("mean", F.col("close"), n, w) for n in (50, 100)})
+def moving_averages(w: WindowSpec) -> Layers:
+    return [{f"sma_{n}": rolling("mean", F.col("close"), n, w) for n in (50, 100)}]
 
 
-def with_ema_50(df: DataFrame, w: WindowSpec, keys: list[str] = KEYS) -> DataFrame:
-    return with_ema(df, keys, {"ema_50": ("close", EMA_SPAN)}, BLOCK)
+def ema_50(w: WindowSpec) -> Layers:
+    return ema(KEYS, {"ema_50": (F.col("close"), EMA_SPAN)}, BLOCK)
 
 
-def with_momentum(df: DataFrame, w: WindowSpec) -> DataFrame:
-    return df.withColumns({f"momentum_{n}": change(F.col("close"), n, w) for n in (30, 60)})
+def macd(w: WindowSpec) -> Layers:
+    close = F.col("close")
+    averages = ema(KEYS, {"_fast": (close, MACD_FAST), "_slow": (close, MACD_SLOW)}, BLOCK)
+    line = F.col("_fast") - F.col("_slow")
+    local, signal = ema(KEYS, {"macd_signal": (line, MACD_SIGNAL)}, BLOCK)
+    return [*averages, {"macd": line, **local}, signal, {"macd_hist": F.col("macd") - F.col("macd_signal")}]
 
 
-def with_macd(df: DataFrame, w: WindowSpec, keys: list[str] = KEYS) -> DataFrame:
-    return _macd_of(with_ema(df, keys, {"_fast": ("close", MACD_FAST), "_slow": ("close", MACD_SLOW)}, BLOCK), keys)
+def momentum(w: WindowSpec) -> Layers:
+    return [{f"momentum_{n}": change(F.col("close"), n, w) for n in (30, 60)}]
 
 
-def _macd_of(df: DataFrame, keys: list[str]) -> DataFrame:
-    df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    df = with_ema(df, keys, {"macd_signal": ("macd", MACD_SIGNAL)}, BLOCK)
-    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
-
-
-def with_averages_and_macd(df: DataFrame, w: WindowSpec, keys: list[str] = KEYS) -> DataFrame:
-    """EMA 50 and MACD with the three price averages in one pass."""
-    df = with_ema(df, keys, {"ema_50": ("close", EMA_SPAN), "_fast": ("close", MACD_FAST),
-                             "_slow": ("close", MACD_SLOW)}, BLOCK)
-    return _macd_of(df, keys)
-
-
-def with_directional_moves(df: DataFrame, w: WindowSpec, previous_close: bool = False) -> DataFrame:
+def directional_moves(w: WindowSpec, previous_close: bool = False, prefix: str = "") -> Layers:
     """Range and directional moves.  By default the range is that of the row alone;
     ``previous_close`` measures it from the close before."""
     anchor = F.lag("close").over(w) if previous_close else F.col("close")
-    up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
-    zero = F.lit(0.0)
-    return df.withColumns({
-        "tr": F.greatest("high", anchor) - F.least("low", anchor), "up_move": up, "down_move": down,
-    }).withColumns({
-        "plus_dm": F.coalesce(F.when((F.col("up_move") > F.col("down_move")) & (F.col("up_move") > 0), F.col("up_move")), zero),
-        "minus_dm": F.coalesce(F.when((F.col("down_move") > F.col("up_move")) & (F.col("down_move") > 0), F.col("down_move")), zero),
-    })
-
-
-def with_adx(df: DataFrame, w: WindowSpec, period: int = 14) -> DataFrame:
+    up, down, zero = F.col(f"{prefix}up_move"), F.col(f"{prefix}down_move"), F.lit(0.0)
+    return [{
+        f"{prefix}tr": F.greatest("high", anchor) - F.least("low", anchor),
+        f"{prefix}up_move": F.col("high") - F.lag("high").over(w),
+        f"{prefix}down_move": F.lag("low").over(w) - F.col("low"),
+    }, {
+        # the first row has no move and counts as 0
+        f"{prefix}plus_dm": F.when((up > down) & (up > 0), up).otherwise(zero),
+        f"{prefix}minus_dm": F.when((down > up) & (down > 0), down).otherwise(zero),
+    }]
+
+
+def adx(w: WindowSpec, period: int = 14, previous_close: bool = False) -> Layers:
     """Average directional index from plain rolling means of the directional moves."""
-    df = df.withColumns({f"_{c}": rolling("mean", F.col(c), period, w) for c in ("tr", "plus_dm", "minus_dm")})
-    df = df.withColumns({"_pdi": 100 * F.try_divide("_plus_dm", "_tr"), "_mdi": 100 * F.try_divide("_minus_dm", "_tr")})
-    dx = F.try_divide(F.abs(F.col("_pdi") - F.col("_mdi")), F.col("_pdi") + F.col("_mdi")) * 100
-    return df.withColumn("_dx", dx).withColumn("adx", rolling("mean", F.col("_dx"), period, w)).drop("_tr", "_plus_dm", "_minus_dm", "_pdi", "_mdi", "_dx")
-
-
-def drop_moves(df: DataFrame, w: WindowSpec) -> DataFrame:
-    return df.drop("tr", "up_move", "down_move", "plus_dm", "minus_dm")
+    moves = directional_moves(w, previous_close, "_")
+    means = {f"_mean{c}": rolling("mean", F.col(c), period, w) for c in ("_tr", "_plus_dm", "_minus_dm")}
+    plus, minus = (100 * F.try_divide(f"_mean_{c}", "_mean_tr") for c in ("plus_dm", "minus_dm"))
+    dx = F.try_divide(F.abs(plus - minus), plus + minus) * 100
+    return [*moves, means, {"_dx": dx}, {"adx": rolling("mean", F.col("_dx"), period, w)}]
 
 
-def with_rsi(df: DataFrame, w: WindowSpec, period: int = 14) -> DataFrame:
+def rsi(w: WindowSpec, period: int = 14) -> Layers:
     """Relative strength from plain rolling means; 100 without losses, NULL without any move."""
-    df = df.withColumn("_delta", F.col("close") - F.lag("close").over(w))
-    delta = F.col("_delta")
-    df = df.withColumns({"_up": F.when(delta.isNotNull(), F.greatest(delta, F.lit(0.0))),
-                         "_down": F.when(delta.isNotNull(), F.greatest(-delta, F.lit(0.0)))})
-    df = df.withColumns({"_up": rolling("mean", F.col("_up"), period, w), "_down": rolling("mean", F.col("_down"), period, w)})
-    up, down = F.col("_up"), F.col("_down")
-    return df.withColumn("rsi", F.when(down > 0, 100.0 - 100.0 / (1.0 + F.try_divide(up, down))).when(
-        up > 0, F.lit(100.0))).drop("_up", "_down", "_delta")
+    delta, up, down = F.col("_delta"), F.col("_up"), F.col("_down")
+    gain, loss = (F.when(delta.isNotNull(), F.greatest(d, F.lit(0.0))) for d in (delta, -delta))
+    value = F.when(down > 0, 100.0 - 100.0 / (1.0 + F.try_divide(up, down))).when(up > 0, F.lit(100.0))
+    return [{"_delta": F.col("close") - F.lag("close").over(w)},
+            {"_up": rolling("mean", gain, period, w), "_down": rolling("mean", loss, period, w)}, {"rsi": value}]
 
 
-def with_bands(df: DataFrame, w: WindowSpec, n: int = 20) -> DataFrame:
+def bands(w: WindowSpec, n: int = 20) -> Layers:
     close, mid, dev = F.col("close"), F.col("_mid"), F.col("_dev")
-    df = df.withColumns({"_mid": rolling("mean", close, n, w), "_dev": rolling("std", close, n, w)})
-    return df.withColumns({"upper_band": mid + dev * 2, "lower_band": mid - dev * 2}).drop("_mid", "_dev")
+    return [{"_mid": rolling("mean", close, n, w), "_dev": rolling("std", close, n, w)},
+            {"upper_band": mid + dev * 2, "lower_band": mid - dev * 2}]
 
 
-def with_log_return(df: DataFrame, w: WindowSpec) -> DataFrame:
-    return df.withColumn("log_return_1", log_ratio(F.col("close"), F.lag("close").over(w)))
+def log_return(w: WindowSpec) -> Layers:
+    return [{"log_return_1": log_ratio(F.col("close"), F.lag("close").over(w))}]
 
 
-def with_future_return(df: DataFrame, w: WindowSpec, horizon_rows: int) -> DataFrame:
-    return df.withColumn("log_return_future", log_ratio(F.lead("close", horizon_rows).over(w), F.col("close")))
+def future_return(horizon_rows: int) -> Indicator:
+    return lambda w: [{"log_return_future": log_ratio(F.lead("close", horizon_rows).over(w), F.col("close"))}]
 
 
 def with_target(df: DataFrame) -> DataFrame:
     return df.withColumn("target", (F.col("log_return_future") > 0).cast("int"))
 
 
-def with_volatility(df: DataFrame, w: WindowSpec) -> DataFrame:
-    return df.withColumn("rolling_volatility_60", rolling("std", F.col("log_return_1"), 60, w))
+def volatility(w: WindowSpec) -> Layers:
+    """Needs log_return_1 as a column."""
+    return [{"rolling_volatility_60": rolling("std", F.col("log_return_1"), 60, w)}]
 
 
-def with_index_correlation(df: DataFrame, w: WindowSpec) -> DataFrame:
-    """Correlation of the symbol's return with the index return one row earlier."""
-    df = df.withColumns({f"_{i}": F.lag(f"{i}_return").over(w) for i in ("sp500", "nasdaq")})
-    return with_rolling_corr(df, w, 60, {
-        f"corr_{i}_60": ("log_return_1", f"_{i}") for i in ("sp500", "nasdaq")}).drop("_sp500", "_nasdaq")
+def index_correlation(w: WindowSpec) -> Layers:
+    """Correlation of log_return_1 with the index returns one row earlier."""
+    names = ("sp500", "nasdaq")
+    return [{f"_{i}": F.lag(f"{i}_return").over(w) for i in names},
+            *rolling_corr(w, 60, {f"corr_{i}_60": ("log_return_1", f"_{i}") for i in names})]
 
 
-def with_stochastic(df: DataFrame, w: WindowSpec) -> DataFrame:
-    low, high = F.col("_low"), F.col("_high")
-    df = df.withColumns({"_low": rolling("min", F.col("low"), 14, w), "_high": rolling("max", F.col("high"), 14, w)})
-    df = df.withColumn("pct_k", F.try_divide(F.col("close") - low, high - low) * 100).drop("_low", "_high")
-    return df.withColumn("pct_d", rolling("mean", F.col("pct_k"), 3, w))
+def stochastic(w: WindowSpec) -> Layers:
+    low, high = F.col("_low_14"), F.col("_high_14")
+    return [{"_low_14": rolling("min", F.col("low"), 14, w), "_high_14": rolling("max", F.col("high"), 14, w)},
+            {"pct_k": F.try_divide(F.col("close") - low, high - low) * 100},
+            {"pct_d": rolling("mean", F.col("pct_k"), 3, w)}]
 
 
-def with_cci(df: DataFrame, w: WindowSpec, n: int = 20) -> DataFrame:
-    df = df.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
-    df = df.withColumns({"_mean": rolling("mean", F.col("_tp"), n, w), "_list": F.collect_list("_tp").over(frame(w, n))})
-    dev = abs_dev(F.col("_list"), F.col("_mean")) / n
-    return df.withColumn("cci", F.try_divide(F.col("_tp") - F.col("_mean"), F.lit(0.015) * dev)).drop("_tp", "_mean", "_list")
+def cci(w: WindowSpec, n: int = 20) -> Layers:
+    typical, mean = (F.col("high") + F.col("low") + F.col("close")) / 3, F.col("_tp_mean")
+    dev = abs_dev(F.col("_tps"), mean) / n
+    return [{"_tp_mean": rolling("mean", typical, n, w), "_tps": F.collect_list(typical).over(frame(w, n))},
+            {"cci": F.try_divide(typical - mean, F.lit(0.015) * dev)}]
 
 
-def with_lags(df: DataFrame, w: WindowSpec, cols: list[str], steps: tuple[int, ...] = (1, 7, 30)) -> DataFrame:
-    return df.withColumns({f"{c}_lag_{n}": F.lag(c, n).over(w) for c in cols for n in steps})
+def lags(cols: list[str], steps: tuple[int, ...] = (1, 7, 30)) -> Indicator:
+    return lambda w: [{f"{c}_lag_{n}": F.lag(c, n).over(w) for c in cols for n in steps}]
 
 
 def with_percent_return(df: DataFrame, keys: list[str], tolerance_days: int, out: str) -> DataFrame:
@@ -156,7 +142,6 @@ def with_percent_return(df: DataFrame, keys: list[str], tolerance_days: int, out
 
     For index and sector series: one row per key and calendar day, so a key is small.
     """
-    from pyspark.sql import Window
     w = Window.partitionBy(*keys).orderBy("date")
     prev = F.lag("close").over(w)
     near = F.date_diff(F.col("date"), F.lag("date").over(w)) <= tolerance_days

@@ -9,10 +9,26 @@ from pyspark.sql import functions as F
 
 from marketframe.operators import series
 
+# Columns by depth: each layer reads the rows and the layers before it.
+Layers = list[dict[str, Column]]
+
 # weight below which an older value cannot change a double
 _NEGLIGIBLE = 1e-18
 
 
+def with_layers(df: DataFrame, *parts: Layers) -> DataFrame:
+    """Add the columns of all parts, layer by layer, and drop those named with a leading underscore.
+
+    Equal layers of different parts go into one projection, so that they share one Window
+    operator.  Spark evaluates a window expression again wherever it is repeated, hence a value
+    that is used twice is a column of its own.
+    """
+    for depth in range(max(map(len, parts))):
+        df = df.withColumns({n: c for p in parts if len(p) > depth for n, c in p[depth].items()})
+    inner = {n for p in parts for layer in p for n in layer if n.startswith("_")}
+    return df.drop(*inner)
+
+
 def frame(w: WindowSpec, n: int) -> WindowSpec:
     return w.rowsBetween(-(n - 1), Window.currentRow)
 
@@ -28,31 +44,29 @@ def rolling(how: str, x: Column, n: int, w: WindowSpec) -> Column:
     return full(x, n, w, agg(x).over(frame(w, n)))
 
 
-def with_rolling_corr(df: DataFrame, w: WindowSpec, n: int, specs: dict[str, tuple[str, str]]) -> DataFrame:
+def rolling_corr(w: WindowSpec, n: int, specs: dict[str, tuple[str, str]]) -> Layers:
     """Correlation of the last n pairs per output name; NULL when a side is constant or a value is missing.
 
     Built from plain sums: they slide several times faster than the covariance aggregates.
-    Each sum is a column of its own, since Spark evaluates a repeated window expression again.
     """
     f = frame(w, n)
     sums: dict[str, Column] = {}
     for x, y in specs.values():
         paired = F.col(x) * F.col(y)
-        for name, c in ((x, F.col(x)), (y, F.col(y))):
-            sums[f"_s_{name}"] = F.sum(c).over(f)
-            sums[f"_ss_{name}"] = F.sum(c * c).over(f)
-        sums[f"_sp_{x}_{y}"] = F.sum(paired).over(f)
-        sums[f"_n_{x}_{y}"] = F.count(paired).over(f)
-    df = df.withColumns(sums)
+        for c in (x, y):
+            sums[f"_sum_{c}"] = F.sum(c).over(f)
+            sums[f"_sq_{c}"] = F.sum(F.col(c) * F.col(c)).over(f)
+        sums[f"_prod_{x}_{y}"] = F.sum(paired).over(f)
+        sums[f"_pairs_{x}_{y}"] = F.count(paired).over(f)
     out = {}
     for name, (x, y) in specs.items():
-        sx, sy, sxx, syy = (F.col(f"_{k}_{c}") for k, c in (("s", x), ("s", y), ("ss", x), ("ss", y)))
+        sx, sy, sxx, syy = (F.col(f"_{k}_{c}") for k, c in (("sum", x), ("sum", y), ("sq", x), ("sq", y)))
         vx, vy = n * sxx - sx * sx, n * syy - sy * sy
         # the bound is what rounding alone can leave of a constant side
         varies = (vx > 1e-12 * n * sxx) & (vy > 1e-12 * n * syy)
-        out[name] = F.when((F.col(f"_n_{x}_{y}") == n) & varies,
-                           (n * F.col(f"_sp_{x}_{y}") - sx * sy) / F.sqrt(vx * vy))
-    return df.withColumns(out).drop(*sums)
+        out[name] = F.when((F.col(f"_pairs_{x}_{y}") == n) & varies,
+                           (n * F.col(f"_prod_{x}_{y}") - sx * sy) / F.sqrt(vx * vy))
+    return [sums, out]
 
 
 def abs_dev(values: Column, mean: Column) -> Column:
@@ -87,16 +101,16 @@ def block_rows(spans: list[int]) -> int:
     return max(series.BLOCK_ROWS, math.ceil(max(ema_reach(s) for s in spans) / 4))
 
 
-def with_ema(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, int]], block: int) -> DataFrame:
+def ema(keys: list[str], specs: dict[str, tuple[Column, int]], block: int) -> Layers:
     """Exponential averages e[t] = (1-a) e[t-1] + a x[t], e[first] = x[first], a = 2/(span+1).
 
-    ``specs`` maps an output name to (non-null input column, span >= 2).  ``df`` comes from
+    ``specs`` maps an output name to (non-null value, span >= 2).  The rows come from
     :func:`series.chunked` with that ``block`` and ``before`` >= the longest reach.
     Inside a block the recursion is a scaled running sum; the tails of the few
     earlier blocks that still carry weight are added on top.
     """
-    pos, blk = F.col(series.POS), F.col(series.BLOCK)
-    k = (pos - blk * block).cast("double")
+    pos = F.col(series.POS)
+    k = (pos - F.col(series.BLOCK) * block).cast("double")
     in_block = Window.partitionBy(*keys, series.CHUNK, series.BLOCK).orderBy(series.POS) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     by_block = Window.partitionBy(*keys, series.CHUNK).orderBy(series.BLOCK)
@@ -106,11 +120,11 @@ def with_ema(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, int]],
             raise ValueError("span must be at least 2")
         a = 2 / (span + 1)
         q = 1 - a
-        c = F.when(pos == 0, F.col(x)).otherwise(F.lit(a) * F.col(x))
+        c = F.when(pos == 0, x).otherwise(F.lit(a) * x)
         local[f"_loc_{out}"] = F.sum(c * F.pow(F.lit(q), -k)).over(in_block) * F.pow(F.lit(q), k)
         e = F.col(f"_loc_{out}")
         for j in range(1, math.ceil(ema_reach(span) / block) + 1):
             tail = F.max(F.when(k == block - 1, F.col(f"_loc_{out}"))).over(by_block.rangeBetween(-j, -j))
             e = e + F.coalesce(tail, F.lit(0.0)) * F.pow(F.lit(q), k + 1 + block * (j - 1))
         total[out] = e
-    return df.withColumns(local).withColumns(total).drop(*local)
+    return [local, total]

@@ -9,6 +9,7 @@ from marketframe.operators import indicators as ind
 from marketframe.operators import series
 from marketframe.operators.landing import land
 from marketframe.operators.select import stationarity_of_pairs
+from marketframe.operators.windows import with_layers
 from marketframe.schemas import FEATURE_SETS
 
 LAGGED = {
@@ -40,7 +41,7 @@ def feature_table(stock: DataFrame, horizon_rows: int, feature_set: str = "basic
     rows = land(clean_bars(stock)) if difference else clean_bars(stock)
     out = series.chunked(rows, keys, ind.ORDER, ind.REACH, horizon_rows, chunk_rows, ind.BLOCK)
     w = series.chunk_window(keys)
-    out = ind.with_log_return(ind.with_future_return(out, w, horizon_rows), w)
+    out = with_layers(out, ind.future_return(horizon_rows)(w), ind.log_return(w))
     if difference:
         out = out.withColumn("_before", F.lag("log_return_1").over(w))
         closed = out.filter(F.col(series.OWN) & F.col("log_return_future").isNotNull())
@@ -48,14 +49,13 @@ def feature_table(stock: DataFrame, horizon_rows: int, feature_set: str = "basic
         out = out.join(flags, keys, "left").withColumn("log_return_1", F.when(
             F.coalesce("stationary", F.lit(True)), F.col("log_return_1")).otherwise(
             F.col("log_return_1") - F.col("_before"))).drop("stationary", "_before")
-    for step in (ind.with_moving_averages, ind.with_averages_and_macd, ind.with_momentum, ind.with_directional_moves,
-                 ind.with_adx, ind.drop_moves, ind.with_rsi, ind.with_bands, ind.with_volatility,
-                 ind.with_index_correlation, ind.with_stochastic, ind.with_cci):
-        out = step(out, w)
+    parts = [ind.moving_averages, ind.ema_50, ind.macd, ind.momentum, ind.adx, ind.rsi, ind.bands, ind.volatility,
+             ind.index_correlation, ind.stochastic, ind.cci]
     if lags:
-        out = ind.with_lags(out, w, [c for c in LAGGED[feature_set] if c in out.columns])
+        parts.append(ind.lags([c for c in LAGGED[feature_set] if c in out.columns]))
         if feature_set == "advanced" and "sentiment_score" in out.columns:
-            out = ind.with_lags(out, w, ["sentiment_score"], (1,))
+            parts.append(ind.lags(["sentiment_score"], (1,)))
+    out = with_layers(out, *[p(w) for p in parts])
     # rows whose future is still open lie at the end of a series, so no frame of a kept row reaches them
     out = ind.with_target(series.own_rows(out))
     names = [c for c in FEATURE_SETS[feature_set] if c in out.columns]

@@ -136,8 +136,8 @@ def _w1(t):
 @query("w2_lead_lag", f"""
 SELECT symbol, date, {_lag('close', 1)} AS lag_1, {_lag('close', 30)} AS lag_30, lead(close, 5) OVER ({_W}) AS lead_5 FROM bars""")
 def _w2(t):
-    rows = ind.over_series(t.bars, lambda d, w: d.withColumns({
-        "lag_1": F.lag("close", 1).over(w), "lag_30": F.lag("close", 30).over(w), "lead_5": F.lead("close", 5).over(w)}),
+    rows = ind.over_series(t.bars, lambda w: [{
+        "lag_1": F.lag("close", 1).over(w), "lag_30": F.lag("close", 30).over(w), "lead_5": F.lead("close", 5).over(w)}],
         before=30, after=5)
     return rows.select(*KEY, "lag_1", "lag_30", "lead_5")
 
@@ -145,15 +145,15 @@ def _w2(t):
 @query("w3_rolling", f"SELECT symbol, date, {', '.join(sql_rnd(_roll(f, 'close', 20)) + ' AS ' + n for f, n in (('avg', 'r_mean'), ('stddev_samp', 'r_std'), ('min', 'r_min'), ('max', 'r_max'), ('sum', 'r_sum')))} FROM bars")
 def _w3(t):
     names = ("mean", "std", "min", "max", "sum")
-    rows = ind.over_series(t.bars, lambda d, w: d.withColumns(
-        {f"r_{h}": windows.rolling(h, F.col("close"), 20, w) for h in names}), before=19)
+    rows = ind.over_series(t.bars, lambda w: [
+        {f"r_{h}": windows.rolling(h, F.col("close"), 20, w) for h in names}], before=19)
     return rows.select(*KEY, *[rnd(f"r_{h}").alias(f"r_{h}") for h in names])
 
 
 @query("w4_rolling_corr", f"SELECT symbol, date, {sql_rnd(_corr('close', 'volume', 60))} AS corr_60 FROM bars")
 def _w4(t):
-    rows = ind.over_series(t.bars, lambda d, w: windows.with_rolling_corr(
-        d, w, 60, {"corr_60": ("close", "volume")}), before=59)
+    rows = ind.over_series(t.bars, lambda w: windows.rolling_corr(
+        w, 60, {"corr_60": ("close", "volume")}), before=59)
     return rows.select(*KEY, rnd("corr_60").alias("corr_60"))
 
 
@@ -161,8 +161,8 @@ def _w4(t):
 SELECT symbol, date, {sql_rnd("CASE WHEN n = 20 THEN list_sum(list_transform(l, lambda v: abs(v - m))) / 20 END")} AS mad_20
 FROM (SELECT symbol, date, count(close) {_over(20)} AS n, list(close) {_over(20)} AS l, avg(close) {_over(20)} AS m FROM bars)""")
 def _w5(t):
-    rows = ind.over_series(t.bars, lambda d, w: d.withColumn(
-        "mad_20", windows.rolling_abs_dev(F.col("close"), 20, w)), before=19)
+    rows = ind.over_series(t.bars, lambda w: [
+        {"mad_20": windows.rolling_abs_dev(F.col("close"), 20, w)}], before=19)
     return rows.select(*KEY, rnd("mad_20").alias("mad_20"))
 
 
@@ -191,8 +191,8 @@ rec AS (SELECT symbol, date, rn, close AS ema_2, close AS ema_9, close AS ema_50
     r.ema_50 + (s.close - r.ema_50) * 2 / 51 FROM rec r JOIN src s ON s.symbol = r.symbol AND s.rn = r.rn + 1)
 SELECT symbol, date, {', '.join(f'{sql_rnd(c)} AS {c}' for c in _ema_cols)} FROM rec""")
 def _w7(t):
-    rows = ind.over_series(t.bars, lambda d, w: windows.with_ema(
-        d, ["symbol"], {c: ("close", int(c[4:])) for c in _ema_cols}, ind.BLOCK))
+    rows = ind.over_series(t.bars, lambda w: windows.ema(
+        ["symbol"], {c: (F.col("close"), int(c[4:])) for c in _ema_cols}, ind.BLOCK))
     return rows.select(*KEY, *[rnd(c).alias(c) for c in _ema_cols])
 
 
@@ -217,32 +217,32 @@ def _w9(t):
 
 # -- indicators ------------------------------------------------------------------------------------
 
-_ind_query("t1_moving_averages", ["sma_50", "sma_100"], ind.with_moving_averages, before=99)
-_ind_query("t2_ema_50", ["ema_50"], ind.with_ema_50)
-_ind_query("t3_momentum", ["momentum_30", "momentum_60"], ind.with_momentum, before=60)
-_ind_query("t4_macd", ["macd", "macd_signal", "macd_hist"], ind.with_macd)
-_ind_query("t5_directional_moves", ["tr", "up_move", "down_move", "plus_dm", "minus_dm"], ind.with_directional_moves,
+_ind_query("t1_moving_averages", ["sma_50", "sma_100"], ind.moving_averages, before=99)
+_ind_query("t2_ema_50", ["ema_50"], ind.ema_50)
+_ind_query("t3_momentum", ["momentum_30", "momentum_60"], ind.momentum, before=60)
+_ind_query("t4_macd", ["macd", "macd_signal", "macd_hist"], ind.macd)
+_ind_query("t5_directional_moves", ["tr", "up_move", "down_move", "plus_dm", "minus_dm"], ind.directional_moves,
            before=1, table="ind_2")
-_ind_query("t6_adx", ["adx"], ind.with_directional_moves, ind.with_adx, before=28, n=4)
-_ind_query("t7_rsi", ["rsi"], ind.with_rsi, before=15, n=4)
-_ind_query("t8_bands", ["upper_band", "lower_band"], ind.with_bands, before=19)
-_ind_query("t9_volatility", ["rolling_volatility_60"], ind.with_log_return, ind.with_volatility, before=61)
-_ind_query("t10_index_correlation", ["corr_sp500_60", "corr_nasdaq_60"], ind.with_log_return, ind.with_index_correlation,
+_ind_query("t6_adx", ["adx"], ind.adx, before=28, n=4)
+_ind_query("t7_rsi", ["rsi"], ind.rsi, before=15, n=4)
+_ind_query("t8_bands", ["upper_band", "lower_band"], ind.bands, before=19)
+_ind_query("t9_volatility", ["rolling_volatility_60"], ind.log_return, lambda w: [{}, *ind.volatility(w)], before=61)
+_ind_query("t10_index_correlation", ["corr_sp500_60", "corr_nasdaq_60"], ind.log_return, ind.index_correlation,
            before=61, source=_with_index)
-_ind_query("t11_stochastic", ["pct_k", "pct_d"], ind.with_stochastic, before=16)
-_ind_query("t12_cci", ["cci"], ind.with_cci, before=19, n=4)
-_ind_query("t13_log_return", ["log_return_1"], ind.with_log_return, before=1)
+_ind_query("t11_stochastic", ["pct_k", "pct_d"], ind.stochastic, before=16)
+_ind_query("t12_cci", ["cci"], ind.cci, before=19, n=4)
+_ind_query("t13_log_return", ["log_return_1"], ind.log_return, before=1)
 
 
 @query("t14_future_return", f"SELECT symbol, date, {sql_rnd('log_return_future')} AS log_return_future FROM ind_2 WHERE log_return_future IS NOT NULL")
 def _t14(t):
-    rows = ind.over_series(t.bars, lambda d, w: ind.with_future_return(d, w, HORIZON), before=0, after=HORIZON)
+    rows = ind.over_series(t.bars, ind.future_return(HORIZON), before=0, after=HORIZON)
     return rows.filter("log_return_future IS NOT NULL").select(*KEY, rnd("log_return_future").alias("log_return_future"))
 
 
 @query("t15_target", "SELECT symbol, date, CAST(log_return_future > 0 AS INT) AS target FROM ind_2 WHERE log_return_future IS NOT NULL")
 def _t15(t):
-    rows = ind.over_series(t.bars, lambda d, w: ind.with_future_return(d, w, HORIZON), before=0, after=HORIZON)
+    rows = ind.over_series(t.bars, ind.future_return(HORIZON), before=0, after=HORIZON)
     return ind.with_target(rows.filter("log_return_future IS NOT NULL")).select(*KEY, "target")
 
 
@@ -285,7 +285,7 @@ SELECT symbol, date, sum(log_return_1) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS l
 
 def _level_rows(t):
     """For symbols past Brand#2 a random walk, for the others the sum of returns, which stays near the log price."""
-    r = ind.over_series(t.bars, ind.with_log_return, before=1).filter("log_return_1 IS NOT NULL")
+    r = ind.over_series(t.bars, ind.log_return, before=1).filter("log_return_1 IS NOT NULL")
     walk = F.when(F.day("date") % 2 == 0, 1).otherwise(-1) * (F.col("close") / 10000)
     r = r.withColumn("step", F.when(F.col("symbol") > "Brand#2", walk).otherwise(F.col("log_return_1")))
     r = r.withColumn("bucket", series.time_bucket(r, "date"))
@@ -314,7 +314,7 @@ _lag_cols = ["sp500_return", "nasdaq_return", "gdp_growth"]
     f"{sql_rnd(_lag(c, n))} AS {c}_lag_{n}" for c in _lag_cols for n in (1, 7, 30)) + " FROM basic_rows")
 def _t19(t):
     rows = ind.over_series(basic_stock_data(t.bars, t.index_bars, t.macro),
-                           lambda d, w: ind.with_lags(d, w, _lag_cols), before=30)
+                           ind.lags(_lag_cols), before=30)
     return rows.select(*KEY, *[rnd(f"{c}_lag_{n}").alias(f"{c}_lag_{n}") for c in _lag_cols for n in (1, 7, 30)])
 
 
