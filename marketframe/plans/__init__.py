@@ -1,4 +1,4 @@
-from marketframe.plans import indicator_queries  # noqa: F401
+from marketframe.plans import indicator_queries, join_queries, table_queries  # noqa: F401
 from marketframe.plans.catalog import CATALOG
 from marketframe.plans.inputs import Inputs
 
