@@ -76,25 +76,22 @@ def feature_pairs(df: DataFrame, line: str) -> DataFrame:
                             "numeric_value": value.try_cast("double")}).drop("_p")
 
 
-def bullet_fields(line: Column) -> dict[str, Column]:
-    """Name, value, number and description of "- **Name:** value - description"; all of it
-    is the description when there is no colon."""
-    text = F.trim(F.replace(F.regexp_replace(line, "^[- ]+", ""), F.lit("**"), F.lit("")))
-    colon = F.instr(text, ":")
-    name = F.when(colon > 0, F.trim(F.substring_index(text, ":", 1))).otherwise("")
-    rest = F.when(colon > 0, F.substr(text, colon + 1)).otherwise("")
-    dash = F.instr(rest, "-")
-    value = F.trim(F.when(dash > 0, F.substring_index(rest, "-", 1)).otherwise(rest))
-    number = F.regexp_extract(value, NUMBER, 0).try_cast("double")
-    tail = F.when(dash > 0, F.trim(F.substr(rest, dash + 1))).otherwise("")
-    return {"name": name, "value": value, "numeric_value": number,
-            "description": F.when(colon > 0, tail).otherwise(text)}
-
-
 def bullets(df: DataFrame, items: str) -> DataFrame:
-    """One row per bullet line of an array column."""
-    out = df.withColumn("_line", F.explode(items))
-    return out.withColumns(bullet_fields(F.col("_line"))).drop("_line", items)
+    """One row per bullet line "- **Name:** value - description" of an array column; a line
+    without a colon is all description."""
+    rows = df.withColumn("_line", F.explode(items))
+    rows = rows.withColumn("_text", F.trim(F.replace(F.regexp_replace("_line", "^[- ]+", ""), F.lit("**"), F.lit(""))))
+    # [before the first colon, after it], then [before the first dash, after it]
+    rows = rows.withColumn("_c", F.split("_text", ":", 2))
+    rows = rows.withColumn("_d", F.split(F.coalesce(F.get("_c", F.lit(1)), F.lit("")), "-", 2))
+    named = F.size("_c") > 1
+    tail = F.trim(F.coalesce(F.get("_d", F.lit(1)), F.lit("")))
+    return rows.withColumns({
+        "name": F.when(named, F.trim(F.get("_c", F.lit(0)))).otherwise(""), "value": F.trim(F.get("_d", F.lit(0))),
+    }).withColumns({
+        "numeric_value": F.regexp_extract("value", NUMBER, 0).try_cast("double"),
+        "description": F.when(named, tail).otherwise(F.col("_text")),
+    }).drop("_line", "_text", "_c", "_d", items)
 
 
 def clean_response(text: Column) -> Column:

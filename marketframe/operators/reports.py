@@ -165,3 +165,15 @@ def external_calls(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
                                field("upordown").alias("up_or_down"), field("predictionexplanation").alias("prediction_explanation"), "k")
     error = F.when(F.col("_m").isNull(), "no JSON object").otherwise("no amount")
     return good, m.filter(~ok).select("model_key", error.alias("error"), F.col("text").alias("input"))
+
+
+def feature_scores(importances: DataFrame) -> DataFrame:
+    """Mean importance of each feature over models."""
+    return importances.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg("importance").alias("score"))
+
+
+def winners_and_losers(trades: DataFrame, n: int = 3) -> DataFrame:
+    def end(kind, order):
+        return trades.orderBy(order, "model_key").limit(n).withColumn("kind", F.lit(kind))
+    r = F.col("strategy_return")
+    return end("winner", r.desc()).unionByName(end("loser", r.asc()))

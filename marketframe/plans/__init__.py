@@ -1,5 +1,5 @@
-from marketframe.plans import indicator_queries, join_queries, table_queries  # noqa: F401
-from marketframe.plans.catalog import CATALOG
+from marketframe.plans import evaluation_queries, indicator_queries, join_queries, table_queries  # noqa: F401
+from marketframe.plans.catalog import CATALOG, oracle
 from marketframe.plans.inputs import Inputs
 
-__all__ = ["CATALOG", "Inputs"]
+__all__ = ["CATALOG", "Inputs", "oracle"]

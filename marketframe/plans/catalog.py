@@ -22,7 +22,7 @@ CATALOG: dict[str, Entry] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        CATALOG[name] = Entry(fn, oracle(sql) if sql else None)
+        CATALOG[name] = Entry(fn, sql)
         return fn
     return register
 

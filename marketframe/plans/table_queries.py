@@ -217,11 +217,11 @@ def _f2(t):
 
 
 @query("f3_math", f"""
-SELECT symbol, date, {sql_rnd('ln(close)')} AS log_close, {sql_rnd('exp(open / 1000)')} AS exp_open, abs(close - open) AS move, CAST(sign(close - open) AS INT) AS side,
+SELECT symbol, date, {sql_rnd('ln(close)')} AS log_close, {sql_rnd('exp(open / 1000000)')} AS exp_open, abs(close - open) AS move, CAST(sign(close - open) AS INT) AS side,
   round(volume * 2) AS doubled, greatest(open, close) AS top, least(open, close) AS bottom, greatest(close - open, 0) AS gain FROM bars""")
 def _f3(t):
     diff = F.col("close") - F.col("open")
-    return t.bars.select(*KEY, rnd(F.ln("close")).alias("log_close"), rnd(F.exp(F.col("open") / 1000)).alias("exp_open"),
+    return t.bars.select(*KEY, rnd(F.ln("close")).alias("log_close"), rnd(F.exp(F.col("open") / 1000000)).alias("exp_open"),
                          F.abs(diff).alias("move"), F.signum(diff).cast("int").alias("side"), F.round(F.col("volume") * 2).alias("doubled"),
                          F.greatest("open", "close").alias("top"), F.least("open", "close").alias("bottom"),
                          F.greatest(diff, F.lit(0.0)).alias("gain"))
