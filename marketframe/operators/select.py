@@ -81,12 +81,23 @@ def scaler(rows: DataFrame, features: list[str], keys: list[str] = KEYS) -> Data
 
 
 def scaled(rows: DataFrame, fitted: DataFrame, features: list[str], keys: list[str] = KEYS) -> DataFrame:
-    joined = rows.join(fitted, keys) if keys else rows.crossJoin(F.broadcast(fitted))
-    return joined.withColumns(
+    return rows.join(fitted, keys).withColumns(
         {c: (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std") for c in features}
     ).drop(*[f"{c}_{s}" for c in features for s in ("mean", "std")])
 
 
+def correlated_features(rows: DataFrame, features: list[str], keys: list[str] = KEYS, threshold: float = 0.95) -> DataFrame:
+    """Per key and feature: whether an earlier feature correlates with it above ``threshold``.
+
+    Features are scaled first, so that the sums of products do not cancel.
+    """
+    from marketframe.operators.gram import correlations, moments
+    complete = rows.select(*keys, *features).na.drop()
+    pairs = correlations(moments(scaled(complete, scaler(complete, features, keys), features, keys), features, keys), features, keys)
+    return pairs.groupBy(*keys, F.col("later").alias("feature")).agg(
+        F.coalesce(F.bool_or(F.abs("corr") > threshold), F.lit(False)).alias("dropped"))
+
+
 def category_codes(rows: DataFrame, column: str) -> DataFrame:
     """Code of each distinct value in sorted order from 0; fit on training rows, join anywhere.
 

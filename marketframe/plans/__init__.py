@@ -1,4 +1,5 @@
-from marketframe.plans import evaluation_queries, indicator_queries, join_queries, table_queries  # noqa: F401
+from marketframe.plans import (  # noqa: F401
+    evaluation_queries, indicator_queries, join_queries, model_queries, table_queries)
 from marketframe.plans.catalog import CATALOG, oracle
 from marketframe.plans.inputs import Inputs
 

@@ -318,15 +318,15 @@ def _t19(t):
     return rows.select(*KEY, *[rnd(f"{c}_lag_{n}").alias(f"{c}_lag_{n}") for c in _lag_cols for n in (1, 7, 30)])
 
 
-_T20 = [c for c in BASIC_FEATURES if "_lag_" not in c]
-_T20_FLAGS = _DF.format(y="log_return_1", lag=_lag("log_return_1"), src="(SELECT * FROM feat_2 WHERE log_return_future IS NOT NULL)")
+T20_NAMES = [c for c in BASIC_FEATURES if "_lag_" not in c]
+T20_FLAGS = _DF.format(y="log_return_1", lag=_lag("log_return_1"), src="(SELECT * FROM feat_2 WHERE log_return_future IS NOT NULL)")
 
 
 # returns of all symbols pass the test, so log_return_1 stays as it is; the flags are still computed
 @query("t20_feature_table", f"""
-SELECT symbol, date, {', '.join(f'{sql_rnd(c, 4)} AS {c}' for c in _T20 + ['log_return_1', 'log_return_future'])},
-  CAST(log_return_future > 0 AS INT) AS target FROM feat_all JOIN ({_T20_FLAGS}) f USING (symbol)
-WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _T20 + ['log_return_1', 'log_return_future'])} AND t_stat < -2.86""")
+SELECT symbol, date, {', '.join(f'{sql_rnd(c, 4)} AS {c}' for c in T20_NAMES + ['log_return_1', 'log_return_future'])},
+  CAST(log_return_future > 0 AS INT) AS target FROM feat_all JOIN ({T20_FLAGS}) f USING (symbol)
+WHERE {' AND '.join(f'{c} IS NOT NULL' for c in T20_NAMES + ['log_return_1', 'log_return_future'])} AND t_stat < -2.86""")
 def _t20(t):
     rows = feature_table(land(basic_stock_data(t.bars, t.index_bars, t.macro)), HORIZON)
-    return rows.select(*KEY, *[rnd(c, 4).alias(c) for c in _T20 + ["log_return_1", "log_return_future"]], "target")
+    return rows.select(*KEY, *[rnd(c, 4).alias(c) for c in T20_NAMES + ["log_return_1", "log_return_future"]], "target")
