@@ -18,28 +18,32 @@ NUMBER = r"[\d.]+"
 FENCE = r"^```json\s*|\s*```$"
 KEY_JUNK = "[^a-zA-Z0-9 ]"
 
+# marks where a text is cut; taken out of the text first
+_CUT = "\x01"
+
 
 def explanation_lines(df: DataFrame, text: str = "explanation") -> DataFrame:
     """Column ``lines``: the non-empty lines of each text, each with the section it is in.
 
-    Stays within the row: a heading's section reaches to the next heading in the same array.
+    The text is cut at its headings into blocks, then each block into lines: one pass, within the row.
     """
-    heading = F.lit(None).cast("string")
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
-
-    def section_of(line: Column) -> Column:
-        c = heading
-        for head, name in reversed(HEADINGS.items()):
-            c = F.when(line.startswith(head), F.lit(name)).otherwise(c)
+    names = "|".join(h.strip("*:") for h in HEADINGS)
+    plain = F.concat(F.lit("\n"), F.translate(text, _CUT, ""))
+    blocks = F.split(F.regexp_replace(plain, rf"\n[ \t\r]*(\*\*(?:{names}):\*\*)[^\n]*", rf"{_CUT}$1"), _CUT)
+
+    def section_of(block: Column) -> Column:
+        c = F.lit(None).cast("string")
+        for head, name in HEADINGS.items():
+            c = F.when(block.startswith(head), F.lit(name)).otherwise(c)
         return c
 
-    marked = df.withColumn("_all", F.transform(lines, lambda x, i: F.struct(
-        i.alias("i"), x.alias("line"), section_of(x).alias("head"))))
-    marked = marked.withColumn("_heads", F.filter("_all", lambda x: x["head"].isNotNull()))
-    plain = F.filter("_all", lambda x: x["head"].isNull())
-    return marked.withColumn("lines", F.transform(plain, lambda x: F.struct(
-        x["i"].alias("i"), x["line"].alias("line"),
-        F.try_element_at(F.filter("_heads", lambda h: h["i"] < x["i"]), F.lit(-1))["head"].alias("section")))).drop("_all", "_heads")
+    def lines_of(block: Column) -> Column:
+        # the first line of a block is its heading, or empty before the first heading
+        rest = F.filter(F.split(block, "\n"), lambda x, i: i > 0)
+        kept = F.filter(F.transform(rest, lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
+        return F.transform(kept, lambda x: F.struct(x.alias("line"), section_of(block).alias("section")))
+
+    return df.withColumn("lines", F.flatten(F.transform(blocks, lines_of)))
 
 
 def explanation_sections(df: DataFrame) -> DataFrame:

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def land(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back from there.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only a local
-    session that names none gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``.  Only a local session that names
+    none gets one of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if shared is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="marketframe-"))
+    return sc.getCheckpointDir()
+
+
+def land(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
