@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from marketframe.operators import series
 from marketframe.operators.windows import (
-    Layers, abs_dev, block_rows, change, ema, ema_reach, frame, log_ratio, rolling, rolling_corr, with_layers)
+    Layers, abs_dev, block_rows, change, ema, ema_reach, frame, log_ratio, long_mean, long_std, rolling, rolling_corr,
+    running_sums, with_layers)
 
 KEYS = ["symbol"]
 ORDER = "date"
@@ -36,7 +37,8 @@ def over_series(df: DataFrame, *indicators: Indicator, before: int = REACH, afte
 
 
 def moving_averages(w: WindowSpec) -> Layers:
-    return [{f"sma_{n}": rolling("mean", F.col("close"), n, w) for n in (50, 100)}]
+    return [running_sums(KEYS, {"close": F.col("close")}),
+            {f"sma_{n}": long_mean("close", n, KEYS, BLOCK, w) for n in (50, 100)}]
 
 
 def ema_50(w: WindowSpec) -> Layers:
@@ -108,15 +110,15 @@ def with_target(df: DataFrame) -> DataFrame:
 
 
 def volatility(w: WindowSpec) -> Layers:
-    """Needs log_return_1 as a column."""
-    return [{"rolling_volatility_60": rolling("std", F.col("log_return_1"), 60, w)}]
+    """Needs log_return_1 as a column, from the layer before at the latest."""
+    return [{}, *long_std("log_return_1", 60, KEYS, BLOCK, w), {"rolling_volatility_60": F.col("_std_log_return_1")}]
 
 
 def index_correlation(w: WindowSpec) -> Layers:
     """Correlation of log_return_1 with the index returns one row earlier."""
     names = ("sp500", "nasdaq")
     return [{f"_{i}": F.lag(f"{i}_return").over(w) for i in names},
-            *rolling_corr(w, 60, {f"corr_{i}_60": ("log_return_1", f"_{i}") for i in names})]
+            *rolling_corr(KEYS, w, 60, {f"corr_{i}_60": ("log_return_1", f"_{i}") for i in names}, BLOCK)]
 
 
 def stochastic(w: WindowSpec) -> Layers:

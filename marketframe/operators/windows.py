@@ -44,29 +44,67 @@ def rolling(how: str, x: Column, n: int, w: WindowSpec) -> Column:
     return full(x, n, w, agg(x).over(frame(w, n)))
 
 
-def rolling_corr(w: WindowSpec, n: int, specs: dict[str, tuple[str, str]]) -> Layers:
-    """Correlation of the last n pairs per output name; NULL when a side is constant or a value is missing.
+def running_sums(keys: list[str], values: dict[str, Column]) -> dict[str, Column]:
+    """Sum and count of each value from the start of its block on, as ``_run_<name>`` and ``_cnt_<name>``."""
+    w = Window.partitionBy(*keys, series.CHUNK, series.BLOCK).orderBy(series.POS) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = {}
+    for name, v in values.items():
+        out[f"_run_{name}"] = F.sum(F.coalesce(v, F.lit(0.0))).over(w)
+        out[f"_cnt_{name}"] = F.count(v).over(w)
+    return out
+
+
+def of_last(run: str, n: int, keys: list[str], block: int, w: WindowSpec) -> Column:
+    """What a running sum of a block gained over the last n rows, n <= block.
 
-    Built from plain sums: they slide several times faster than the covariance aggregates.
+    Two rows of the sum and the total of the block before replace a frame of n rows.
     """
-    f = frame(w, n)
-    sums: dict[str, Column] = {}
+    k = F.col(series.POS) - F.col(series.BLOCK) * block
+    before = Window.partitionBy(*keys, series.CHUNK).orderBy(series.BLOCK).rangeBetween(-1, -1)
+    total = F.max(F.when(k == block - 1, F.col(run))).over(before)
+    zero = F.lit(0)
+    return F.col(run) - F.coalesce(F.lag(run, n).over(w), zero) + F.when(k < n, F.coalesce(total, zero)).otherwise(zero)
+
+
+def long_mean(name: str, n: int, keys: list[str], block: int, w: WindowSpec) -> Column:
+    """Mean of the last n rows from running sums; NULL until n values are there."""
+    count = of_last(f"_cnt_{name}", n, keys, block, w)
+    return F.when(count == n, of_last(f"_run_{name}", n, keys, block, w) / n)
+
+
+def _varies(spread: Column, squares: Column, n: int) -> Column:
+    """Whether a spread is more than what rounding alone leaves of a constant."""
+    return spread > 1e-12 * n * squares
+
+
+def long_std(x: str, n: int, keys: list[str], block: int, w: WindowSpec) -> Layers:
+    """Sample deviation of the last n rows as ``_std_<x>``, from running sums.  For values around 0."""
+    sums = running_sums(keys, {x: F.col(x), f"{x}_{x}": F.col(x) * F.col(x)})
+    parts = {f"_s{n}_{x}": of_last(f"_run_{x}", n, keys, block, w), f"_c{n}_{x}": of_last(f"_cnt_{x}", n, keys, block, w),
+             f"_s{n}_{x}_{x}": of_last(f"_run_{x}_{x}", n, keys, block, w)}
+    s, ss = F.col(f"_s{n}_{x}"), F.col(f"_s{n}_{x}_{x}")
+    spread = n * ss - s * s
+    std = F.when(_varies(spread, ss, n), F.sqrt(spread / (n * (n - 1)))).otherwise(0.0)
+    return [sums, parts, {f"_std_{x}": F.when(F.col(f"_c{n}_{x}") == n, std)}]
+
+
+def rolling_corr(keys: list[str], w: WindowSpec, n: int, specs: dict[str, tuple[str, str]], block: int) -> Layers:
+    """Correlation of the last n pairs per output name; NULL when a side is constant or a value is missing."""
+    values: dict[str, Column] = {}
     for x, y in specs.values():
-        paired = F.col(x) * F.col(y)
         for c in (x, y):
-            sums[f"_sum_{c}"] = F.sum(c).over(f)
-            sums[f"_sq_{c}"] = F.sum(F.col(c) * F.col(c)).over(f)
-        sums[f"_prod_{x}_{y}"] = F.sum(paired).over(f)
-        sums[f"_pairs_{x}_{y}"] = F.count(paired).over(f)
+            values[c], values[f"{c}_{c}"] = F.col(c), F.col(c) * F.col(c)
+        values[f"{x}_{y}"] = F.col(x) * F.col(y)
+    parts = {f"_s{n}_{v}": of_last(f"_run_{v}", n, keys, block, w) for v in values}
     out = {}
     for name, (x, y) in specs.items():
-        sx, sy, sxx, syy = (F.col(f"_{k}_{c}") for k, c in (("sum", x), ("sum", y), ("sq", x), ("sq", y)))
+        parts[f"_c{n}_{x}_{y}"] = of_last(f"_cnt_{x}_{y}", n, keys, block, w)
+        sx, sy, sxx, syy, sxy = (F.col(f"_s{n}_{v}") for v in (x, y, f"{x}_{x}", f"{y}_{y}", f"{x}_{y}"))
         vx, vy = n * sxx - sx * sx, n * syy - sy * sy
-        # the bound is what rounding alone can leave of a constant side
-        varies = (vx > 1e-12 * n * sxx) & (vy > 1e-12 * n * syy)
-        out[name] = F.when((F.col(f"_pairs_{x}_{y}") == n) & varies,
-                           (n * F.col(f"_prod_{x}_{y}") - sx * sy) / F.sqrt(vx * vy))
-    return [sums, out]
+        out[name] = F.when((F.col(f"_c{n}_{x}_{y}") == n) & _varies(vx, sxx, n) & _varies(vy, syy, n),
+                           (n * sxy - sx * sy) / F.sqrt(vx * vy))
+    return [running_sums(keys, values), parts, out]
 
 
 def abs_dev(values: Column, mean: Column) -> Column:

@@ -153,7 +153,7 @@ def _w3(t):
 @query("w4_rolling_corr", f"SELECT symbol, date, {sql_rnd(_corr('close', 'volume', 60))} AS corr_60 FROM bars")
 def _w4(t):
     rows = ind.over_series(t.bars, lambda w: windows.rolling_corr(
-        w, 60, {"corr_60": ("close", "volume")}), before=59)
+        ["symbol"], w, 60, {"corr_60": ("close", "volume")}, ind.BLOCK), before=60)
     return rows.select(*KEY, rnd("corr_60").alias("corr_60"))
 
 
@@ -217,7 +217,7 @@ def _w9(t):
 
 # -- indicators ------------------------------------------------------------------------------------
 
-_ind_query("t1_moving_averages", ["sma_50", "sma_100"], ind.moving_averages, before=99)
+_ind_query("t1_moving_averages", ["sma_50", "sma_100"], ind.moving_averages, before=100)
 _ind_query("t2_ema_50", ["ema_50"], ind.ema_50)
 _ind_query("t3_momentum", ["momentum_30", "momentum_60"], ind.momentum, before=60)
 _ind_query("t4_macd", ["macd", "macd_signal", "macd_hist"], ind.macd)
@@ -226,7 +226,7 @@ _ind_query("t5_directional_moves", ["tr", "up_move", "down_move", "plus_dm", "mi
 _ind_query("t6_adx", ["adx"], ind.adx, before=28, n=4)
 _ind_query("t7_rsi", ["rsi"], ind.rsi, before=15, n=4)
 _ind_query("t8_bands", ["upper_band", "lower_band"], ind.bands, before=19)
-_ind_query("t9_volatility", ["rolling_volatility_60"], ind.log_return, lambda w: [{}, *ind.volatility(w)], before=61)
+_ind_query("t9_volatility", ["rolling_volatility_60"], ind.log_return, ind.volatility, before=61)
 _ind_query("t10_index_correlation", ["corr_sp500_60", "corr_nasdaq_60"], ind.log_return, ind.index_correlation,
            before=61, source=_with_index)
 _ind_query("t11_stochastic", ["pct_k", "pct_d"], ind.stochastic, before=16)

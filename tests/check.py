@@ -22,7 +22,7 @@ def session(cpus: str = "8") -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]").appName("marketframe")
         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.adaptive.enabled", "true").getOrCreate()
+        .config("spark.sql.adaptive.enabled", "true").config("spark.sql.codegen.cache.maxEntries", "2000").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -58,7 +58,7 @@ def test_indicators_match_pandas_at_any_chunk_size(spark, walk, chunk_rows):
     df = spark.createDataFrame(walk).repartition(7)
     got = ind.over_series(
         df, ind.moving_averages, ind.ema_50, ind.macd, ind.momentum, ind.adx, ind.rsi, ind.bands, ind.log_return,
-        lambda w: [{}, *ind.volatility(w)], lambda w: [{}, *ind.index_correlation(w)], ind.stochastic, ind.cci,
+        ind.volatility, ind.index_correlation, ind.stochastic, ind.cci,
         chunk_rows=chunk_rows)
     got, want = ordered(got, COLS), expected(walk)
     assert len(got) == len(want)
@@ -107,7 +107,7 @@ def test_constant_prices_give_null_not_errors(spark):
         "symbol", "date_add(date'2020-01-01', i) AS date", "close", "close AS open", "close AS high", "close AS low",
         "1D AS volume", "CAST(i AS DOUBLE) AS sp500_return", "0D AS nasdaq_return")
     got = ind.over_series(df, ind.rsi, ind.adx, ind.stochastic, ind.cci, ind.log_return,
-                          lambda w: [{}, *ind.index_correlation(w)], ind.bands)
+                          ind.index_correlation, ind.bands)
     last = got.orderBy(F.desc("date")).first()
     assert all(last[c] is None for c in ("rsi", "adx", "pct_k", "cci", "corr_sp500_60", "corr_nasdaq_60"))
     assert last["upper_band"] == last["lower_band"] == 5.0
