@@ -98,16 +98,18 @@ def bullets(df: DataFrame, items: str) -> DataFrame:
     }).drop("_line", "_text", "_c", "_d", items)
 
 
-def clean_response(text: Column) -> Column:
-    """Model answer as a map: code fence off, parsed, empty values out, keys stripped to letters,
-    digits and blanks.  NULL when it is no JSON object or nothing is left; the last of equal keys wins."""
+def clean_responses(df: DataFrame, text: str = "text", out: str = "fields") -> DataFrame:
+    """Model answers as maps: code fence off, parsed, empty values out, keys stripped to letters,
+    digits and blanks.  NULL when an answer is no JSON object or nothing is left; the last of equal keys wins."""
     body = F.regexp_replace(F.trim(text), FENCE, "")
-    parsed = F.from_json(body, "map<string,string>")
-    pairs = F.transform(F.map_entries(F.map_filter(parsed, lambda k, v: v.isNotNull())), lambda e: F.struct(
-        F.regexp_replace(e["key"], KEY_JUNK, "").alias("key"), e["value"].alias("value")))
-    last = F.filter(pairs, lambda e, i: ~F.exists(
-        F.slice(pairs, i + 2, F.size(pairs)), lambda x: x["key"] == e["key"]))
-    return F.when(F.size(pairs) > 0, F.map_from_entries(last))
+    parsed = F.map_filter(F.from_json(body, "map<string,string>"), lambda k, v: v.isNotNull())
+    # columns of their own, so that the text is parsed once
+    rows = df.withColumn("_pairs", F.transform(F.map_entries(parsed), lambda e: F.struct(
+        F.regexp_replace(e["key"], KEY_JUNK, "").alias("key"), e["value"].alias("value"))))
+    rows = rows.withColumn("_n", F.size("_pairs"))
+    last = F.filter("_pairs", lambda e, i: ~F.exists(
+        F.slice("_pairs", i + 2, F.col("_n")), lambda x: x["key"] == e["key"]))
+    return rows.withColumn(out, F.when(F.col("_n") > 0, F.map_from_entries(last))).drop("_pairs", "_n")
 
 
 def importance_rows(df: DataFrame, column: str = "feature_importance") -> DataFrame:

@@ -50,16 +50,25 @@ def join_sector_performance(bars: DataFrame, sector: DataFrame, etf_bars: DataFr
 MACRO_COLUMNS = {"gdp": "gdp_growth", "inflation": "inflation_rate", "unemployment": "unemployment_rate"}
 
 
-def join_macro(bars: DataFrame, macro: DataFrame) -> DataFrame:
-    """Latest value of each macro series at or before the bar's date.
+def macro_by_day(days: DataFrame, macro: DataFrame) -> DataFrame:
+    """Latest value of each macro series at or before each day.
 
-    Resolved on the distinct dates, then joined by date: the series have no key.
+    The series have no key: they are resolved on distinct days, in one ordered pass over at most
+    a calendar of rows.  A missing value counts as the latest one.
     """
-    days = bars.select("date").distinct()
-    for name, column in MACRO_COLUMNS.items():
-        one = macro.filter(F.col("series") == name).select(F.col("date").alias("macro_date"), F.col("value").alias(column))
-        days = asof_join(days, one, [], "date", "macro_date", [column])
-    return bars.join(F.broadcast(days), "date", "left")
+    def latest(name):
+        return F.max(F.when(F.col("series") == name, F.struct("value")))
+    known = macro.groupBy("date").agg(*[latest(s).alias(c) for s, c in MACRO_COLUMNS.items()]).withColumn("_probe", F.lit(0))
+    probes = days.select("date").distinct().withColumn("_probe", F.lit(1))
+    w = Window.orderBy("date", "_probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = known.unionByName(probes, allowMissingColumns=True).select(
+        "date", "_probe", *[F.last(c, True).over(w).alias(c) for c in MACRO_COLUMNS.values()])
+    return seen.filter("_probe = 1").select("date", *[F.col(f"{c}.value").alias(c) for c in MACRO_COLUMNS.values()])
+
+
+def join_macro(bars: DataFrame, macro: DataFrame) -> DataFrame:
+    # one row per calendar day: safe to broadcast
+    return bars.join(F.broadcast(macro_by_day(bars, macro)), "date", "left")
 
 
 def earnings_events(history: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.operators import series
+from marketframe.operators.landing import land
 
 INFINITE_MAPE = 9999.0
 
@@ -58,7 +59,8 @@ def roc_auc(rows: DataFrame, keys: list[str], label: str, score: str) -> DataFra
     by_score = rows.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(
         pos.alias("_pos"), neg.alias("_neg"))
     by_score = by_score.withColumns({"_b1": F.floor(F.col("_s") * 256), "_b2": F.floor(F.col("_s") * 65536)})
-    run = series.running(by_score, keys, ["_b1", "_b2"], ["_s"], {"_to": F.col("_neg")})
+    # a count per score is small next to the rows and is read several times
+    run = series.running(land(by_score), keys, ["_b1", "_b2"], ["_s"], {"_to": F.col("_neg")})
     wins = F.col("_pos") * (F.col("_to") - F.col("_neg") / 2.0)
     return run.groupBy(*keys).agg(F.try_divide(F.sum(wins), F.sum("_pos") * F.sum("_neg")).alias("roc_auc"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketframe.functions.text import clean_response
+from marketframe.functions.text import clean_responses
 from marketframe.operators.asof import asof_join
 from marketframe.operators.select import latest_per_key, top_per_key
 
@@ -29,16 +29,6 @@ def actual_movement(bars: DataFrame, horizon_days: int) -> DataFrame:
     return out.withColumn("actual_movement", (F.col("_future") > F.col("close")).cast("int")).drop("_due", "_future")
 
 
-def window_rows(probes: DataFrame, bars: DataFrame) -> DataFrame:
-    """Each probe (symbol, start, end) with all bars of its window.
-
-    Both sides meet on (symbol, year), so that a symbol with many probes is spread over its years.
-    """
-    years = probes.withColumn("_year", F.explode(F.sequence(F.year("start"), F.year("end"))))
-    dated = bars.withColumn("_year", F.year("date"))
-    return years.join(dated, ["symbol", "_year"]).filter(F.col("date").between(F.col("start"), F.col("end"))).drop("_year")
-
-
 def window_summary(probes: DataFrame, bars: DataFrame) -> DataFrame:
     """Count, first and last day and mean close of each probe's window.
 
@@ -155,7 +145,7 @@ def model_cards(models: DataFrame, importances: DataFrame, explanations: DataFra
 
 def external_calls(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Price calls from answer texts, and the answers that hold none, with the reason."""
-    m = responses.withColumn("_m", clean_response(F.col("text")))
+    m = clean_responses(responses, out="_m")
 
     def field(name):
         return F.try_element_at("_m", F.lit(name))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketframe.operators import series
 from marketframe.operators.indicators import KEYS, ORDER
+from marketframe.operators.landing import land
 
 # Fixed value: 5 % point of the Dickey-Fuller distribution with a constant, long series.
 DICKEY_FULLER_5 = -2.86
@@ -103,10 +104,10 @@ def category_codes(rows: DataFrame, column: str) -> DataFrame:
 
     Counted over value prefixes, so no task sorts all values.
     """
-    values = rows.filter(F.col(column).isNotNull()).select(column).distinct().withColumns(
-        {"_p1": F.substring(column, 1, 1), "_p2": F.substring(column, 1, 3)})
-    return series.running(values, [], ["_p1", "_p2"], [column], {"code": F.lit(1)}).select(
-        column, (F.col("code") - 1).alias("code"))
+    levels = [f"_p{n}" for n in (2, 4, 8, 16)]
+    values = rows.filter(F.col(column).isNotNull()).select(column).distinct()
+    values = land(values.withColumns({p: F.substring(column, 1, int(p[2:])) for p in levels}))
+    return series.running(values, [], levels, [column], {"code": F.lit(1)}).select(column, (F.col("code") - 1).alias("code"))
 
 
 def with_category_code(rows: DataFrame, codes: DataFrame, column: str, out: str) -> DataFrame:

@@ -328,5 +328,5 @@ SELECT symbol, date, {', '.join(f'{sql_rnd(c, 4)} AS {c}' for c in T20_NAMES + [
   CAST(log_return_future > 0 AS INT) AS target FROM feat_all JOIN ({T20_FLAGS}) f USING (symbol)
 WHERE {' AND '.join(f'{c} IS NOT NULL' for c in T20_NAMES + ['log_return_1', 'log_return_future'])} AND t_stat < -2.86""")
 def _t20(t):
-    rows = feature_table(land(basic_stock_data(t.bars, t.index_bars, t.macro)), HORIZON)
+    rows = feature_table(land(basic_stock_data(land(t.bars), t.index_bars, t.macro)), HORIZON)
     return rows.select(*KEY, *[rnd(c, 4).alias(c) for c in T20_NAMES + ["log_return_1", "log_return_future"]], "target")

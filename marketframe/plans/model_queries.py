@@ -25,7 +25,7 @@ WHERE {' AND '.join(f'{c} IS NOT NULL' for c in T20_NAMES + ['log_return_1', 'lo
 
 def _rows(t):
     """The feature table, landed once for the passes of a fit."""
-    return land(feature_table(land(basic_stock_data(t.bars, t.index_bars, t.macro)), HORIZON))
+    return land(feature_table(land(basic_stock_data(land(t.bars), t.index_bars, t.macro)), HORIZON))
 
 
 def _scaled_split(rows):

@@ -309,7 +309,7 @@ SELECT model_key, symbol, input_date, prediction_date, k, CASE WHEN json_valid(c
 SELECT model_key, c IS NOT NULL AS parsed, json_extract_string(c, '$.predicted_amount') AS predictedamount,
   json_extract_string(c, '$."up_or_down!"') AS upordown FROM clean_responses""")
 def _f11(t):
-    r = t.responses.withColumn("m", text.clean_response(F.col("text")))
+    r = text.clean_responses(t.responses, out="m")
     return r.select("model_key", F.col("m").isNotNull().alias("parsed"), F.try_element_at("m", F.lit("predictedamount")).alias("predictedamount"),
                     F.try_element_at("m", F.lit("upordown")).alias("upordown"))
 

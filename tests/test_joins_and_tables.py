@@ -180,7 +180,7 @@ def test_explanation_left_join_keeps_models_without_one(spark):
 def test_clean_response(spark):
     rows = ['{"a_b": 1, "c": null}', '```json\n{"x!": "y"}\n```', "nonsense", '{"only": null}', '{"k-": "1", "k_": "2"}', ""]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
-    got = [r.m for r in df.select("i", text.clean_response(F.col("t")).alias("m")).orderBy("i").collect()]
+    got = [r.m for r in text.clean_responses(df, "t", "m").orderBy("i").collect()]
     assert got == [{"ab": "1"}, {"x": "y"}, None, None, {"k": "2"}, None]
 
 
