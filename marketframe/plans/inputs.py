@@ -15,7 +15,9 @@ from marketframe.operators import series
 
 HORIZON = 7
 
-_ROW_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+# A sale's place in its day and its price as one number, so that the first and the last price of a
+# day are plain minima and maxima: those aggregate by hash, where an order of several columns would sort.
+_PRICE_DIGITS = 10 ** 12
 
 
 def _cents(c):
@@ -39,20 +41,25 @@ class Inputs:
     def trades(self) -> DataFrame:
         """One row per sale: symbol, date, price in cents, quantity."""
         part = self.table("part").select("p_partkey", "p_brand", "p_type")
+        price = F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")).cast("long")
+        place = F.col("l_orderkey").cast("decimal(24,0)") * 10 + F.col("l_linenumber")
         return self.table("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-            F.col("p_brand").alias("symbol"), "p_type", F.to_date("l_shipdate").alias("date"),
-            F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")).cast("long").alias("px_c"),
-            F.struct(*_ROW_ORDER).alias("ord"), "l_quantity", "l_discount", "l_tax",
+            F.col("p_brand").alias("symbol"), "p_type", F.to_date("l_shipdate").alias("date"), price.alias("px_c"),
+            (place * F.lit(_PRICE_DIGITS) + price).cast("decimal(38,0)").alias("ord"), "l_quantity", "l_discount", "l_tax",
             "l_returnflag", "l_linestatus", "l_orderkey", "l_partkey")
 
     @staticmethod
     def _bars(trades: DataFrame, symbol: str) -> DataFrame:
         px = F.col("px_c")
-        return trades.groupBy(F.col(symbol).alias("symbol"), "date").agg(
-            (F.min_by(px, "ord") / F.lit(100.0)).alias("open"), (F.max(px) / F.lit(100.0)).alias("high"),
-            (F.min(px) / F.lit(100.0)).alias("low"), (F.max_by(px, "ord") / F.lit(100.0)).alias("close"),
+        days = trades.groupBy(F.col(symbol).alias("symbol"), "date").agg(
+            F.min("ord").alias("open"), F.max(px).alias("high"), F.min(px).alias("low"), F.max("ord").alias("close"),
             F.sum("l_quantity").alias("volume"))
 
+        def dollars(c):
+            return F.col(c).cast("long") / F.lit(100.0)
+        days = days.withColumns({c: F.pmod(F.col(c), F.lit(_PRICE_DIGITS)) for c in ("open", "close")})
+        return days.withColumns({c: dollars(c) for c in ("open", "high", "low", "close")})
+
     @cached_property
     def bars(self) -> DataFrame:
         return self._bars(self.trades, "symbol")
@@ -236,7 +243,7 @@ class Inputs:
 
 
 _MEAN = "sum({0}) / CAST(100 AS DOUBLE) / count({0})"
-_ORD = ", ".join(_ROW_ORDER)
+_ORD = "l_orderkey, l_linenumber, px_c"
 
 
 def _bars_sql(symbol: str) -> str:
