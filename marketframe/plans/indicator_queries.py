@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from marketframe.operators import indicators as ind
 from marketframe.operators import series, windows
-from marketframe.operators.enrich import basic_stock_data, enriched_stock_data, index_returns, join_index_returns
+from marketframe.operators.enrich import basic_stock_data, join_index_returns
 from marketframe.operators.landing import land
 from marketframe.operators.select import differenced, stationarity
 from marketframe.plans.catalog import query, rnd, sql_rnd
 from marketframe.plans.features import feature_table
 from marketframe.plans.inputs import CTES, HORIZON
-from marketframe.schemas import ADVANCED_FEATURES, BASIC_FEATURES
+from marketframe.schemas import BASIC_FEATURES
 
 KEY = ["symbol", "date"]
 _W = "PARTITION BY symbol ORDER BY date"

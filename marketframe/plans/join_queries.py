@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketframe.operators import enrich, reports
-from marketframe.operators.asof import asof_join
 from marketframe.operators.landing import land
 from marketframe.plans.catalog import query, rnd, sql_rnd
 from marketframe.plans.inputs import CTES, HORIZON

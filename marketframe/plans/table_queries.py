@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from marketframe.functions import scalars, text
 from marketframe.operators import enrich, reports
-from marketframe.operators.select import latest_per_key, present_columns, top_per_key
+from marketframe.operators.backtest import up_calls
+from marketframe.operators.select import latest_per_key, present_columns
 from marketframe.plans.catalog import query, rnd, sql_rnd
-from marketframe.plans.inputs import CTES, HORIZON
+from marketframe.plans.inputs import CTES
 from marketframe.schemas import BASIC_FEATURES
 from marketframe.sources import tables
 
@@ -116,7 +117,6 @@ def _p6(t):
 
 @query("p7_up_calls", "SELECT model_key, symbol, movement FROM registry WHERE movement = 'Up'")
 def _p7(t):
-    from marketframe.operators.backtest import up_calls
     return up_calls(t.registry).select("model_key", "symbol", "movement")
 
 
