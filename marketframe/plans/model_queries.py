@@ -35,10 +35,11 @@ def _scaled_split(rows):
     return land(select.scaled(split, fitted, FEATURES))
 
 
+# a symbol with one row has no correlation; corr() there is NaN, which DuckDB orders above every number
 @query("m6_correlated_features", f"""
 WITH c AS (SELECT symbol, {', '.join(f'corr({a}, {b}) AS c_{a}__{b}' for j, b in enumerate(_CORRELATED) for a in _CORRELATED[:j])} FROM t20_rows GROUP BY symbol)
 """ + " UNION ALL ".join(
-    f"SELECT symbol, '{b}' AS feature, {' OR '.join(f'abs(c_{a}__{b}) > 0.95' for a in _CORRELATED[:j])} AS dropped FROM c"
+    f"SELECT symbol, '{b}' AS feature, {' OR '.join(f'coalesce(abs(c_{a}__{b}) > 0.95 AND NOT isnan(c_{a}__{b}), false)' for a in _CORRELATED[:j])} AS dropped FROM c"
     for j, b in enumerate(_CORRELATED) if j))
 def _m6(t):
     return select.correlated_features(_rows(t), _CORRELATED)
@@ -73,14 +74,18 @@ def _m11(t):
     return trees.grid_search(_scaled_split(_rows(t)).filter("is_train").drop("is_train"), FEATURES, _CANDIDATES)
 
 
+# three unknowns: with fewer than three rows no fit is the one solution, so none is shown
 @query("m12_linear_two_features", f"""
 WITH s AS (SELECT symbol, count(*) AS n, avg(log_return_future) AS my, avg(momentum_30) AS m1, avg(rsi) AS m2, var_pop(momentum_30) AS v1, var_pop(rsi) AS v2,
     covar_pop(momentum_30, rsi) AS c12, covar_pop(momentum_30, log_return_future) AS c1y, covar_pop(rsi, log_return_future) AS c2y FROM t20_rows GROUP BY symbol),
  b AS (SELECT *, (c1y * v2 - c2y * c12) / (v1 * v2 - c12 * c12) AS b1, (c2y * v1 - c1y * c12) / (v1 * v2 - c12 * c12) AS b2 FROM s)
-SELECT symbol, n, {sql_rnd('b1')} AS b1, {sql_rnd('b2')} AS b2, {sql_rnd('my - b1 * m1 - b2 * m2')} AS intercept FROM b""")
+SELECT symbol, n, CASE WHEN n > 2 THEN {sql_rnd('b1')} END AS b1, CASE WHEN n > 2 THEN {sql_rnd('b2')} END AS b2,
+  CASE WHEN n > 2 THEN {sql_rnd('my - b1 * m1 - b2 * m2')} END AS intercept FROM b""")
 def _m12(t):
     m = linear.fit(_rows(t), ["momentum_30", "rsi"], "log_return_future", ridge=0.0)
-    return m.select("symbol", "n", rnd(F.col("coef")[0]).alias("b1"), rnd(F.col("coef")[1]).alias("b2"), rnd("intercept").alias("intercept"))
+    unique = F.col("n") > 2
+    return m.select("symbol", "n", F.when(unique, rnd(F.col("coef")[0])).alias("b1"), F.when(unique, rnd(F.col("coef")[1])).alias("b2"),
+                    F.when(unique, rnd("intercept")).alias("intercept"))
 
 
 def _fitted(t):
