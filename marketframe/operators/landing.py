@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_landed: list[tuple[SparkSession, str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``.  Only a local session that names
-    none gets one of its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if shared is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="marketframe-"))
-    return sc.getCheckpointDir()
+    """The folder the session names in ``spark.checkpoint.dir``.  A session that names none gets a folder
+    in its warehouse, which executors share as well."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_landed"
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; its files go when the program ends."""
+    path = f"{shared_folder(spark)}/land-{uuid.uuid4().hex}"
+    _landed.append((spark, path))
+    return path
 
 
 def land(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` once to the shared folder as Parquet and read it back from there, so that later passes
+    prune columns and push filters, and a lost executor costs a read and no recomputation."""
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _release() -> None:
+    """Local paths are removed; in other stores an empty table replaces the files, if the session still runs."""
+    for spark, path in _landed:
+        local = path.removeprefix("file://") if path.startswith("file:") else path
+        if "://" not in local:
+            shutil.rmtree(local.removeprefix("file:"), ignore_errors=True)
+        elif spark.getActiveSession() is not None:
+            spark.createDataFrame([], "gone int").write.mode("overwrite").parquet(path)
