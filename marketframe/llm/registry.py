@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op02_substring_dedup", "op07_near_dup"]
+MODULES = ["op02_substring_dedup", "op07_near_dup", "op08_weighted_fingerprint"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
