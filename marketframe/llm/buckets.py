@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from marketframe.llm.words import batch_of
 from marketframe.operators.landing import land
 
-TILE = 128
+TILE = 256
 _SALTS = (0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x6C8E9CF570932BD5)
 POSTING = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
@@ -100,35 +100,95 @@ def components(links: DataFrame) -> DataFrame:
     return land(label.join(smallest, "p").select(F.col("v").alias("id"), "component"))
 
 
-def open_pairs(edges: DataFrame, label: DataFrame, tile: int = TILE) -> DataFrame:
-    """Pairs of a bucket that lie in different components after its edges were checked."""
+def groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
+    """The runs of rows that agree in the first ``by`` columns, each whole, from sorted batches."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        keys = [table.column(c).to_numpy() for c in range(by)]
+        change = np.zeros(table.num_rows - 1, bool)
+        for k in keys:
+            change |= k[1:] != k[:-1]
+        cuts = np.concatenate([[0], np.flatnonzero(change) + 1])
+        for start, end in zip(cuts, cuts[1:]):
+            yield table.slice(start, end - start)
+        held = table.slice(cuts[-1]).combine_chunks()
+    if held is not None:
+        yield held
+
+
+def _tiles(link_tile):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in groups(batches, 3):
+            key, i, j, part, ids, labels = (tile.column(c).to_numpy() for c in range(6))
+            parent = {c: c for c in labels.tolist()}
+
+            def root(c):
+                while parent[c] != c:
+                    parent[c] = c = parent[parent[c]]
+                return c
+
+            inside = i[0] == j[0]
+            found = []
+            linked = link_tile(int(key[0]), tile.slice(0).drop_columns(tile.column_names[:6]))
+            for x in range(len(ids)):
+                y = np.arange(x + 1, len(ids))
+                y = y[(labels[y] != labels[x]) & (inside | (part[y] != part[x]))]
+                for other, holds in linked(x, y) if y.size else ():
+                    one, two = root(labels[x]), root(labels[other])
+                    if one != two and holds():
+                        parent[max(one, two)] = min(one, two)
+                        found.append((ids[x], ids[other]))
+            if found:
+                yield batch_of(schema, *zip(*found))
+
+    return run
+
+
+def open_links(edges: DataFrame, label: DataFrame, payload, link_tile, tile: int = TILE) -> DataFrame:
+    """Links between different components of a bucket after its edges were checked; of several links that join
+    the same components in a tile, the first.
+
+    ``payload(ids)`` gives what a check needs: id and further columns.  ``link_tile(key, table of these columns)``
+    returns a function that, for a row and the rows to compare it with, yields those that may be linked, each with
+    a function that tells whether it is."""
     ends = edges.join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left") \
         .join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left") \
         .select("key", "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
     ends = land(ends)
     unsettled = ends.where("ca <> cb").select("key").distinct()
-    members = ends.join(unsettled, "key", "left_semi")
-    members = land(members.select("key", F.col("a").alias("id"), F.col("ca").alias("c"))
-                   .union(members.select("key", "b", "cb")).distinct())
+    both = ends.join(unsettled, "key", "left_semi")
+    members = land(both.select("key", F.col("a").alias("id"), F.col("ca").alias("c")).union(both.select("key", "b", "cb")).distinct())
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
     tiled = (members.join(sizes, "key").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
              .withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-             .withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-             .groupBy("key", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"))
-             .agg(F.collect_list(F.struct("id", "c", "t")).alias("m")))
-    across = F.expr("""flatten(transform(m, x -> transform(
-        filter(m, y -> x.id < y.id AND x.c <> y.c AND (i = j OR x.t <> y.t)), y -> struct(x.id AS a, y.id AS b))))""")
-    return tiled.select(F.explode(across).alias("p")).select("p.a", "p.b").distinct().join(pairs_of(edges), ["a", "b"], "left_anti")
+             .select("key", "id", "c", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
+             .select("key", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "t", "id", "c"))
+    tiled = land(tiled)
+    carried = land(payload(tiled.select("id").distinct()))
+    rows = tiled.join(carried, "id").select("key", "i", "j", "t", "id", "c", *(c for c in carried.columns if c != "id"))
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles(link_tile), "a long, b long").distinct()
 
 
-def linked_components(edges: DataFrame, links_among) -> tuple[DataFrame, DataFrame]:
-    """Components under all true links of a bucketing: (links found, labels).  ``links_among(pairs)`` keeps the
-    true links of a frame of pairs (a, b)."""
+def linked_components(edges: DataFrame, links_among, payload, link_tile) -> DataFrame:
+    """(id, component) of every id with a true link among the pairs of a bucketing.  ``links_among(pairs)`` keeps
+    the true links of a frame of pairs (a, b); for the other arguments see ``open_links``."""
     edges = land(edges)
     links = land(links_among(pairs_of(edges)))
     label = components(links)
-    more = land(links_among(open_pairs(edges, label)))
+    more = land(open_links(edges, label, payload, link_tile))
     if more.isEmpty():
-        return links, label
-    links = links.union(more)
-    return links, components(links)
+        return label
+    step = components(more.join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
+                      .join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+                      .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    step = step.select(F.col("id").alias("c"), F.col("component").alias("whole"))
+    joined = label.withColumnRenamed("component", "c").join(step, "c", "left").select("id", F.coalesce("whole", "c").alias("component"))
+    alone = step.select(F.col("c").alias("id"), F.col("whole").alias("component")).join(label, "id", "left_anti")
+    return land(joined.union(alone))

@@ -71,7 +71,7 @@ def _post(k: int, bands: int, min_words: int):
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("name", pa.int64()), ("words", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("words", pa.binary())])
     for batch in words.slices(batches):
         names, found = [], []
         for doc_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
@@ -84,28 +84,43 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield words.batch_of(schema, names, found)
 
 
-def _similar(k: int, percent: int):
-    def shingle_set(text: bytes) -> set:
-        w = text.split()
-        return set(zip(*(w[j:] for j in range(k))))
+def _set(text: bytes, k: int) -> set:
+    w = text.split()
+    return set(zip(*(w[j:] for j in range(k))))
+
+
+def _alike(one: set, two: set, percent: int) -> bool:
+    both = len(one & two)
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
+def _tile(k: int, percent: int):
+    def link_tile(key: int, table: pa.Table):
+        sets = [_set(x, k) for x in table.column("words").to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+
+        def linked(x: int, y: np.ndarray):
+            y = y[(100 * sizes[y] >= percent * sizes[x]) & (100 * sizes[x] >= percent * sizes[y])]
+            return [(z, lambda z=z: _alike(sets[x], sets[z], percent)) for z in y.tolist()]
+
+        return linked
 
+    return link_tile
+
+
+def _similar(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if x == y:
-                    keep.append(True)
-                    continue
-                one, two = shingle_set(x), shingle_set(y)
-                both = len(one & two)
-                keep.append(100 * both >= percent * (len(one) + len(two) - both))
+                keep.append(x == y or _alike(_set(x, k), _set(y, k), percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _side(table: DataFrame, end: str) -> DataFrame:
-    return table.select(F.col("name").alias(end), F.col("words").alias(f"words_{end}"))
+    return table.select(F.col("id").alias(end), F.col("words").alias(f"words_{end}"))
 
 
 def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = RECALL, min_words: int = MIN_WORDS) -> DataFrame:
@@ -115,18 +130,19 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, recall:
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     edges = buckets.candidate_edges(docs.mapInArrow(_post(k, bands, min_words), "key long, a long, b long"))
 
+    def payload(names: DataFrame) -> DataFrame:
+        name = F.col("id")
+        wanted = (names.select(F.shiftright(name, POSITION_BITS).alias("doc_id"), name.bitwiseAND((1 << POSITION_BITS) - 1).cast("int").alias("position"))
+                  .groupBy("doc_id").agg(F.collect_list("position").alias("positions")))
+        return docs.join(wanted, "doc_id").select("doc_id", "text", "positions").mapInArrow(_fetch, "id long, words binary").dropDuplicates(["id"])
+
     def links_among(pairs: DataFrame) -> DataFrame:
         pairs = land(pairs)
-        name = F.explode(F.array("a", "b")).alias("name")
-        wanted = (pairs.select(name).distinct()
-                  .select(F.shiftright("name", POSITION_BITS).alias("doc_id"), (F.col("name").bitwiseAND((1 << POSITION_BITS) - 1)).cast("int").alias("position"))
-                  .groupBy("doc_id").agg(F.collect_list("position").alias("positions")))
-        fetched = land(docs.join(wanted, "doc_id").select("doc_id", "text", "positions").mapInArrow(_fetch, "name long, words binary")
-                       .dropDuplicates(["name"]))
+        fetched = land(payload(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
         return pairs.join(_side(fetched, "a"), "a").join(_side(fetched, "b"), "b").select("a", "b", "words_a", "words_b") \
             .mapInArrow(_similar(k, percent), "a long, b long")
 
-    _, label = buckets.linked_components(edges, links_among)
+    label = buckets.linked_components(edges, links_among, payload, _tile(k, percent))
     return label.select(F.col("id").alias("name"), "component")
 
 

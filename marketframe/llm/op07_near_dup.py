@@ -17,7 +17,6 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,6 +112,39 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _tile(k: int, percent: int, miss: float):
+    need = [(n, least_matches(n, percent, miss)) for n in range(BATCH, BANDS * ROWS + 1, BATCH)]
+
+    def link_tile(key: int, table: pa.Table):
+        """Pairs that share an earlier band are left to that band's bucket."""
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(table.num_rows, -1)
+        keys = words.band_keys(sig, BANDS)
+        earlier = keys[:, :int(np.argmax((keys.view(np.int64) == key).all(axis=0)))]
+        texts, sets = table.column("text"), {}
+
+        def set_of(x: int) -> set:
+            if x not in sets:
+                sets[x] = _set(texts[x].as_py(), k)
+            return sets[x]
+
+        def holds(x: int, y: int) -> bool:
+            one, two = set_of(x), set_of(y)
+            both = len(one & two)
+            return 100 * both >= percent * (len(one) + len(two) - both)
+
+        def linked(x: int, y: np.ndarray):
+            y = y[~(earlier[y] == earlier[x]).any(axis=1)]
+            matched = np.zeros(len(y), np.int64)
+            for n, least in need:
+                matched = matched + (sig[y, n - BATCH:n] == sig[x, n - BATCH:n]).sum(axis=1)
+                y, matched = y[matched >= least], matched[matched >= least]
+            return [(int(z), lambda z=int(z): holds(x, z)) for z in y[np.argsort(-matched, kind="stable")]]
+
+        return linked
+
+    return link_tile
+
+
 def _side(table: DataFrame, end: str, value: str) -> DataFrame:
     return table.select(F.col("doc_id").alias(end), F.col(value).alias(f"{value}_{end}"))
 
@@ -133,7 +165,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
         return land(likely).join(_side(texts, "a", "text"), "a").join(_side(texts, "b", "text"), "b") \
             .select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long").distinct()
 
-    links, _ = buckets.linked_components(edges, links_among)
+    def payload(ids: DataFrame) -> DataFrame:
+        named_ids = ids.withColumnRenamed("id", "doc_id")
+        return sigs.join(named_ids, "doc_id", "left_semi").join(texts.join(named_ids, "doc_id", "left_semi"), "doc_id") \
+            .select(F.col("doc_id").alias("id"), "sig", "text").dropDuplicates(["id"])
+
+    linked = buckets.linked_components(edges, links_among, payload, _tile(k, percent, miss))
+    links = linked.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
     members = named.join(classes.withColumnRenamed("doc_id", "a"), "set_id").select("a", F.col("doc_id").alias("b"))
     label = buckets.components(links.union(members)).select(F.col("id").alias("doc_id"), "component")
     return (signed.select("doc_id", "n_shingles").join(label, "doc_id", "left")
