@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from marketframe.llm.words import batch_of
 from marketframe.operators.landing import land
 
-TILE = 256
+TILE = 1024
 _SALTS = (0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x6C8E9CF570932BD5)
 POSTING = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 

@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
             .select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long").distinct()
 
     def payload(ids: DataFrame) -> DataFrame:
-        named_ids = ids.withColumnRenamed("id", "doc_id")
+        named_ids = ids.withColumnRenamed("id", "doc_id").hint("merge")
         return sigs.join(named_ids, "doc_id", "left_semi").join(texts.join(named_ids, "doc_id", "left_semi"), "doc_id") \
             .select(F.col("doc_id").alias("id"), "sig", "text").dropDuplicates(["id"])
 
