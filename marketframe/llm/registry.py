@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op02_substring_dedup", "op03_url_filter", "op04_source_mix", "op05_retrieval_packing", "op06_embedding_dedup", "op07_near_dup",
+MODULES = ["op01_chat_tree", "op02_substring_dedup", "op03_url_filter", "op04_source_mix", "op05_retrieval_packing", "op06_embedding_dedup", "op07_near_dup",
            "op08_weighted_fingerprint", "op09_main_text", "op10_language_id"]
 
 QUERIES: dict = {}
