@@ -174,10 +174,11 @@ def _cut(min_words: int):
     return run
 
 
-def without_repeats(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with the text that stays, and n_paragraphs, n_removed, removed (start and length of each removed
-    paragraph in code points), removed_of (doc_ids whose paragraphs stay in their place) and shares_with
-    (doc_ids of the first paragraphs of all components that the document has part in)."""
+FOUND = ["n_paragraphs", "n_removed", "removed", "removed_of", "shares_with"]
+
+
+def _cut_rows(docs: DataFrame, **how) -> DataFrame:
+    """_row (all columns but the text), the text that stays, and the columns ``FOUND``."""
     min_words = how.get("min_words", MIN_WORDS)
     doc_of = lambda c: F.shiftright(c, POSITION_BITS)
     label = repeated_paragraphs(docs, **how)
@@ -186,14 +187,21 @@ def without_repeats(docs: DataFrame, **how) -> DataFrame:
         F.collect_list(F.when(removed, F.col("name").bitwiseAND((1 << POSITION_BITS) - 1).cast("int"))).alias("_positions"),
         F.array_sort(F.collect_set(F.when(removed, doc_of("component")))).alias("removed_of"),
         F.array_sort(F.collect_set(doc_of("component"))).alias("shares_with"))
-    rest = [c for c in docs.columns if c != "text"]
-    joined = docs.join(per_doc, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    rows = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text")
     none = F.array().cast("array<bigint>")
-    cut_schema = joined.select(*rest, "removed_of", "shares_with").schema.simpleString()[7:-1]
-    carried = F.struct(*rest, F.coalesce("removed_of", none).alias("removed_of"), F.coalesce("shares_with", none).alias("shares_with"))
-    return joined.select(carried.alias("_rest"), "text", "_positions").mapInArrow(
-        _carry(_cut(min_words)), f"_rest struct<{cut_schema}>, n_paragraphs int, n_removed int, removed array<struct<start:int,length:int>>, text string") \
-        .select("_rest.*", "n_paragraphs", "n_removed", "removed", "text").select(*docs.columns, "n_paragraphs", "n_removed", "removed", "removed_of", "shares_with")
+    joined = rows.join(per_doc, F.col("_id") == F.col("_doc"), "left").select(
+        F.struct("_row", F.coalesce("removed_of", none).alias("removed_of"), F.coalesce("shares_with", none).alias("shares_with")).alias("_rest"), "text", "_positions")
+    kind = joined.schema["_rest"].dataType.simpleString()
+    return joined.mapInArrow(_carry(_cut(min_words)), f"_rest {kind}, n_paragraphs int, n_removed int, removed array<struct<start:int,length:int>>, text string") \
+        .select("_rest._row", "text", "n_paragraphs", "n_removed", "removed", "_rest.removed_of", "_rest.shares_with")
+
+
+def without_repeats(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with the text that stays, and n_paragraphs, n_removed, removed (start and length of each removed
+    paragraph in code points), removed_of (doc_ids whose paragraphs stay in their place) and shares_with
+    (doc_ids of the first paragraphs of all components that the document has part in); these take the place of
+    columns of the same names."""
+    return _cut_rows(docs, **how).select(*(F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c not in FOUND), *FOUND)
 
 
 def _carry(cut):
@@ -218,10 +226,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without paragraphs that repeat earlier ones; a document of which nothing is left goes."""
-    cut = without_repeats(docs).where("n_removed = 0 OR trim(text) <> ''")
+    cut = _cut_rows(docs).where("n_removed = 0 OR trim(text) <> ''")
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 QUERIES = {"op2_substring_dedup": op2_substring_dedup}

@@ -140,9 +140,8 @@ def _rank(threshold: float, kind: str):
     return run
 
 
-def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, tile: int = TILE) -> DataFrame:
+def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, tile: int = TILE, vector: str = "embedding") -> DataFrame:
     """One row per row of ``rows`` (vec_id, label, embedding): vec_id, n_links, component_id, kept."""
-    vector = [f.name for f in rows.schema if f.dataType.typeName() == "array"][0]
     kind = "<f4" if rows.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col(vector).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))

@@ -210,13 +210,17 @@ def _predict(model: Model, switch: float):
     return run
 
 
-def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
-    """The columns of ``docs`` but lang_pred, score and spans, and these three."""
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
-    row = F.struct(*rest).alias("row")
+def _predicted(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
+    """row (all columns), lang_pred, score, spans."""
+    row = F.struct(*docs.columns).alias("row")
     kind = docs.select(row).schema["row"].dataType.simpleString()
-    return docs.select(row, "text").mapInArrow(_predict(model, switch), f"row {kind}, lang_pred string, score double, spans {SPANS}") \
-        .select("row.*", "lang_pred", "score", "spans")
+    return docs.select(row, "text").mapInArrow(_predict(model, switch), f"row {kind}, lang_pred string, score double, spans {SPANS}")
+
+
+def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
+    """``docs`` with lang_pred, score and spans, which take the place of columns of these names."""
+    found = _predicted(docs, model, switch)
+    return found.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score", "spans")), "lang_pred", "score", "spans")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +232,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language go on; a text without letters is rejected."""
     model = learn(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
-    return predict(docs, model).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return _predicted(docs, model).where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 QUERIES = {"op10_language_id": op10_language_id}
