@@ -151,6 +151,27 @@ def _tiles(link_tile):
     return run
 
 
+def _tiled(members: DataFrame, tile: int) -> DataFrame:
+    """(key, i, j, t, id, c): the members of each bucket dealt to pairs of tiles (i, j); t is a member's own tile.  A
+    component with more than ``tile`` members has tiles of its own, which are not paired with each other; the
+    other members share tiles."""
+    sizes = members.groupBy("key", "c").agg(F.count("*").alias("n"))
+    large = F.when(F.col("n") > tile, F.struct("c", F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
+    buckets = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list(large).alias("large"),
+                                       F.ceil(F.coalesce(F.sum(F.when(F.col("n") <= tile, F.col("n"))), F.lit(0)) / tile).cast("int").alias("shared"))
+    none = F.expr("CAST(array() AS array<bigint>)")
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("CAST(array() AS array<int>)"))
+    own = F.filter("large", lambda x: x["c"] == F.col("c"))
+    others = F.flatten(F.transform("large", lambda x: F.when(x["c"] == F.col("c"), none).otherwise(
+        F.transform(numbers(x["tiles"]), lambda t: F.xxhash64(x["c"], t)))))
+    shared = F.transform(numbers(F.col("shared")), lambda t: F.xxhash64(F.lit("shared"), t))
+    slot = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    return (members.join(buckets.where("n > 2"), "key")
+            .withColumn("t", F.when(F.size(own) > 0, F.xxhash64(F.col("c"), slot(own[0]["tiles"]))).otherwise(F.xxhash64(F.lit("shared"), slot(F.col("shared")))))
+            .withColumn("u", F.explode(F.concat(others, shared)))
+            .select("key", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "t", "id", "c"))
+
+
 def open_links(edges: DataFrame, label: DataFrame, payload, link_tile, tile: int = TILE) -> DataFrame:
     """Links between different components of a bucket after its edges were checked; of several links that join
     the same components in a tile, the first.
@@ -162,15 +183,10 @@ def open_links(edges: DataFrame, label: DataFrame, payload, link_tile, tile: int
         .join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left") \
         .select("key", "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
     ends = land(ends)
-    unsettled = ends.where("ca <> cb").select("key").distinct()
+    unsettled = land(ends.where("ca <> cb").select("key").distinct())
     both = ends.join(unsettled, "key", "left_semi")
     members = land(both.select("key", F.col("a").alias("id"), F.col("ca").alias("c")).union(both.select("key", "b", "cb")).distinct())
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
-    tiled = (members.join(sizes, "key").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-             .withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-             .select("key", "id", "c", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
-             .select("key", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "t", "id", "c"))
-    tiled = land(tiled)
+    tiled = land(_tiled(members, tile))
     carried = land(payload(tiled.select("id").distinct()))
     rows = tiled.join(carried, "id").select("key", "i", "j", "t", "id", "c", *(c for c in carried.columns if c != "id"))
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles(link_tile), "a long, b long").distinct()

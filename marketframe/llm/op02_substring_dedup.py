@@ -96,14 +96,14 @@ def _alike(one: set, two: set, percent: int) -> bool:
 
 def _tile(k: int, percent: int):
     def link_tile(key: int, table: pa.Table):
-        sets = [_set(x, k) for x in table.column("words").to_pylist()]
-        sizes = np.array([len(s) for s in sets])
+        texts, sets = table.column("words").to_pylist(), {}
 
-        def linked(x: int, y: np.ndarray):
-            y = y[(100 * sizes[y] >= percent * sizes[x]) & (100 * sizes[x] >= percent * sizes[y])]
-            return [(z, lambda z=z: _alike(sets[x], sets[z], percent)) for z in y.tolist()]
+        def set_of(x: int) -> set:
+            if x not in sets:
+                sets[x] = _set(texts[x], k)
+            return sets[x]
 
-        return linked
+        return lambda x, y: ((z, lambda: _alike(set_of(x), set_of(z), percent)) for z in y.tolist())
 
     return link_tile
 
