@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from marketframe.operators.landing import land
 
 SAMPLES = 32
-BLOCK_BITS = 9
+BLOCK_BITS = 7
 _LOW = (1 << 32) - 1
 _ID_BITS = 30
 
@@ -101,21 +101,27 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    edits = with_edits(docs)
     row = ["block", "place"]
     words = lambda c: F.split(F.lower(F.translate(c, "\t\n\x0b\x0c\r", "     ")), " ")
-    sides = F.array(F.struct(words("text").alias("w"), F.lit(1).alias("x"), F.lit(0).alias("y")),
-                    F.struct(words("edited").alias("w"), F.lit(0).alias("x"), F.lit(1).alias("y")))
-    counted = (edits.select(*row, F.explode(sides).alias("s")).select(*row, "s.x", "s.y", F.explode("s.w").alias("word"))
-               .select(*row, F.when(F.col("word") != "", F.xxhash64("word")).alias("term"), "x", "y")
-               .groupBy(*row, "term").agg(F.sum("x").alias("x"), F.sum("y").alias("y")))
-    logs = counted.select(*row, "term", *(F.when(F.col("term").isNotNull() & (F.col(c) > 0), F.ln(F.col(c).cast("double"))).alias(f"log_{c}") for c in "xy"))
-    least = logs.groupBy(*row).agg(*(F.min(_sample(F.col("term"), F.col(f"log_{c}"), j)).alias(f"{c}{j}") for j in range(samples) for c in "xy"))
-    prints = land(least.select(*row, _print("x", samples).alias("fingerprint"), _print("y", samples).alias("edited_fingerprint")))
-    named = edits.select(*row, "doc_id", "next_block", "next_place", F.length("text").cast("long").alias("n_chars"),
-                         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    ahead = prints.select(F.col("block").alias("next_block"), F.col("place").alias("next_place"), F.col("fingerprint").alias("next_fingerprint"))
-    return (named.join(prints, row).join(ahead, ["next_block", "next_place"])
+    sha = F.sha2(F.col("edited").cast("binary"), 256)
+    facts = ["doc_id", "next_block", "next_place", "n_chars", *(f"sha{i}" for i in range(5))]
+    edits = with_edits(docs).withColumn("n_chars", F.length("text"))
+    told = F.array(*(F.col(c).cast("string") for c in facts[:4]), *(F.conv(F.substring(sha, 15 * i + 1, 15), 16, 10) for i in range(5)))
+    # A document's facts travel with its words, as rows marked by y = -1, so that its text is sent and read once.
+    sides = F.array(*(F.struct(w.alias("w"), F.lit(x).alias("x"), F.lit(y).alias("y")) for w, x, y in ((words("text"), 1, 0), (words("edited"), 0, 1), (told, 0, -1))))
+    fact = F.col("y") == -1
+    counted = (edits.select(*row, F.explode(sides).alias("s")).select(*row, "s.x", "s.y", F.posexplode("s.w").alias("pos", "word"))
+               .select(*row, F.when(fact, F.col("pos").cast("long")).when(F.col("word") != "", F.xxhash64("word")).alias("term"),
+                       F.when(fact, F.col("word").cast("long")).otherwise(F.col("x").cast("long")).alias("x"), F.col("y").cast("long").alias("y"))
+               .groupBy(*row, "term", fact.alias("fact")).agg(F.sum("x").alias("x"), F.sum("y").alias("y")))
+    weighted = ~F.col("fact") & F.col("term").isNotNull()
+    logs = counted.select(*row, "term", "fact", "x", *(F.when(weighted & (F.col(c) > 0), F.ln(F.col(c).cast("double"))).alias(f"log_{c}") for c in "xy"))
+    least = logs.groupBy(*row).agg(*(F.min(_sample(F.col("term"), F.col(f"log_{c}"), j)).alias(f"{c}{j}") for j in range(samples) for c in "xy"),
+                                   *(F.max(F.when(F.col("fact") & (F.col("term") == i), F.col("x"))).alias(c) for i, c in enumerate(facts)))
+    digits = [F.lpad(F.lower(F.hex(f"sha{i}")), 15 if i < 4 else 4, "0") for i in range(5)]
+    prints = land(least.select(*row, *facts[:4], F.concat(*digits).alias("edited_sha256"), _print("x", samples).alias("fingerprint"), _print("y", samples).alias("edited_fingerprint")))
+    ahead = prints.select(F.col("block").alias("next_block"), F.col("place").cast("long").alias("next_place"), F.col("fingerprint").alias("next_fingerprint"))
+    return (prints.join(ahead, ["next_block", "next_place"])
             .select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                     likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
                     likeness(F.col("fingerprint"), F.col("next_fingerprint"), samples).alias("near_next")))
