@@ -46,7 +46,8 @@ def _sample(term: Column, log_weight: Column, j: int) -> Column:
     b, _ = _uniforms(term, j, 2)
     r, log_c = -F.ln(u1 * u2), F.ln(-F.ln(u3 * u4))
     t = F.floor(log_weight / r + b)
-    value = F.greatest(F.lit(0), F.least(F.lit((1 << 33) - 1), ((log_c - r * (t - b + 1) + 128) * F.lit(float(1 << 25))).cast("long")))
+    # r is below 46 and ln c above -23, so that the sum is positive for every count and below 2 ** 33.
+    value = ((log_c - r * (t - b + 1) + 128) * F.lit(float(1 << 25))).cast("long")
     return F.shiftleft(value, _ID_BITS).bitwiseOR(F.xxhash64(term, t, F.lit(j)).bitwiseAND(F.lit((1 << _ID_BITS) - 1)))
 
 
