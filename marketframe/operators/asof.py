@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, right_date: str,
@@ -18,9 +19,12 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_date: str
     ``strict`` excludes the same date.  A match further away than ``tolerance_days`` is no match.
     A matched NULL stays NULL.  ``matched`` names an output column for the matched date.
     Right rows with equal key and date are reduced to the largest by ``values``.
-    With no keys the result depends on the date alone and is joined by broadcast: it has one
-    row per calendar day.
+    Both dates must be DATE columns: that bounds what a task sorts per key by the calendar.  With no keys the
+    result depends on the date alone.
     """
+    for df, date in ((left, left_date), (right, right_date)):
+        if not isinstance(df.schema[date].dataType, DateType):
+            raise TypeError(f"{date} must be a DATE, not {df.schema[date].dataType.simpleString()}")
     if direction not in ("backward", "forward"):
         raise ValueError(f"direction {direction!r}")
     probes = left.select(*keys, F.col(left_date).alias("_d")).filter(F.col("_d").isNotNull()).distinct().select(
@@ -39,4 +43,4 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_date: str
     found = found.select(
         *keys, F.col("_d").alias(left_date), *[F.col(f"_hit._v.{v}").alias(v) for v in values],
         *([F.col("_hit.d").alias(matched)] if matched else []))
-    return left.join(found if keys else F.broadcast(found), [*keys, left_date], "left")
+    return left.join(found, [*keys, left_date], "left")

@@ -33,17 +33,14 @@ def index_returns(index_bars: DataFrame) -> DataFrame:
 
 
 def join_index_returns(bars: DataFrame, index_bars: DataFrame) -> DataFrame:
-    # one row per calendar day: safe to broadcast
-    return bars.join(F.broadcast(index_returns(index_bars)), "date", "left")
+    return bars.join(index_returns(index_bars), "date", "left")
 
 
 def join_sector_performance(bars: DataFrame, sector: DataFrame, etf_bars: DataFrame) -> DataFrame:
     """Percent return of the fund that tracks the symbol's sector."""
     r = with_percent_return(etf_bars, ["etf"], SECTOR_TOLERANCE_DAYS, "sector_performance")
     r = r.select("etf", "date", "sector_performance")
-    # one row per fund and calendar day, and a dozen funds: safe to broadcast
-    return bars.join(sector.select("symbol", "etf"), "symbol", "left").join(
-        F.broadcast(r), ["etf", "date"], "left").drop("etf")
+    return bars.join(sector.select("symbol", "etf"), "symbol", "left").join(r, ["etf", "date"], "left").drop("etf")
 
 
 # Macro series and the column each one fills.
@@ -67,8 +64,7 @@ def macro_by_day(days: DataFrame, macro: DataFrame) -> DataFrame:
 
 
 def join_macro(bars: DataFrame, macro: DataFrame) -> DataFrame:
-    # one row per calendar day: safe to broadcast
-    return bars.join(F.broadcast(macro_by_day(bars, macro)), "date", "left")
+    return bars.join(macro_by_day(bars, macro), "date", "left")
 
 
 def earnings_events(history: DataFrame, calendar: DataFrame) -> DataFrame:

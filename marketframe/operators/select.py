@@ -40,14 +40,17 @@ def stationarity_of_pairs(rows: DataFrame, column: str, before: str, keys: list[
         *keys, "n", "t_stat", (F.col("t_stat") < critical).alias("stationary"))
 
 
+def differenced_unless(stationary: str, column: str, before: str):
+    """The column where its series passed the test, else its change; an undefined test is not passed."""
+    return F.when(F.coalesce(stationary, F.lit(False)), F.col(column)).otherwise(F.col(column) - F.col(before))
+
+
 def differenced(rows: DataFrame, column: str = "log_return_1", keys: list[str] = KEYS, order: str = ORDER) -> DataFrame:
     """Replace the column by its row-to-row change in series that fail the test."""
     flags = stationarity(rows, column, keys, order).select(*keys, "stationary")
     c = series.chunked(rows, keys, order, 1)
     out = series.own_rows(c.withColumn("_prev", F.lag(column).over(series.chunk_window(keys))))
-    return out.join(flags, keys, "left").withColumn(
-        column, F.when(F.col("stationary"), F.col(column)).otherwise(F.col(column) - F.col("_prev"))
-    ).drop("_prev", "stationary")
+    return out.join(flags, keys, "left").withColumn(column, differenced_unless("stationary", column, "_prev")).drop("_prev", "stationary")
 
 
 def chronological_split(rows: DataFrame, keys: list[str] = KEYS, order: str = ORDER, share: float = 0.8) -> DataFrame:
@@ -102,12 +105,12 @@ def correlated_features(rows: DataFrame, features: list[str], keys: list[str] =
 def category_codes(rows: DataFrame, column: str) -> DataFrame:
     """Code of each distinct value in sorted order from 0; fit on training rows, join anywhere.
 
-    Counted over value prefixes, so no task sorts all values.
+    The distinct values are cut into ranges, numbered inside each range and moved on by the sizes of the ranges
+    before, so no task sorts all values, whatever prefixes they share.
     """
-    levels = [f"_p{n}" for n in (2, 4, 8, 16)]
     values = rows.filter(F.col(column).isNotNull()).select(column).distinct()
-    values = land(values.withColumns({p: F.substring(column, 1, int(p[2:])) for p in levels}))
-    return series.running(values, [], levels, [column], {"code": F.lit(1)}).select(column, (F.col("code") - 1).alias("code"))
+    ranges = land(values.repartitionByRange(F.col(column)).withColumn("_range", F.spark_partition_id()))
+    return series.running(ranges, [], ["_range"], [column], {"code": F.lit(1)}).select(column, (F.col("code") - 1).alias("code"))
 
 
 def with_category_code(rows: DataFrame, codes: DataFrame, column: str, out: str) -> DataFrame:

@@ -38,6 +38,13 @@ def time_bucket(df: DataFrame, order: str, width: int = BUCKET_DAYS) -> Column:
     return F.floor(n / F.lit(width)).cast("long")
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
+    """Each row with the columns of its group; NULL is a group like any other."""
+    other = groups.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on]
+    return rows.join(other, same, "inner").drop(*[f"_of_{c}" for c in on])
+
+
 def running(df: DataFrame, keys: list[str], levels: list[str], order: list, sums: dict[str, Column],
             inclusive: bool = True) -> DataFrame:
     """Running totals of ``sums`` in (levels, order) order within ``keys``.
@@ -56,12 +63,12 @@ def running(df: DataFrame, keys: list[str], levels: list[str], order: list, sums
         earlier = Window.partitionBy(*parent).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
         before = totals.select(*group, *[
             F.coalesce(F.sum(f"_tot_{n}").over(earlier), F.lit(0)).alias(f"_before{i}_{n}") for n in names])
-        offsets = offsets.join(before, group)
+        offsets = _with_groups(offsets, before, group)
     offsets = offsets.select(*keys, *levels, *[
         sum(F.col(f"_before{i}_{n}") for i in range(len(levels))).alias(f"_off_{n}") for n in names])
     end = Window.currentRow if inclusive else -1
     inner = Window.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    out = df.join(offsets, [*keys, *levels]).withColumns({
+    out = _with_groups(df, offsets, [*keys, *levels]).withColumns({
         n: F.col(f"_off_{n}") + F.coalesce(F.sum(f"_in_{n}").over(inner), F.lit(0)) for n in names})
     return out.drop(*[f"_in_{n}" for n in names], *[f"_off_{n}" for n in names])
 
@@ -70,7 +77,8 @@ def with_position(df: DataFrame, keys: list[str], order: str, width: int = BUCKE
                   pos: str = POS, size: str = SIZE, fill: list[str] | None = None) -> DataFrame:
     """Add the 0-based position of each row in its series and the length of the series.
 
-    ``fill`` names columns whose NULLs take the last value before them, found in the same pass.
+    ``fill`` names columns whose NULLs take the last value before them, found in the same pass.  Rows without a
+    key form a series of their own; rows without an order value come first in theirs.
     """
     fill = fill or []
     b = df.withColumn("_bucket", time_bucket(df, order, width))
@@ -85,7 +93,7 @@ def with_position(df: DataFrame, keys: list[str], order: str, width: int = BUCKE
     inner = Window.partitionBy(*keys, "_bucket").orderBy(order)
     so_far = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        b.join(offsets, [*keys, "_bucket"])
+        _with_groups(b, offsets, [*keys, "_bucket"])
         .withColumns({pos: F.col("_before") + F.row_number().over(inner) - 1,
                       **{c: F.coalesce(F.last(c, True).over(so_far), F.col(f"_carry_{c}")) for c in fill}})
         .drop("_bucket", "_before", *[f"_carry_{c}" for c in fill])

@@ -14,6 +14,8 @@ Layers = list[dict[str, Column]]
 
 # weight below which an older value cannot change a double
 _NEGLIGIBLE = 1e-18
+# powers of ten that scaled sums may reach
+_LARGEST_POWER = 250
 
 
 def with_layers(df: DataFrame, *parts: Layers) -> DataFrame:
@@ -90,7 +92,13 @@ def long_std(x: str, n: int, keys: list[str], block: int, w: WindowSpec) -> Laye
 
 
 def rolling_corr(keys: list[str], w: WindowSpec, n: int, specs: dict[str, tuple[str, str]], block: int) -> Layers:
-    """Correlation of the last n pairs per output name; NULL when a side is constant or a value is missing."""
+    """Correlation of the last n pairs per output name; NULL when a side is constant or a value is missing.
+
+    Values are taken relative to the first of their chunk, so that the spread of a series far from zero is not lost."""
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inputs = dict.fromkeys(c for pair in specs.values() for c in pair)
+    anchored = {f"_from_{c}": F.col(c) - F.first(c, True).over(so_far) for c in inputs}
+    specs = {name: (f"_from_{x}", f"_from_{y}") for name, (x, y) in specs.items()}
     values: dict[str, Column] = {}
     for x, y in specs.values():
         for c in (x, y):
@@ -104,7 +112,7 @@ def rolling_corr(keys: list[str], w: WindowSpec, n: int, specs: dict[str, tuple[
         vx, vy = n * sxx - sx * sx, n * syy - sy * sy
         out[name] = F.when((F.col(f"_c{n}_{x}_{y}") == n) & _varies(vx, sxx, n) & _varies(vy, syy, n),
                            (n * sxy - sx * sy) / F.sqrt(vx * vy))
-    return [running_sums(keys, values), parts, out]
+    return [anchored, running_sums(keys, values), parts, out]
 
 
 def abs_dev(values: Column, mean: Column) -> Column:
@@ -129,9 +137,9 @@ def log_ratio(a: Column, b: Column) -> Column:
     return F.when(q > 0, F.ln(q))
 
 
-def ema_reach(span: int) -> int:
+def ema_reach(span: int, negligible: float = _NEGLIGIBLE) -> int:
     """Rows after which a value's weight in the average is too small to matter."""
-    return math.ceil(math.log(_NEGLIGIBLE) / math.log(1 - 2 / (span + 1)))
+    return math.ceil(math.log(negligible) / math.log(1 - 2 / (span + 1)))
 
 
 def block_rows(spans: list[int]) -> int:
@@ -139,29 +147,37 @@ def block_rows(spans: list[int]) -> int:
     return max(series.BLOCK_ROWS, math.ceil(max(ema_reach(s) for s in spans) / 4))
 
 
-def ema(keys: list[str], specs: dict[str, tuple[Column, int]], block: int) -> Layers:
+def _ema_block(span: int, block: int) -> int:
+    """Rows over which a span's weights stay within the range of doubles, at most ``block``."""
+    return min(block, int(_LARGEST_POWER / -math.log10(1 - 2 / (span + 1))))
+
+
+def ema(keys: list[str], specs: dict[str, tuple[Column, int]], block: int, negligible: float = _NEGLIGIBLE) -> Layers:
     """Exponential averages e[t] = (1-a) e[t-1] + a x[t], e[first] = x[first], a = 2/(span+1).
 
     ``specs`` maps an output name to (non-null value, span >= 2).  The rows come from
     :func:`series.chunked` with that ``block`` and ``before`` >= the longest reach.
     Inside a block the recursion is a scaled running sum; the tails of the few
-    earlier blocks that still carry weight are added on top.
+    earlier blocks that still carry weight, at least ``negligible``, are added on top.  A span too short for the
+    common block has a shorter one of its own.
     """
     pos = F.col(series.POS)
-    k = (pos - F.col(series.BLOCK) * block).cast("double")
-    in_block = Window.partitionBy(*keys, series.CHUNK, series.BLOCK).orderBy(series.POS) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_block = Window.partitionBy(*keys, series.CHUNK).orderBy(series.BLOCK)
     local, total = {}, {}
+    common = block
     for out, (x, span) in specs.items():
         if span < 2:
             raise ValueError("span must be at least 2")
+        block = _ema_block(span, common)
+        number = F.col(series.BLOCK) if block == common else F.floor(pos / F.lit(block))
+        k = (pos - number * block).cast("double")
+        in_block = Window.partitionBy(*keys, series.CHUNK, number).orderBy(series.POS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        by_block = Window.partitionBy(*keys, series.CHUNK).orderBy(number)
         a = 2 / (span + 1)
         q = 1 - a
         c = F.when(pos == 0, x).otherwise(F.lit(a) * x)
         local[f"_loc_{out}"] = F.sum(c * F.pow(F.lit(q), -k)).over(in_block) * F.pow(F.lit(q), k)
         e = F.col(f"_loc_{out}")
-        for j in range(1, math.ceil(ema_reach(span) / block) + 1):
+        for j in range(1, math.ceil(ema_reach(span, negligible) / block) + 1):
             tail = F.max(F.when(k == block - 1, F.col(f"_loc_{out}"))).over(by_block.rangeBetween(-j, -j))
             e = e + F.coalesce(tail, F.lit(0.0)) * F.pow(F.lit(q), k + 1 + block * (j - 1))
         total[out] = e

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketframe.operators import indicators as ind
 from marketframe.operators import series
 from marketframe.operators.landing import land
-from marketframe.operators.select import stationarity_of_pairs
+from marketframe.operators.select import differenced_unless, stationarity_of_pairs
 from marketframe.operators.windows import with_layers
 from marketframe.schemas import FEATURE_SETS
 
@@ -39,16 +39,20 @@ def feature_table(stock: DataFrame, horizon_rows: int, feature_set: str = "basic
         raise ValueError(f"Invalid feature_set: {feature_set}")
     keys = ind.KEYS
     rows = land(clean_bars(stock)) if difference else clean_bars(stock)
-    out = series.chunked(rows, keys, ind.ORDER, ind.REACH, horizon_rows, chunk_rows, ind.BLOCK)
     w = series.chunk_window(keys)
+    if difference:
+        # the test reads three columns; its one row per symbol joins the rows before they are cut into chunks, so
+        # that nothing below moves them again
+        closes = rows.select(*keys, ind.ORDER, "close", series.POS, series.SIZE)
+        tested = series.chunked(closes, keys, ind.ORDER, 2, horizon_rows, chunk_rows, ind.BLOCK)
+        tested = with_layers(tested, ind.future_return(horizon_rows)(w), ind.log_return(w)).withColumn("_before", F.lag("log_return_1").over(w))
+        closed = tested.filter(F.col(series.OWN) & F.col("log_return_future").isNotNull())
+        rows = rows.join(land(stationarity_of_pairs(closed, "log_return_1", "_before").select(*keys, "stationary")), keys, "left")
+    out = series.chunked(rows, keys, ind.ORDER, ind.REACH, horizon_rows, chunk_rows, ind.BLOCK)
     out = with_layers(out, ind.future_return(horizon_rows)(w), ind.log_return(w))
     if difference:
-        out = out.withColumn("_before", F.lag("log_return_1").over(w))
-        closed = out.filter(F.col(series.OWN) & F.col("log_return_future").isNotNull())
-        flags = stationarity_of_pairs(closed, "log_return_1", "_before").select(*keys, "stationary")
-        out = out.join(flags, keys, "left").withColumn("log_return_1", F.when(
-            F.coalesce("stationary", F.lit(True)), F.col("log_return_1")).otherwise(
-            F.col("log_return_1") - F.col("_before"))).drop("stationary", "_before")
+        out = out.withColumn("_before", F.lag("log_return_1").over(w)).withColumn(
+            "log_return_1", differenced_unless("stationary", "log_return_1", "_before")).drop("stationary", "_before")
     parts = [ind.moving_averages, ind.ema_50, ind.macd, ind.momentum, ind.adx, ind.rsi, ind.bands, ind.volatility,
              ind.index_correlation, ind.stochastic, ind.cci]
     if lags:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketframe.operators import series
+from marketframe.operators.landing import land
 
 HORIZON = 7
 
@@ -62,7 +63,8 @@ class Inputs:
 
     @cached_property
     def bars(self) -> DataFrame:
-        return self._bars(self.trades, "symbol")
+        """Daily bars, landed once: they are far smaller than the sales, and positions read them twice."""
+        return land(self._bars(self.trades, "symbol"))
 
     @cached_property
     def bars_dense(self) -> DataFrame:
@@ -93,7 +95,7 @@ class Inputs:
         kinds = kinds.withColumn("k", F.row_number().over(Window.orderBy("sector")) - 1).drop("n")
         brands = part.select(F.col("p_brand").alias("symbol")).distinct().withColumn(
             "k", F.substring("symbol", 7, 9).cast("int") % 6)
-        return brands.join(F.broadcast(kinds), "k").select(
+        return brands.join(kinds, "k").select(
             "symbol", "sector", F.concat(F.lit("ETF_"), "sector").alias("etf"))
 
     @cached_property

@@ -226,7 +226,7 @@ FROM basic_rows b JOIN earn_rows e USING (symbol, date) JOIN overview v USING (s
 LEFT JOIN etf_ret r ON r.etf = s.etf AND r.date = b.date LEFT JOIN option_rows o ON o.symbol = b.symbol AND o.date = b.date
 GROUP BY ALL""")
 def _u2(t):
-    rows = enrich.enriched_stock_data(land(t.bars), t.index_bars, t.macro, t.overview, t.sector, t.etf_bars, t.options,
+    rows = enrich.enriched_stock_data(t.bars, t.index_bars, t.macro, t.overview, t.sector, t.etf_bars, t.options,
                                       t.news, t.earnings, t.earnings_calendar)
     return rows.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("rows"), rnd(F.avg("sp500_return"), 4).alias("mean_index"),

@@ -154,3 +154,50 @@ def test_split_modes(spark):
     assert cor == [1.0] * 2 + [2.0] * 2 + [8.0] * 3
     with pytest.raises(ValueError):
         ind.split_adjusted(df, "x")
+
+
+def test_ema_of_mixed_spans(spark, walk):
+    spans = {"e2": 2, "e9": 9, "e200": 200}
+    block = windows.block_rows(list(spans.values()))
+    long = pd.concat([walk.assign(symbol=s, date=walk.date) for s in ("Q",)]).drop_duplicates(["symbol", "date"])
+    df = spark.createDataFrame(long[["symbol", "date", "close"]])
+    rows = series.chunked(df, ["symbol"], "date", windows.ema_reach(200) + block, rows=512, block=block)
+    out = series.own_rows(windows.with_layers(rows, windows.ema(["symbol"], {c: (F.col("close"), s) for c, s in spans.items()}, block))).toPandas().sort_values("date")
+    close = long.sort_values("date").close
+    for c, s in spans.items():
+        assert np.allclose(out[c], close.ewm(span=s, adjust=False).mean(), rtol=1e-9)
+
+
+def test_correlation_of_level_series(spark):
+    draw = np.random.default_rng(3)
+    n = 400
+    x = 100 + draw.uniform(-5e-5, 5e-5, n)
+    y = (x - 100) * 3 + draw.normal(0, 3e-5, n) + 7
+    pdf = pd.DataFrame({"symbol": "A", "date": pd.date_range("2020-01-01", periods=n).date, "x": x, "y": y, "c": 5.0})
+    out = ind.over_series(spark.createDataFrame(pdf), lambda w: windows.rolling_corr(["symbol"], w, 60, {"xy": ("x", "y"), "xc": ("x", "c")}, ind.BLOCK), before=60)
+    got = out.toPandas().sort_values("date")
+    want = [np.corrcoef(x[i - 59:i + 1], y[i - 59:i + 1])[0, 1] for i in range(59, n)]
+    assert got.xy[:59].isna().all() and np.allclose(got.xy[59:].astype(float), want, atol=1e-8) and got.xc.isna().all()
+
+
+def test_null_keys_and_dates_keep_their_rows(spark):
+    df = spark.createDataFrame([("A", "2020-01-01", 1), (None, "2020-01-01", 2), (None, "2020-01-03", 3), ("A", None, 4)], "symbol string, date string, v int") \
+        .withColumn("date", F.to_date("date"))
+    got = {r.v: (r["_pos"], r["_size"]) for r in series.with_position(df, ["symbol"], "date").collect()}
+    assert got == {1: (1, 2), 2: (0, 2), 3: (1, 2), 4: (0, 2)}
+    total = series.running(df.withColumn("b", F.lit(None).cast("long")), ["symbol"], ["b"], ["date"], {"s": F.col("v")})
+    assert {r.v: r.s for r in total.collect()} == {4: 4, 1: 5, 2: 2, 3: 5}
+
+
+def test_category_codes_with_shared_prefixes(spark):
+    from marketframe.operators.select import category_codes
+    values = [f"https://example.org/a/long/common/prefix/{i:04d}" for i in range(500)] + ["a", None, "a"]
+    got = {r.v: r.code for r in category_codes(spark.createDataFrame([(v,) for v in values], "v string"), "v").collect()}
+    assert got == {v: i for i, v in enumerate(sorted({v for v in values if v}))}
+
+
+def test_feature_table_moves_rows_by_symbol_and_chunk_only(spark, walk):
+    one = walk[walk.symbol == "A"].assign(gdp_growth=1.0, inflation_rate=2.0, unemployment_rate=3.0)
+    plan = feature_table(spark.createDataFrame(one), 5)._jdf.queryExecution().executedPlan().toString()
+    moves = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moves and all("_chunk" in line for line in moves)
