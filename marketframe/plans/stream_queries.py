@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.operators.landing import shared_folder
+from marketframe.operators.landing import scratch_path
 from marketframe.plans.catalog import query, rnd, sql_rnd
 from marketframe.plans.inputs import CTES
 from marketframe.streaming import live
@@ -17,41 +15,48 @@ SELECT event_type AS symbol, CAST(ts AS DATE) AS date, arg_min(value, {'ts': ts,
   arg_max(value, {'ts': ts, 'value': value}) AS close, count(*) AS volume FROM events GROUP BY ALL"""
 
 
+PARTS = 4
+
+
 def _events(t) -> DataFrame:
-    """The event table as a file stream."""
-    schema = t.table("events").schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.path)
+    """The event table as a stream of ``PARTS`` files, one per micro-batch, in the order of time."""
+    root = scratch_path(t.spark)
+    events = t.table("events")
+    cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [i / PARTS for i in range(1, PARTS)])).first()[0] or []
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = events if low is None else events.where(at >= low)
+        (part if high is None else part.where(at < high)).coalesce(1).write.mode("append").parquet(f"{root}/events")
+    return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/events")
 
 
 def _ticks(t) -> DataFrame:
     return _events(t).select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.lit(1).alias("size"))
 
 
-def _run(t, stream: DataFrame, mode: str) -> DataFrame:
-    """Drain a stream into Parquet files and read them back."""
-    root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
-    if mode == "append":
-        q = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{root}/state").trigger(
-            availableNow=True).start(f"{root}/out")
-    else:
-        def write(batch, batch_id):
-            batch.write.mode("overwrite").parquet(f"{root}/out")
-        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(write).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return t.spark.read.parquet(f"{root}/out")
+def _upserted(t, stream: DataFrame) -> DataFrame:
+    """Drain a stream of daily rows into a table, batch by batch, each replacing the days it changes."""
+    root = scratch_path(t.spark)
+    rows = stream.withColumn("month", F.trunc("date", "month"))
+    live.keep_upserting(rows, f"{root}/rows", f"{root}/state", ["symbol", "date"], "month", mode="update").awaitTermination()
+    return t.spark.read.parquet(f"{root}/rows").drop("month")
 
 
 @query("st1_streamed_bars", "SELECT symbol, date, open, high, low, close, volume FROM event_bars")
 def _st1(t):
-    return _run(t, live.daily_bars(_ticks(t)), "complete")
+    return _upserted(t, live.daily_bars(_ticks(t)))
 
 
 @query("st2_streamed_upsert", "SELECT symbol, date, open, high, low, close, volume FROM event_bars")
 def _st2(t):
-    root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    """Into a table that already holds each symbol's first days, wrongly."""
+    root = scratch_path(t.spark)
+    ticks = t.table("events").select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.lit(1).alias("size"))
+    wrong = live.daily_bars(ticks).withColumns({"close": F.lit(-1.0), "month": F.trunc("date", "month")})
+    wrong.where(F.day("date") <= 10).write.partitionBy("month").parquet(f"{root}/rows")
     bars = live.daily_bars(_ticks(t)).withColumn("month", F.trunc("date", "month"))
-    live.keep_upserting(bars, f"{root}/bars", f"{root}/state", ["symbol", "date"], "month", mode="update").awaitTermination()
-    return t.spark.read.parquet(f"{root}/bars").drop("month")
+    live.keep_upserting(bars, f"{root}/rows", f"{root}/state", ["symbol", "date"], "month", mode="update").awaitTermination()
+    return t.spark.read.parquet(f"{root}/rows").drop("month")
 
 
 @query("st3_streamed_sentiment", f"""
@@ -60,7 +65,7 @@ SELECT n.symbol, d.date, {sql_rnd('avg(n.score)')} AS sentiment_score, count(*)
 WHERE n.ts >= CAST(d.date AS TIMESTAMP) - INTERVAL 7 DAY AND n.ts < CAST(d.date AS TIMESTAMP) GROUP BY ALL""")
 def _st3(t):
     news = _events(t).select(F.col("event_type").alias("symbol"), "ts", (F.col("value") / 100).alias("score"))
-    return _run(t, live.sentiment(news), "complete").withColumn("sentiment_score", rnd("sentiment_score"))
+    return _upserted(t, live.sentiment(news)).withColumn("sentiment_score", rnd("sentiment_score"))
 
 
 @query("st4_live_averages", f"""
@@ -71,11 +76,17 @@ rec AS (SELECT symbol, date, rn, close AS e50, close AS e12, close AS e26, CAST(
   FROM rec r JOIN src s ON s.symbol = r.symbol AND s.rn = r.rn + 1)
 SELECT symbol, date, {sql_rnd('e50')} AS ema_50, {sql_rnd('e12 - e26')} AS macd, {sql_rnd('sig')} AS macd_signal, {sql_rnd('e12 - e26 - sig')} AS macd_hist FROM rec""")
 def _st4(t):
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
-    _run_bars = t.table("events").select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.lit(1).alias("size"))
-    live.daily_bars(_run_bars).write.parquet(f"{root}/bars")
+    root = scratch_path(t.spark)
+    ticks = t.table("events").select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.lit(1).alias("size"))
+    live.daily_bars(ticks).write.parquet(f"{root}/bars")
     bars = t.spark.readStream.schema("symbol string, date date, open double, high double, low double, close double, volume long").parquet(f"{root}/bars")
-    out = _run(t, live.live_averages(bars), "append")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(setting)
+    t.spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        live.live_averages(bars).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True) \
+            .start(f"{root}/out").awaitTermination()
+    finally:
+        t.spark.conf.set(setting, before)
+    out = t.spark.read.parquet(f"{root}/out").where("status = 'ok'")
     return out.select("symbol", "date", *[rnd(c).alias(c) for c in ("ema_50", "macd", "macd_signal", "macd_hist")])

@@ -12,10 +12,22 @@ TYPE_MAP = {
     "char": "string", "character": "string", "varchar": "string", "character varying": "string", "uuid": "string",
     "xml": "string", "inet": "string", "cidr": "string", "macaddr": "string", "tsvector": "string",
     "tsquery": "string", "txid_snapshot": "string", "json": "string", "jsonb": "string", "bytea": "binary",
-    "array": "array<string>",
+    "array": "array<string>", "national character": "string", "national character varying": "string", "point": "string",
+    "line": "string", "lseg": "string", "box": "string", "path": "string", "polygon": "string", "circle": "string",
 }
 
 
+def spark_type(database_type: str) -> str | None:
+    """The Spark type of a database type, whatever its length, e.g. ``varchar(20)``; None if it is not known."""
+    name, _, rest = database_type.strip().lower().partition("(")
+    numbers, _, tail = rest.partition(")")
+    if name.strip() in ("numeric", "decimal") and numbers:
+        return f"decimal({numbers})"
+    if name.strip().endswith("[]") or tail.strip().endswith("[]"):
+        return TYPE_MAP["array"]
+    return TYPE_MAP.get(f"{name.strip()} {tail.strip()}".strip())
+
+
 # Table schemas as DDL, for readers and casts.
 BASIC_STOCK_DATA = (
     "symbol string, date date, open double, high double, low double, close double, volume double, "

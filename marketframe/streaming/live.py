@@ -48,36 +48,40 @@ def keep_upserting(stream: DataFrame, path: str, checkpoint: str, keys: list[str
 
 
 _STATE = "ema_50 double, fast double, slow double, signal double, last_date date"
-LIVE_SCHEMA = "symbol string, date date, ema_50 double, macd double, macd_signal double, macd_hist double"
+LIVE_SCHEMA = "symbol string, date date, ema_50 double, macd double, macd_signal double, macd_hist double, status string"
 
 
 class LiveAverages(StatefulProcessor):
     """Carries each symbol's exponential averages from batch to batch.
 
-    Rows of a batch are put in date order; a date at or before the last one seen is left out, since
-    the averages cannot be rewound.
+    Rows of a batch are put in date order.  The averages cannot be rewound: a row at or before the last date
+    seen, and any but the last row of a date, comes out with NULL averages and the status ``late`` or
+    ``replaced``, so that every row that goes in comes out.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("averages", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("date").drop_duplicates("date", keep="last")
+        pdf = pd.concat(list(rows)).sort_values("date", kind="stable")
+        last = ~pdf["date"].duplicated(keep="last")
         out, s = [], list(self.state.get()) if self.state.exists() else None
-        for day, close in zip(pdf["date"], pdf["close"]):
+        for day, close, counts in zip(pdf["date"], pdf["close"], last):
+            late = s is not None and day <= s[4]
+            if late or not counts:
+                out.append((key[0], day, None, None, None, None, "late" if late else "replaced"))
+                continue
             if s is None:
                 s = [close, close, close, 0.0, day]
-            elif day <= s[4]:
-                continue
             else:
                 for i, span in enumerate((EMA_SPAN, MACD_FAST, MACD_SLOW)):
                     s[i] += (close - s[i]) * 2 / (span + 1)
                 s[3] += (s[1] - s[2] - s[3]) * 2 / (MACD_SIGNAL + 1)
                 s[4] = day
-            out.append((key[0], day, s[0], s[1] - s[2], s[3], s[1] - s[2] - s[3]))
+            out.append((key[0], day, s[0], s[1] - s[2], s[3], s[1] - s[2] - s[3], "ok"))
         if s is not None:
             self.state.update(tuple(s))
-        yield pd.DataFrame(out, columns=["symbol", "date", "ema_50", "macd", "macd_signal", "macd_hist"])
+        yield pd.DataFrame(out, columns=["symbol", "date", "ema_50", "macd", "macd_signal", "macd_hist", "status"])
 
     def close(self) -> None:
         pass

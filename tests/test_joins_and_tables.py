@@ -254,3 +254,57 @@ def test_request_errors(spark):
     df = spark.createDataFrame([("AAPL", 700, 30, "LOW", "basic"), ("TOOLONG", 10, 99, "low", None)], "s string, l int, h int, t string, f string")
     got = [r.e for r in df.select(scalars.request_errors(*[F.col(c) for c in "slhtf"]).alias("e")).collect()]
     assert got == [[], ["symbol", "lookback", "horizon", "tuning", "feature_set"]]
+
+
+def test_upsert_of_repeated_and_null_keys(spark):
+    old = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int")
+    batch = spark.createDataFrame([("a", 5), ("a", 7), (None, 9), ("b", 1)], "k string, v int")
+    once = tables.upsert(old, batch, ["k"])
+    want = {("a", 7), (None, 9), ("b", 1)}
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, tables.upsert(once, batch, ["k"]).collect()), key=str) == sorted(want, key=str)
+
+
+def test_upsert_finishes_what_an_earlier_run_staged(spark, tmp_path):
+    path = str(tmp_path / "t")
+    first = spark.createDataFrame([("a", 1, "p"), ("b", 2, "q")], "k string, v int, part string")
+    tables.upsert_table(spark, path, first, ["k"], "part")
+    spark.createDataFrame([("a", 10, "p")], "k string, v int, part string").write.mode("overwrite").parquet(f"{path}_staged")
+    tables.upsert_table(spark, path, spark.createDataFrame([("b", 3, "q")], "k string, v int, part string"), ["k"], "part")
+    assert {(r.k, r.v) for r in spark.read.parquet(path).collect()} == {("a", 10), ("b", 3)}
+
+
+def test_every_database_type_is_known(spark):
+    from marketframe.schemas import TYPE_MAP, spark_type
+    for name in TYPE_MAP:
+        assert spark_type(name) and spark_type(name.upper())
+    assert spark_type("varchar(20)") == "string" and spark_type("numeric(10,2)") == "decimal(10,2)" and spark_type("timestamp(6) without time zone") == "timestamp_ntz"
+    assert spark_type("text[]") == "array<string>" and spark_type("no such type") is None
+    df = spark.createDataFrame([("1", "(1,2)", "x")], "a string, b string, c string")
+    assert tables.conform(df, {"a": "int", "b": "point", "c": "no such type"}).first() == (1, "(1,2)", "x")
+
+
+def test_asof_needs_dates(spark):
+    df = spark.createDataFrame([("a", 1)], "k string, v int").withColumn("ts", F.current_timestamp())
+    with pytest.raises(TypeError):
+        asof_join(df, df, ["k"], "ts", "ts", ["v"])
+
+
+def test_late_ticks_and_bars(spark, tmp_path):
+    from marketframe.plans.stream_queries import _upserted
+    from marketframe.streaming import live
+    schema = "symbol string, ts timestamp, price double, size int"
+    batches = [[("A", "2024-01-01 10:00:00", 1.0, 1), ("A", "2024-01-02 10:00:00", 2.0, 1)], [("A", "2024-01-01 11:00:00", 5.0, 1)],
+               [("A", "2024-01-20 10:00:00", 3.0, 1)], [("A", "2024-01-20 11:00:00", 4.0, 1)], [("A", "2024-01-01 12:00:00", 9.0, 1)]]
+    for rows in batches:
+        spark.createDataFrame(rows, "symbol string, ts string, price double, size int").withColumn("ts", F.to_timestamp("ts")).coalesce(1) \
+            .write.mode("append").parquet(str(tmp_path / "ticks"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ticks"))
+
+    class Here:
+        pass
+    here = Here()
+    here.spark = spark
+    got = {str(r.date): (r.open, r.close, r.volume) for r in _upserted(here, live.daily_bars(stream)).collect()}
+    # an hour late still counts, nineteen days late no more
+    assert got == {"2024-01-01": (1.0, 5.0, 2), "2024-01-02": (2.0, 2.0, 1), "2024-01-20": (3.0, 4.0, 2)}
