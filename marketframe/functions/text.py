@@ -147,13 +147,30 @@ def percent_text(x: Column) -> Column:
     return F.format_string("%.2f%%", x * 100)
 
 
+def _section(heading: str, lines: list[Column]) -> Column:
+    """A heading and its lines; nothing where every line is NULL."""
+    body = F.concat_ws("\n", *lines)
+    return F.when(body != "", F.concat(F.lit(f"**{heading}:**\n"), body))
+
+
+def _line(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f"- **{name}:** "), value)
+
+
 def narrative(category: Column, fields: dict[str, Column]) -> Column:
-    """A model's description from its numbers, by category."""
-    movement = F.concat(F.lit("The model predicts that the stock for "), fields["symbol"], F.lit(" will *"),
-                        fields["movement"], F.lit("* by "), fields["prediction_date"], F.lit("."))
-    amount = F.concat(F.lit("The SARIMAX model forecasts the stock price for "), fields["symbol"], F.lit(" to be $"),
-                      fields["amount"], F.lit(" by "), fields["prediction_date"], F.lit("."))
-    metric = F.when(category == "classification", F.concat(F.lit("- **F1 Score:** "), fields["f1"])).otherwise(
-        F.concat(F.lit("- **MAPE:** "), fields["mape"], F.lit("%")))
-    first = F.when(category == "regression", amount).otherwise(movement)
-    return F.concat_ws("\n", F.lit("**Conclusion:**"), first, F.lit(""), F.lit("**Performance Metrics:**"), metric)
+    """A model's description from its numbers, by category: what it expects, how well it did, the details of the
+    forecast, its strongest features, its confusion matrix and its parameters.  Parts without numbers are left out."""
+    def get(name: str) -> Column:
+        return fields.get(name, F.lit(None).cast("string"))
+    to = F.concat(F.lit(" on "), get("prediction_date"))
+    price = F.concat(F.lit("Expected price of "), get("symbol"), to, F.lit(": $"), get("amount"))
+    direction = F.concat(F.lit("Expected direction of "), get("symbol"), to, F.lit(": *"), get("movement"), F.lit("*"))
+    regression, classes = category == "regression", category == "classification"
+    measures = [F.when(classes, _line(n, get(k))) for n, k in (("Accuracy", "accuracy"), ("Precision", "precision"), ("Recall", "recall"), ("F1 Score", "f1"), ("ROC AUC", "roc_auc"))]
+    measures += [F.when(~classes, _line(n, get(k))) for n, k in (("RMSE", "rmse"), ("MAE", "mae"), ("MAPE", "mape"), ("Confidence Score", "confidence"))]
+    details = [F.when(regression, _line("Predicted Amount", get("amount"))), F.when(classes, _line("Confidence Level", get("probability"))),
+               _line("Last Known Price", get("last_known_price"))]
+    cells = [F.when(classes, _line(n, get(k))) for n, k in (("True Positives", "tp"), ("True Negatives", "tn"), ("False Positives", "fp"), ("False Negatives", "fn"))]
+    return F.concat_ws("\n\n", _section("Conclusion", [F.when(regression, price).otherwise(direction)]), _section("Performance Metrics", measures),
+                       _section("Prediction Details", details), _section("Key Influencing Features", [F.concat(F.lit("- "), get("features"))]),
+                       _section("Confusion Matrix", cells), _section("Model Parameters", [F.concat(F.lit("- "), get("parameters"))]))

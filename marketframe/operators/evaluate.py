@@ -88,11 +88,10 @@ def value_counts(rows: DataFrame, column: str, n: int | None = None) -> DataFram
 
 def histogram(rows: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Counts in equal bins between the least and the greatest value."""
-    known = rows.filter(F.col(column).isNotNull()).select(column)
-    lo, hi = known.agg(F.min(column)).scalar(), known.agg(F.max(column)).scalar()
-    known = known.withColumns({"_lo": lo, "_hi": hi})
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    bin_no = F.least(F.lit(bins), F.coalesce(F.floor(F.try_divide(F.col(column) - F.col("_lo"), width)), F.lit(0)) + 1)
+    known = land(rows.filter(F.col(column).isNotNull()).select(column))
+    ends = known.agg(F.min(column), F.max(column)).first()
+    lo, hi = (F.lit(v).cast(known.schema[column].dataType) for v in ends)
+    bin_no = F.least(F.lit(bins), F.coalesce(F.floor(F.try_divide(F.col(column) - lo, (hi - lo) / bins)), F.lit(0)) + 1)
     return known.groupBy(bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -62,11 +62,11 @@ def coefficients(models: DataFrame, features: list[str], keys: list[str] = KEYS)
     return models.select(*keys, F.inline(F.arrays_zip(names.alias("feature"), F.col("coef").alias("coef"))))
 
 
-def predict(rows: DataFrame, models: DataFrame, features: list[str], keys: list[str] = KEYS, out: str = "pred") -> DataFrame:
+def predict(rows: DataFrame, models: DataFrame, features: list[str], keys: list[str] = KEYS, out: str = "pred", how: str = "inner") -> DataFrame:
     value = F.col("intercept")
     for i, f in enumerate(features):
         value = value + F.col(f) * F.col("coef")[i]
-    return rows.join(models.select(*keys, "coef", "intercept", "sigma"), keys).withColumn(out, value).drop("coef", "intercept")
+    return rows.join(models.select(*keys, "coef", "intercept", "sigma"), keys, how).withColumn(out, value).drop("coef", "intercept")
 
 
 def with_interval(predicted: DataFrame, pred: str = "pred", z: float = NORMAL_95) -> DataFrame:
@@ -106,6 +106,9 @@ def order_search(rows: DataFrame, features: list[str], target: str, horizon: int
                  splits: int = 3, keys: list[str] = KEYS, order: str = "date") -> DataFrame:
     """Mean RMSE over expanding folds of every order (p, d, q) and season, per symbol; ``best`` marks the winner.
 
+    An order is fitted on the rows that have its own lags, whatever deeper lags other orders want.  Every symbol has a
+    row for every order; ``rmse`` is NULL, with the reason, where some fold is too short for it.
+
     All orders are linear in the same lags, so one pass adds up the products per symbol
     and fold block; every fit is then a small solve on those sums.  The moving-average
     part uses lagged residuals of a first regression with a few lags.
@@ -125,13 +128,17 @@ def order_search(rows: DataFrame, features: list[str], target: str, horizon: int
         first = [*features, *[f"_ar{i}" for i in range(1, LONG_AR + 1)]]
         head = ar.filter(F.col(series.POS) < F.col(series.SIZE) / (splits + 1))
         models = fit(head, first, target, keys)
-        base = predict(ar, models, first, keys, "_fit").withColumn("_e", F.coalesce(F.col(target) - F.col("_fit"), F.lit(0.0)))
+        base = predict(ar, models, first, keys, "_fit", "left").withColumn("_e", F.coalesce(F.col(target) - F.col("_fit"), F.lit(0.0)))
         base = base.drop("_fit", "sigma", *[f"_ar{i}" for i in range(1, LONG_AR + 1)])
+    depth = {o: max([0, *(lag for term in _terms(o)[0] for lag in term), *_terms(o)[1]]) for o in orders}
+    depths = sorted(set(depth.values()))
+    # a row serves the orders no deeper than its place in the series; a lag it lacks is not read by these
     lagged = series.chunked(base, keys, order, reach).withColumns({
-        **{f"_y{i}": (F.lag(target, i).over(w) if i else F.col(target)) for i in y_lags},
-        **{f"_e{i}": F.lag("_e", i).over(w) for i in e_lags}, "_fold": fold_block(splits)})
+        **{f"_y{i}": (F.coalesce(F.lag(target, i).over(w), F.lit(0.0)) if i else F.col(target)) for i in y_lags},
+        **{f"_e{i}": F.coalesce(F.lag("_e", i).over(w), F.lit(0.0)) for i in e_lags}, "_fold": fold_block(splits),
+        "_serves": sum((F.col(series.POS) >= d).cast("int") for d in depths)})
     columns = [*features, *[f"_y{i}" for i in y_lags], *[f"_e{i}" for i in e_lags]]
-    sums = moments(series.own_rows(lagged), columns, [*keys, "_fold"])
+    sums = moments(series.own_rows(lagged), columns, [*keys, "_fold", "_serves"])
     at = {c: i + 1 for i, c in enumerate(columns)}
     size = len(columns)
 
@@ -148,27 +155,36 @@ def order_search(rows: DataFrame, features: list[str], target: str, horizon: int
         return np.array([*out, *lin[1:], *[np.eye(size + 1)[at[f"_e{i}"]] for i in e_terms], lin[0]])
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        """At most splits + 1 rows of sums come in, whatever the length of the series."""
-        blocks = {int(f): gram(n, np.asarray(m), size) for f, n, m in zip(pdf["_fold"], pdf["n"], pdf["m"])}
+        """A few rows of sums come in per fold, whatever the length of the series."""
+        found = [(int(f), int(s), gram(n, np.asarray(m), size)) for f, s, n, m in zip(pdf["_fold"], pdf["_serves"], pdf["n"], pdf["m"])]
         result = []
         for o in orders:
-            t, errors = matrix(o), []
+            t, errors, reason = matrix(o), [], None
+            usable = [(f, g) for f, s, g in found if s > depths.index(depth[o])]
             for fold in range(1, splits + 1):
-                train = [blocks[i] for i in range(fold) if i in blocks]
-                if not train or fold not in blocks:
-                    continue
-                beta, const, _ = solve(t @ sum(train) @ t.T, RIDGE)
+                train = sum((g for f, g in usable if f < fold), np.zeros((size + 1, size + 1)))
+                test = sum((g for f, g in usable if f == fold), np.zeros((size + 1, size + 1)))
+                if train[0, 0] < len(t) or not test[0, 0]:
+                    reason = f"fold {fold} has {int(train[0, 0])} training and {int(test[0, 0])} test rows for {len(t) - 1} terms"
+                    break
+                beta, const, _ = solve(t @ train @ t.T, RIDGE)
                 a = np.array([-const, *(-beta), 1.0])
-                test = t @ blocks[fold] @ t.T
+                test = t @ test @ t.T
                 errors.append(float(np.sqrt(max(a @ test @ a, 0.0) / test[0, 0])))
-            result.append((*o, float(np.mean(errors)) if errors else None))
-        out = pd.DataFrame(result, columns=["p", "d", "q", "season", "rmse"])
+            result.append((*o, None if reason else float(np.mean(errors)), reason))
+        out = pd.DataFrame(result, columns=["p", "d", "q", "season", "rmse", "reason"])
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])
         best = out["rmse"].astype(float).idxmin() if out["rmse"].notna().any() else -1
         return out.assign(best=out.index == best)
     types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return sums.groupBy(*keys).applyInPandas(search, f"{types}, p int, d int, q int, season int, rmse double, best boolean")
+    found = sums.groupBy(*keys).applyInPandas(search, f"{types}, p int, d int, q int, season int, rmse double, reason string, best boolean")
+    names = ["p", "d", "q", "season"]
+    every = rows.select(*keys).distinct().select(*keys, F.inline(F.array(*[
+        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, o)]) for o in orders])))
+    return every.join(found, [*keys, *names], "left").select(
+        *keys, *names, "rmse", F.when(F.col("best").isNull(), F.lit("no complete rows")).otherwise(F.col("reason")).alias("reason"),
+        F.coalesce("best", F.lit(False)).alias("best"))
 
 
 def score_dates(predicted: DataFrame, requests: DataFrame, horizon: int, mode: str = "reference") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketframe.functions.text import clean_responses
 from marketframe.operators.asof import asof_join
 from marketframe.operators.select import latest_per_key, top_per_key
+from marketframe.sources.tables import upsert
 
 OUTCOME_TOLERANCE_DAYS = 7
 
@@ -121,6 +122,23 @@ def chart_series(merged: DataFrame, as_of: Column) -> DataFrame:
                          F.when(F.col("date") <= as_of, known).alias("actual_price"))
 
 
+def chart_movements(rows: DataFrame) -> DataFrame:
+    """Points of a classification chart: prices as numbers, movements as 0 or 1, NULL where they are no numbers."""
+    return rows.select("model_key", "date", F.col("actual_price").try_cast("double").alias("actual_price"),
+                       *[F.col(c).try_cast("int").alias(c) for c in ("predicted_movement", "actual_movement")])
+
+
+def explained(explanations: DataFrame, models: DataFrame, explanation: Column) -> tuple[DataFrame, DataFrame]:
+    """The table of explanations with one for each complete model row put in, by model key, and the rows that lack a
+    field, with the names of what is missing and the row itself as JSON."""
+    needed = ["model_key", "symbol", "prediction_date", "prediction_explanation", "date_created"]
+    missing = F.array_join(F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in needed]), lambda x: x.isNotNull()), ", ")
+    marked = models.withColumn("_missing", missing)
+    made = marked.filter("_missing = ''").select("model_key", explanation.alias("explanation"), F.col("date_created").alias("created_date"))
+    failed = marked.filter("_missing <> ''").select("model_key", F.concat(F.lit("missing: "), "_missing").alias("error"), F.to_json(F.struct(*models.columns)).alias("input"))
+    return upsert(explanations, made, ["model_key"], ["created_date"]), failed
+
+
 def top_features(importances: DataFrame, n: int = 6) -> DataFrame:
     """The n most important features of each model, also relative to the first."""
     top = top_per_key(importances, ["model_key"], [F.col("importance").desc(), "i"], n)

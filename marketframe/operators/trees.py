@@ -100,7 +100,7 @@ def grid_search(rows: DataFrame, features: list[str], candidates: list[dict], ta
 def oversample(rows: DataFrame, features: list[str], target: str = "target", k: int = 5, seed: int = SEED,
                cell_scale: float = 1.0) -> DataFrame:
     """Synthetic minority rows per symbol until its classes are even, each between a minority row
-    and one of its k nearest minority neighbours of the symbol.
+    and one of its k nearest minority neighbours of the symbol; an only minority row is repeated.
 
     Nearest neighbours are exact without comparing all pairs: k neighbours along a line give
     each row an upper bound on the distance, and only rows whose positions on the line differ by
@@ -133,9 +133,11 @@ def oversample(rows: DataFrame, features: list[str], target: str = "target", k:
     pairs = pairs.withColumn("_dist", _distance(F.col("_v"), F.col("_ov"))).filter(F.col("_dist") <= slack)
     best = Window.partitionBy("symbol", "date").orderBy("_dist", "_o")
     ranked = pairs.withColumn("_nn", F.row_number().over(best)).filter(F.col("_nn") <= k)
-    neighbours = ranked.groupBy("symbol", "date").agg(
-        F.sort_array(F.collect_list(F.struct("_nn", "_ov"))).alias("_nns"),
-        *[F.first(c).alias(c) for c in ("_v", "_n", "_need", "_rank")])
+    near = ranked.groupBy("symbol", "date").agg(F.sort_array(F.collect_list(F.struct("_nn", "_ov"))).alias("_nns"))
+    # an only minority row has no neighbour but itself
+    alone = F.array(F.struct(F.lit(1).alias("_nn"), F.col("_v").alias("_ov")))
+    neighbours = m.select("symbol", "date", "_v", "_n", "_need", "_rank").join(near, ["symbol", "date"], "left") \
+        .withColumn("_nns", F.coalesce("_nns", alone))
     # row number r of the minority makes the synthetic rows r, r + n, r + 2n, ... below the number needed
     copies = F.when(F.col("_rank") < F.col("_need"), F.sequence(
         F.lit(0).cast("long"), F.floor((F.col("_need") - 1 - F.col("_rank")) / F.col("_n")))).otherwise(F.array().cast("array<bigint>"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketframe.functions import scalars, text
@@ -356,16 +357,22 @@ def _f16(t):
 
 
 @query("f17_narrative", """
-SELECT model_key, concat_ws(chr(10), '**Conclusion:**',
-  CASE WHEN k % 3 = 1 THEN 'The SARIMAX model forecasts the stock price for ' || symbol || ' to be $' || printf('%.1f', start_price) || ' by ' || prediction_date || '.'
-       ELSE 'The model predicts that the stock for ' || symbol || ' will *' || movement || '* by ' || prediction_date || '.' END, '',
-  '**Performance Metrics:**', CASE WHEN k % 3 = 0 THEN '- **F1 Score:** ' || printf('%.3f', f1) ELSE '- **MAPE:** ' || CAST(floor(mape) AS BIGINT) || '%' END) AS narrative FROM registry""")
+SELECT model_key, concat_ws(chr(10) || chr(10),
+  '**Conclusion:**' || chr(10) || CASE WHEN k % 3 = 1 THEN 'Expected price of ' || symbol || ' on ' || prediction_date || ': $' || printf('%.1f', start_price)
+       ELSE 'Expected direction of ' || symbol || ' on ' || prediction_date || ': *' || movement || '*' END,
+  '**Performance Metrics:**' || chr(10) || CASE WHEN k % 3 = 0 THEN '- **F1 Score:** ' || printf('%.3f', f1) ELSE '- **MAPE:** ' || CAST(floor(mape) AS BIGINT) || '%' END,
+  '**Prediction Details:**' || chr(10) || CASE WHEN k % 3 = 1 THEN '- **Predicted Amount:** ' || printf('%.1f', start_price) || chr(10) ELSE '' END
+     || '- **Last Known Price:** ' || printf('%.1f', start_price),
+  CASE WHEN k % 3 = 0 THEN '**Confusion Matrix:**' || chr(10) || '- **True Positives:** ' || k % 7 || chr(10) || '- **True Negatives:** ' || k % 11 END,
+  '**Model Parameters:**' || chr(10) || '- ' || model_parameters) AS narrative FROM params_json""")
 def _f17(t):
     kind = F.element_at(F.array(F.lit("classification"), F.lit("regression"), F.lit("general")), (F.col("k") % 3 + 1).cast("int"))
-    return t.registry.select("model_key", text.narrative(kind, {
+    price = F.format_string("%.1f", "start_price")
+    return t.params_json.select("model_key", text.narrative(kind, {
         "symbol": F.col("symbol"), "movement": F.col("movement"), "prediction_date": F.col("prediction_date").cast("string"),
-        "amount": F.format_string("%.1f", "start_price"), "f1": F.format_string("%.3f", "f1"),
-        "mape": F.floor("mape").cast("string")}).alias("narrative"))
+        "amount": price, "last_known_price": price, "f1": F.format_string("%.3f", "f1"), "parameters": F.col("model_parameters"),
+        "mape": F.concat(F.floor("mape").cast("string"), F.lit("%")), "tp": (F.col("k") % 7).cast("string"), "tn": (F.col("k") % 11).cast("string"),
+    }).alias("narrative"))
 
 
 # -- registry and reports --------------------------------------------------------------------------
@@ -398,6 +405,18 @@ def _r3(t):
     return c.select("model_key", "date", rnd("predicted_price").alias("predicted_price"), "actual_price")
 
 
+@query("r3_chart_series_class", """
+SELECT model_key, date, CASE WHEN date <= DATE '2000-06-30' THEN actual END AS actual_price,
+  CAST(proba > 0.5 AS INT) AS predicted_movement, CAST(actual > lag(actual) OVER (PARTITION BY model_key ORDER BY date) AS INT) AS actual_movement
+FROM predictions""")
+def _r3c(t):
+    before = F.lag("actual").over(Window.partitionBy("model_key").orderBy("date"))
+    rows = t.predictions.select("model_key", "date", F.when(F.col("date") <= F.lit("2000-06-30").cast("date"), F.col("actual")).alias("actual_price"),
+                                (F.col("proba") > 0.5).cast("int").cast("string").alias("predicted_movement"),
+                                (F.col("actual") > before).cast("int").cast("string").alias("actual_movement"))
+    return reports.chart_movements(rows)
+
+
 @query("r4_model_card", """
 SELECT p.model_key, p.symbol, p.f1, json_extract_string(p.model_parameters, '$.hyperparameter_tuning') AS tuning,
   json_extract_string(i.feature_importance, '$.feature."0"') AS first_feature, e.explanation
@@ -424,6 +443,19 @@ def _r6(t):
     return latest_per_key(good, ["symbol", "date"], ["k"]).select("symbol", "date", "prediction_date", "predicted_amount", "up_or_down")
 
 
+@query("r7_explanation_upsert", """
+WITH made AS (SELECT model_key, 'about ' || symbol AS explanation, date_created AS created_date FROM registry WHERE k % 3 <> 0 AND k % 5 <> 0)
+SELECT model_key, explanation, NULL AS error FROM made
+UNION ALL SELECT model_key, explanation, NULL FROM explanation_text ANTI JOIN made USING (model_key)
+UNION ALL SELECT model_key, NULL, 'missing: symbol' FROM registry WHERE k % 3 <> 0 AND k % 5 = 0""")
+def _r7u(t):
+    batch = t.registry.where("k % 3 <> 0").select("model_key", F.when(F.col("k") % 5 != 0, F.col("symbol")).alias("symbol"), "prediction_date",
+                                                  F.col("movement").alias("prediction_explanation"), "date_created")
+    table, failed = reports.explained(t.explanation_text.withColumn("created_date", F.lit(None).cast("date")), batch, F.concat(F.lit("about "), F.col("symbol")))
+    return table.select("model_key", "explanation", F.lit(None).cast("string").alias("error")).unionByName(
+        failed.select("model_key", F.lit(None).cast("string").alias("explanation"), "error"))
+
+
 @query("r7_rejected_calls", """
 SELECT model_key, CASE WHEN c IS NULL THEN 'no JSON object' ELSE 'no amount' END AS error, r.text AS input
 FROM clean_responses JOIN responses r USING (model_key) WHERE json_extract_string(c, '$.predicted_amount') IS NULL""")

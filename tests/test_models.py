@@ -129,3 +129,21 @@ def test_one_long_series_is_spread_over_tasks(spark):
     assert len(sizes) == 40 and sizes.max() <= 1100
     assert c.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     assert series.own_rows(c).count() == 40_000
+
+
+def test_every_symbol_and_order_has_a_row(spark, rows):
+    from marketframe.operators.linear import _orders
+    short = rows[rows["symbol"] == "A"].head(40).assign(symbol="S")
+    empty = rows[rows["symbol"] == "A"].head(3).assign(symbol="E", y=None)
+    got = linear.order_search(spark.createDataFrame(pd.concat([rows, short, empty])), X, "y", 30, "MEDIUM").toPandas()
+    assert len(got) == 4 * len(_orders("MEDIUM", [7, 30]))
+    assert (got["rmse"].isna() == got["reason"].notna()).all()
+    assert got[got["symbol"] == "E"]["reason"].eq("no complete rows").all() and got[got["symbol"] == "S"]["rmse"].notna().any()
+    assert got[got["best"]].groupby("symbol").size().to_dict() == {"A": 1, "B": 1, "S": 1}
+
+
+def test_an_only_minority_row_is_repeated(spark, rows):
+    pdf = rows[rows["symbol"] == "A"].head(20).reset_index(drop=True)
+    pdf["target"] = (pdf.index == 4).astype(int)
+    made = trees.oversample(spark.createDataFrame(pdf), X).toPandas()
+    assert len(made) == 18 and np.allclose(made[X].to_numpy(dtype=float), pdf.loc[4, X].to_numpy(dtype=float)) and (made["target"] == 1).all()
