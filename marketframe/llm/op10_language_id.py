@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,22 +60,48 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+class Scripts(dict):
+    """Character to the number of its script, remembered."""
+
+    def __missing__(self, c: str) -> int:
+        self[c] = value = int(_SCRIPT_OF[np.searchsorted(_FIRST, ord(c), "right") - 1])
+        return value
+
+
+_script = Scripts()
+_LATIN = _NAMES.index("latin")
+
+
 def pieces(token: str) -> list[tuple[str, int]]:
     """The runs of letters of one script in a token, lower-cased, each with its script."""
+    if len(token) <= LONGEST and token.isascii() and token.isalpha():
+        return [(token.lower(), _LATIN)]
     out = []
     for found in _PIECE.findall(token):
-        scripts = _SCRIPT_OF[np.searchsorted(_FIRST, [ord(c) for c in found], "right") - 1]
+        scripts = [_script[c] for c in found]
         start = 0
-        for end in [*(np.flatnonzero(np.diff(scripts)) + 1).tolist(), len(found)]:
-            out.append((found[start:end].lower(), int(scripts[start])))
-            start = end
+        for end in range(1, len(found) + 1):
+            if end == len(found) or scripts[end] != scripts[start]:
+                out.append((found[start:end].lower(), scripts[start]))
+                start = end
     return out
 
 
-def grams(piece: str) -> list[int]:
-    """Hash buckets of the n-grams of a word with its ends marked."""
-    marked = f" {piece} "
-    return [xxhash.xxh32_intdigest(marked[i:i + n], n) % BUCKETS for n in ORDERS for i in range(len(marked) - n + 1)]
+def grams(found: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n, the hash buckets of the n-grams of words with their ends marked, and the number of the word that
+    each belongs to, in order."""
+    marked = "".join(f" {x} " for x in found)
+    codes = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(found)), [len(x) + 2 for x in found])
+    for n in ORDERS:
+        if len(codes) < n:
+            continue
+        last = len(codes) - n + 1
+        value = np.full(last, n, np.uint64)
+        for j in range(n):
+            value = value * np.uint64(0x9E3779B97F4A7C15) + codes[j:j + last]
+        inside = owner[:last] == owner[n - 1:]
+        yield (words.mix(value[inside]) % np.uint64(BUCKETS)).astype(np.int64), owner[:last][inside]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,11 +111,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             seen.setdefault(lang, Counter()).update(text.as_py().split())
         for lang, tokens in seen.items():
+            found = [(piece, script, n) for token, n in tokens.items() for piece, script in pieces(token)]
+            times = np.array([n for *_, n in found], np.float64)
             total = np.zeros(BUCKETS + len(_NAMES), np.int64)
-            for token, n in tokens.items():
-                for piece, script in pieces(token):
-                    np.add.at(total, grams(piece), n)
-                    total[BUCKETS + script] += n * len(piece)
+            for buckets, owner in grams([piece for piece, *_ in found]):
+                total[:BUCKETS] += np.bincount(buckets, times[owner], BUCKETS).astype(np.int64)
+            for piece, script, n in found:
+                total[BUCKETS + script] += n * len(piece)
             at = np.flatnonzero(total)
             yield words.batch_of(schema, [lang] * len(at), at, total[at])
 
@@ -105,10 +132,16 @@ class Model:
         letters = counts[BUCKETS:]
         self.uses = letters > SCRIPT_SHARE * np.maximum(letters.sum(axis=0), 1)
 
-    def score(self, piece: str, script: int) -> np.ndarray:
-        value = self.likelihood[grams(piece)].sum(axis=0)
-        narrow = self.uses[script]
-        return np.where(narrow, value, value.min() - 50) if narrow.any() else value
+    def scores(self, found: list[tuple[str, int]]) -> np.ndarray:
+        """(words, languages) scores of words and their scripts."""
+        value = np.zeros((len(found), max(1, len(self.langs))), np.float32)
+        for buckets, owner in grams([piece for piece, _ in found]):
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            if len(first):
+                value[owner[first]] += np.add.reduceat(self.likelihood[buckets], first, axis=0)
+        narrow = self.uses[[script for _, script in found]]
+        narrow |= ~narrow.any(axis=1, keepdims=True)
+        return np.where(narrow, value, value.min(axis=1, keepdims=True) - 50)
 
 
 def learn(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
@@ -168,39 +201,31 @@ def _predict(model: Model, switch: float):
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([
         ("lang", pa.string()), ("words", pa.int32()), ("letters", pa.int32())])))])
 
-    class Known(dict):
-        """Token to the numbers of its pieces, as bytes."""
-
-        def __init__(self):
-            self.scores, self.letters = [], []
-
-        def __missing__(self, token: str) -> bytes:
-            first = len(self.scores)
-            for piece, script in pieces(token):
-                self.scores.append(model.score(piece, script))
-                self.letters.append(len(piece))
-            self[token] = value = np.arange(first, len(self.scores), dtype=np.int32).tobytes()
-            return value
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known()
+        known: dict[str, bytes] = {}
+        scores, letters = np.zeros((0, max(1, len(model.langs))), np.float32), np.zeros(0, np.int64)
         for batch in words.slices(batches):
-            if len(known) > words.CACHED_WORDS // 4:
-                known = Known()
-            numbers = []
-            for text in batch.column(1):
-                text = text.as_py()
-                numbers.append(np.frombuffer(b"".join(map(known.__getitem__, text.split())), np.int32) if text and model.langs else np.zeros(0, np.int32))
-            scores = np.array(known.scores, np.float32).reshape(len(known.scores), max(1, len(model.langs)))
-            letters = np.array(known.letters, np.int64)
+            tokens = [t.as_py().split() if model.langs and t.is_valid else [] for t in batch.column(1)]
+            if len(known) > words.CACHED_WORDS // 2:
+                known, scores, letters = {}, scores[:0], letters[:0]
+            new = set().union(*tokens).difference(known)
+            found = []
+            for token in new:
+                own = pieces(token)
+                known[token] = np.arange(len(scores) + len(found), len(scores) + len(found) + len(own), dtype=np.int32).tobytes()
+                found += own
+            if found:
+                scores = np.concatenate([scores, model.scores(found)])
+                letters = np.concatenate([letters, [len(piece) for piece, _ in found]])
+            numbers = [np.frombuffer(b"".join(map(known.__getitem__, own)), np.int32) for own in tokens]
             out = []
-            for found, path in zip(numbers, best_paths([scores[x] for x in numbers], switch)):
-                if not len(found):
+            for own, path in zip(numbers, best_paths([scores[x] for x in numbers], switch)):
+                if not len(own):
                     out.append((UNKNOWN, 0.0, []))
                     continue
-                share = np.bincount(path, letters[found], len(model.langs))
+                share = np.bincount(path, letters[own], len(model.langs))
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1])
-                sums = np.add.reduceat(letters[found], cuts)
+                sums = np.add.reduceat(letters[own], cuts)
                 out.append((model.langs[int(share.argmax())], float(share.max() / share.sum()),
                             [{"lang": model.langs[path[c]], "words": int(w), "letters": int(s)}
                              for c, w, s in zip(cuts, np.diff(np.append(cuts, len(path))), sums)]))
