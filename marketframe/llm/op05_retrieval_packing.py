@@ -1,7 +1,7 @@
 """Lexical retrieval packing: windows of a seed document and its nearest unused neighbours by BM25.
 
-Documents are dealt to shards of about ``SHARD_CHARS`` characters by the smallest hash of their words, so that
-texts with the same words tend to meet; a shard that would grow too large (one hash may hold a third of all
+Documents are dealt to shards of about ``SHARD_CHARS`` characters by the last of their words in code point order, so that
+texts with the same words tend to meet; a shard that would grow too large (one word may hold a third of all
 rows) is split by a hash of the row.  Each shard is tokenised and indexed by itself: an inverted index over
 token ids with BM25 weights.  A window starts with what is left of the document that was cut last, or with the
 next unused document; the unused neighbours of that seed follow in order of score, then the next unused documents.
@@ -14,7 +14,10 @@ one; a row without doc_id is packed like any other; columns besides ``doc_id`` a
 
 from __future__ import annotations
 
+import re
+from collections import ChainMap
 from collections.abc import Iterator
+from functools import cache
 from math import ceil
 
 import numpy as np
@@ -32,7 +35,7 @@ SHARD_CHARS = 2_000_000
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 SEQUENCE_BITS = 24
-CACHED = 1 << 18
+CACHED = 400_000
 
 
 def tokenizer_path() -> str:
@@ -40,23 +43,52 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Tokens(dict):
-    """Little-endian 32-bit ids of a stretch of text without spaces, remembered.  The tokenizer drops white space
-    and no token reaches across it, so that a text's ids are those of its stretches, one after the other."""
+class Tokens:
+    """Token ids of texts as little-endian 32-bit numbers.
+
+    In texts of ASCII and Latin-1 letters the tokenizer's words are found here by its own pattern, and the ids
+    of ``CACHED`` words are remembered; the new words of several texts are encoded together.  Any other text is encoded as
+    a whole."""
+
+    # Fixed value: the tokenizer's pattern, for lower-case text of the characters below.
+    WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^\sa-z0-9\xDF-\xF6\xF8-\xFF]+")
+    PLAIN = re.compile(r"[\x20-\x7E\n\t\r\xC0-\xFF]*")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
-
-    def __missing__(self, stretch: str) -> bytes:
-        if len(self) >= CACHED:
-            self.clear()
-        ids = self.model.encode(stretch, add_special_tokens=False).ids if stretch else []
-        self[stretch] = value = np.array(ids, "<u4").tobytes()
-        return value
-
-    def of(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        self.known: dict[str, bytes] = {}
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _new(self, found: list[str]) -> dict[str, bytes]:
+        ids = np.array(self.model.encode_batch_fast([" ".join(found)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]  # a word's last token is marked in the vocabulary
+        if len(cuts) != len(found) + 1:
+            return {w: self._whole(w) for w in found}
+        raw = ids.tobytes()
+        return {w: raw[4 * a:4 * b] for w, a, b in zip(found, cuts, cuts[1:])}
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        split = [self.WORD.findall(t.lower()) if t and "<|" not in t and self.PLAIN.fullmatch(t) else None for t in texts]
+        new = set().union(*(s for s in split if s)).difference(self.known)
+        ids = self.known
+        if new:
+            found = self._new(sorted(new))
+            room = CACHED - len(self.known)
+            self.known.update(found if len(found) <= room else list(found.items())[:max(0, room)])
+            ids = ChainMap(found, self.known) if len(found) > room else self.known
+        return [b"".join(map(ids.__getitem__, s)) if s is not None else self._whole(t) if t else b"" for s, t in zip(split, texts)]
+
+
+@cache
+def tokens_of(path: str) -> Tokens:
+    """One for each worker process, so that tasks share what it remembers."""
+    return Tokens(path)
 
 
 class Index:
@@ -150,11 +182,11 @@ def _pack(path: str):
     schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = Tokens(path), np.array([END_ID], "<u4").tobytes()
+        tokens, end = tokens_of(path), np.array([END_ID], "<u4").tobytes()
         for shard in groups(words.slices(batches), 1):
             first = int(shard.column(0)[0].as_py()) << SEQUENCE_BITS
             ids = shard.column("doc_id").to_pylist()
-            docs = [np.frombuffer(tokens.of(t.as_py()) + end, "<u4") for t in shard.column("text")]
+            docs = [np.frombuffer(x + end, "<u4") for x in tokens.of(shard.column("text").to_pylist())]
             found = fill(docs)
             for at in range(0, len(found), 4096):
                 part = found[at:at + 4096]
@@ -170,8 +202,8 @@ def sharded(docs: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     chars = F.coalesce(F.length("text"), F.lit(0)) + 1
     total = rows.agg(F.sum(chars).alias("n")).first()["n"] or 0
     n = max(1, ceil(total / shard_chars))
-    least = F.array_min(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.xxhash64(w)))
-    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64(least), F.lit(n))).withColumn("row", F.xxhash64("doc_id", "text"))
+    last = F.array_max(F.split(F.coalesce("text", F.lit("")), " "))
+    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64(last), F.lit(n))).withColumn("row", F.xxhash64("doc_id", "text"))
     large = land(keyed.groupBy("bucket").agg(F.sum(chars).alias("size")).where(F.col("size") > 2 * shard_chars)
                  .select("bucket", F.ceil(F.col("size") / shard_chars).alias("parts")))
     part = F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0))

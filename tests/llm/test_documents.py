@@ -126,11 +126,15 @@ def test_packing_odd_rows_in_many_shards(spark, folder, odd):
     assert op5.pack(df.limit(0)).count() == 0 and op5.op5_retrieval_packing(spark, folder(documents=df.limit(0))).count() == 0
 
 
-def test_stretches_have_the_text_s_ids():
+def test_words_have_the_text_s_ids(spark):
     from tokenizers import Tokenizer
     whole, parts = Tokenizer.from_file(op5.tokenizer_path()), op5.Tokens(op5.tokenizer_path())
-    for text in ["", "a  b\tc", "it's don't x'll", "é ́x", "A\x1cB \x85 c", "<|endoftext|> x<|startoftext|>y", "日本語 テキスト", "x\r\n\ny", "1234 567", "ß İI z"]:
-        assert np.frombuffer(parts.of(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    texts = ["", None, "a  b\tc", "¡Hola! ÀÉÎ ×÷ ÿß Ññ", "It's we'll 'tis 12a3_4-b", "a\x00b", "x" * 500, "it's don't x'll", "é ́x", "A\x1cB \x85 c", "<|endoftext|> x<|startoftext|>y", "日本語 テキスト", "x\r\n\ny", "1234 567", "ß İI z"]
+    texts += [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    for _ in range(2):
+        for text, ids in zip(texts, parts.of(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text or "", add_special_tokens=False).ids
+    assert op5.Tokens(op5.tokenizer_path())._new(["ab", "x y"])["ab"] == parts.of(["ab"])[0]
 
 
 def test_neighbours_share_rare_words():
