@@ -1,6 +1,6 @@
 """Lexical retrieval packing: windows of a seed document and its nearest unused neighbours by BM25.
 
-Documents are dealt to shards of about ``SHARD_CHARS`` characters by the last of their words in code point order, so that
+Documents are dealt to shards of about ``SHARD_BYTES`` bytes by the last of their words in code point order, so that
 texts with the same words tend to meet; a shard that would grow too large (one word may hold a third of all
 rows) is split by a hash of the row.  Each shard is tokenised and indexed by itself: an inverted index over
 token ids with BM25 weights.  A window starts with what is left of the document that was cut last, or with the
@@ -15,9 +15,9 @@ one; a row without doc_id is packed like any other; columns besides ``doc_id`` a
 from __future__ import annotations
 
 import re
-from collections import ChainMap
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 from math import ceil
 
 import numpy as np
@@ -31,11 +31,12 @@ from marketframe.operators.landing import land
 
 WINDOW = 2048
 END_ID = 1
-SHARD_CHARS = 2_000_000
+SHARD_BYTES = 2_000_000
+BINS = 1 << 20
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 SEQUENCE_BITS = 24
-CACHED = 400_000
+CACHED = 600_000
 
 
 def tokenizer_path() -> str:
@@ -46,9 +47,9 @@ def tokenizer_path() -> str:
 class Tokens:
     """Token ids of texts as little-endian 32-bit numbers.
 
-    In texts of ASCII and Latin-1 letters the tokenizer's words are found here by its own pattern, and the ids
-    of ``CACHED`` words are remembered; the new words of several texts are encoded together.  Any other text is encoded as
-    a whole."""
+    A text of ASCII and Latin-1 letters is taken apart at spaces, across which no token reaches, and the ids of
+    ``CACHED`` such stretches are remembered; the new ones of several texts are encoded together.  Any other text is
+    encoded as a whole."""
 
     # Fixed value: the tokenizer's pattern, for lower-case text of the characters below.
     WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^\sa-z0-9\xDF-\xF6\xF8-\xFF]+")
@@ -66,23 +67,36 @@ class Tokens:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _new(self, found: list[str]) -> dict[str, bytes]:
+        """Ids of several stretches, cut where as many words have ended as the pattern finds in each."""
         ids = np.array(self.model.encode_batch_fast([" ".join(found)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]  # a word's last token is marked in the vocabulary
-        if len(cuts) != len(found) + 1:
-            return {w: self._whole(w) for w in found}
-        raw = ids.tobytes()
-        return {w: raw[4 * a:4 * b] for w, a, b in zip(found, cuts, cuts[1:])}
+        ends = np.flatnonzero(self.ends[ids]) + 1  # a word's last token is marked in the vocabulary
+        counts = np.cumsum([len(self.WORD.findall(x)) for x in found])
+        if counts[-1] != len(ends) or len(ids) != ends[-1]:
+            return {x: self._whole(x) for x in found}
+        raw, cuts = ids.tobytes(), [0, *ends[counts - 1].tolist()]
+        return {x: raw[4 * a:4 * b] for x, a, b in zip(found, cuts, cuts[1:])}
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.WORD.findall(t.lower()) if t and "<|" not in t and self.PLAIN.fullmatch(t) else None for t in texts]
-        new = set().union(*(s for s in split if s)).difference(self.known)
-        ids = self.known
-        if new:
-            found = self._new(sorted(new))
-            room = CACHED - len(self.known)
-            self.known.update(found if len(found) <= room else list(found.items())[:max(0, room)])
-            ids = ChainMap(found, self.known) if len(found) > room else self.known
-        return [b"".join(map(ids.__getitem__, s)) if s is not None else self._whole(t) if t else b"" for s, t in zip(split, texts)]
+        out: list = []
+        missing: set[str] = set()
+        for text in texts:
+            if text and "<|" not in text and self.PLAIN.fullmatch(text):
+                stretches = text.lower().split()
+                ids = list(map(self.known.get, stretches))
+                if None in ids:
+                    missing.update(x for x, i in zip(stretches, ids) if i is None)
+                    out.append((stretches, ids))
+                else:
+                    out.append(b"".join(ids))
+            else:
+                out.append(self._whole(text) if text else b"")
+        found = self._new(list(missing)) if missing else {}
+        for n, done in enumerate(out):
+            if isinstance(done, tuple):
+                out[n] = b"".join([found[x] if i is None else i for x, i in zip(*done)])
+        room = CACHED - len(self.known)
+        self.known.update(found if len(found) <= room else islice(found.items(), max(0, room)))
+        return out
 
 
 @cache
@@ -196,24 +210,25 @@ def _pack(path: str):
     return run
 
 
-def sharded(docs: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
+def sharded(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(shard, row, doc_id, text); ``row`` orders a shard."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chars = F.coalesce(F.length("text"), F.lit(0)) + 1
-    total = rows.agg(F.sum(chars).alias("n")).first()["n"] or 0
-    n = max(1, ceil(total / shard_chars))
     last = F.array_max(F.split(F.coalesce("text", F.lit("")), " "))
-    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64(last), F.lit(n))).withColumn("row", F.xxhash64("doc_id", "text"))
-    large = land(keyed.groupBy("bucket").agg(F.sum(chars).alias("size")).where(F.col("size") > 2 * shard_chars)
-                 .select("bucket", F.ceil(F.col("size") / shard_chars).alias("parts")))
+    rows = rows.withColumn("bin", F.pmod(F.xxhash64(last), F.lit(BINS)))
+    sizes = land(rows.groupBy("bin").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size")))
+    n = min(BINS, max(1, ceil((sizes.agg(F.sum("size")).first()[0] or 0) / shard_bytes)))
+    bucket = F.floor(F.col("bin") * n / BINS)
+    large = land(sizes.groupBy(bucket.alias("bucket")).agg(F.sum("size").alias("size")).where(F.col("size") > 2 * shard_bytes)
+                 .select("bucket", F.ceil(F.col("size") / shard_bytes).alias("parts")))
+    keyed = rows.withColumn("bucket", bucket).withColumn("row", F.xxhash64("doc_id", "text"))
     part = F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0))
     return keyed.join(large, "bucket", "left").select((F.col("bucket") + part * n).alias("shard"), "row", "doc_id", "text")
 
 
-def pack(docs: DataFrame, path: str | None = None, shard_chars: int = SHARD_CHARS) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian unsigned
     32-bit token ids).  ``path`` names the tokenizer's file."""
-    return sharded(docs, shard_chars).repartition("shard").sortWithinPartitions("shard", "row", "doc_id") \
+    return sharded(docs, shard_bytes).repartition("shard").sortWithinPartitions("shard", "row", "doc_id") \
         .mapInArrow(_pack(path or tokenizer_path()), PIECES)
 
 

@@ -120,7 +120,7 @@ def test_packing(spark):
 
 def test_packing_odd_rows_in_many_shards(spark, folder, odd):
     rows, df = odd
-    pieces = op5.pack(df, shard_chars=2000).collect()
+    pieces = op5.pack(df, shard_bytes=2000).collect()
     wanted = check_pieces(pieces, [(i, t) for i, t, *_ in rows])
     assert sum(p.length for p in pieces) == sum(len(ids) * n for (_, ids), n in wanted.items())
     assert op5.pack(df.limit(0)).count() == 0 and op5.op5_retrieval_packing(spark, folder(documents=df.limit(0))).count() == 0
