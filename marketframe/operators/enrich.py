@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketframe.operators.asof import asof_join
 from marketframe.operators.indicators import with_percent_return
+from marketframe.schemas import ENRICHED_STOCK_DATA, columns
 
 INDEX_TOLERANCE_DAYS = 6
 SECTOR_TOLERANCE_DAYS = 5
@@ -147,13 +148,19 @@ def basic_stock_data(bars: DataFrame, index_bars: DataFrame, macro: DataFrame) -
 
 def enriched_stock_data(bars: DataFrame, index_bars: DataFrame, macro: DataFrame, overview: DataFrame,
                         sector: DataFrame, etf_bars: DataFrame, options: DataFrame, news: DataFrame,
-                        history: DataFrame, calendar: DataFrame) -> DataFrame:
-    """All enrichments of one daily bar table; each joins once, for all symbols."""
+                        history: DataFrame, calendar: DataFrame, indicators: DataFrame | None = None) -> DataFrame:
+    """All enrichments of one daily bar table; each joins once, for all symbols.  With ``indicators`` (symbol, date and
+    the technical columns) the result has the columns of ENRICHED_STOCK_DATA, in their order and types."""
     out = join_overview(basic_stock_data(bars, index_bars, macro), overview)
+    if indicators is not None:
+        out = join_indicators(out, indicators)
     out = join_sector_performance(out, sector, etf_bars)
     out = out.join(option_metrics(options), ["symbol", "date"], "left")
     out = out.join(news_sentiment(bars, news), ["symbol", "date"], "left")
-    return join_earnings(out, history, calendar)
+    out = join_earnings(out, history, calendar)
+    if indicators is None:
+        return out
+    return out.select(*[F.col(c).try_cast(kind).alias(c) for c, kind in columns(ENRICHED_STOCK_DATA).items()])
 
 
 def backfill(requests: DataFrame, bars: DataFrame) -> DataFrame:

@@ -151,6 +151,13 @@ class Inputs:
             F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("article_id"),
             (F.col("value") / 100).alias("score"))
 
+    @cached_property
+    def bar_news(self) -> DataFrame:
+        """The same articles, dealt to the symbols that have bars, on days that have bars."""
+        return self.table("events").select(
+            F.concat(F.lit("Brand#"), (F.col("event_id") % 25 + 1).cast("string")).alias("symbol"),
+            F.expr("CAST(ts AS timestamp_ntz) - INTERVAL 27 YEAR").alias("ts"), F.col("event_id").alias("article_id"), (F.col("value") / 100).alias("score"))
+
     @cached_property
     def predictions(self) -> DataFrame:
         """Per bar: what followed HORIZON rows later, and a made-up forecast of it."""
@@ -304,6 +311,9 @@ CTES: dict[str, str] = {
            CASE WHEN l_orderkey % 11 = 0 THEN 'None' ELSE CAST(l_discount AS VARCHAR) END AS implied_volatility
     FROM trades""",
     "news": "SELECT event_type AS symbol, ts, event_id AS article_id, value / 100 AS score FROM events",
+    "bar_news": """
+    SELECT 'Brand#' || (event_id % 25 + 1) AS symbol, CAST(ts AS TIMESTAMP) - INTERVAL 27 YEAR AS ts, event_id AS article_id,
+           value / 100 AS score FROM events""",
     "predictions": f"""
     SELECT symbol AS model_key, symbol, date, close, actual, predicted, proba,
            CAST(actual > close AS INT) AS label, CAST(proba > 0.5::DOUBLE AS INT) AS pred_label

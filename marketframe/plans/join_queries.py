@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketframe.operators import enrich, reports
+from marketframe.operators import indicators as ind
 from marketframe.operators.landing import land
 from marketframe.plans.catalog import query, rnd, sql_rnd
+from marketframe.plans.features import feature_table
 from marketframe.plans.inputs import CTES, HORIZON
 
 KEY = ["symbol", "date"]
@@ -35,11 +37,11 @@ FROM options WHERE expiration BETWEEN date + 20 AND date + 40 GROUP BY ALL"""
 CTES["news_days"] = "SELECT DISTINCT symbol, CAST(ts AS DATE) AS date FROM news"
 
 
-def _sentiment_sql(days):
+def _sentiment_sql(days, news="news"):
     return f"""
     SELECT d.symbol, d.date, coalesce(avg(score), 0) AS sentiment_score FROM {days} d LEFT JOIN (
       SELECT d.symbol, d.date, n.score, row_number() OVER (PARTITION BY d.symbol, d.date ORDER BY n.ts DESC, n.article_id DESC) AS rn
-      FROM {days} d JOIN news n ON n.symbol = d.symbol AND n.ts BETWEEN CAST(d.date AS TIMESTAMP) - INTERVAL 7 DAY AND CAST(d.date AS TIMESTAMP)
+      FROM {days} d JOIN {news} n ON n.symbol = d.symbol AND n.ts BETWEEN CAST(d.date AS TIMESTAMP) - INTERVAL 7 DAY AND CAST(d.date AS TIMESTAMP)
     ) x ON x.symbol = d.symbol AND x.date = d.date AND x.rn <= 100 GROUP BY ALL"""
 
 
@@ -233,3 +235,33 @@ def _u2(t):
         rnd(F.avg("gdp_growth"), 2).alias("mean_gdp"), rnd(F.avg("sector_performance"), 4).alias("mean_sector"),
         rnd(F.avg("put_call_ratio"), 4).alias("mean_ratio"), rnd(F.avg("reported_eps")).alias("mean_eps"),
         F.max("next_earnings_date").alias("last_next"))
+
+
+_TECHNICAL = {"rsi": 4, "macd": 6, "macd_signal": 6, "macd_hist": 6, "adx": 4, "upper_band": 6, "lower_band": 6}
+_ENRICHED = {"sp500_return": 4, "gdp_growth": 4, "market_capitalization": 2, "put_call_ratio": 4, "implied_volatility": 6, "sector_performance": 4,
+             "sentiment_score": 6, "reported_eps": 6, **_TECHNICAL}
+
+
+def enriched(t):
+    """The enriched table whole; our own indicators stand for the vendor's."""
+    technical = ind.over_series(t.bars, ind.rsi, ind.macd, ind.adx, ind.bands).select(*KEY, *_TECHNICAL)
+    return enrich.enriched_stock_data(t.bars, t.index_bars, t.macro, t.overview, t.sector, t.etf_bars, t.options, t.bar_news, t.earnings,
+                                      t.earnings_calendar, technical)
+
+
+@query("u2_enriched_rows", f"""
+SELECT b.symbol, b.date, b.open, b.close, v.beta, {', '.join(f"{sql_rnd(p + '.' + c, n)} AS {c}" for c, n, p in [
+    (c, n, {"sp500_return": "b", "gdp_growth": "b", "market_capitalization": "v", "put_call_ratio": "o", "implied_volatility": "o",
+            "sector_performance": "r", "sentiment_score": "n", "reported_eps": "e"}.get(c, "i")) for c, n in _ENRICHED.items()])},
+  e.next_earnings_date
+FROM basic_rows b JOIN earn_rows e USING (symbol, date) JOIN overview v USING (symbol) JOIN ind_all i USING (symbol, date) LEFT JOIN sector s USING (symbol)
+LEFT JOIN etf_ret r ON r.etf = s.etf AND r.date = b.date LEFT JOIN option_rows o ON o.symbol = b.symbol AND o.date = b.date
+JOIN ({_sentiment_sql('basic_rows', 'bar_news')}) n ON n.symbol = b.symbol AND n.date = b.date""")
+def _u2r(t):
+    return enriched(t).select(*KEY, "open", "close", "beta", *[rnd(c, n).alias(c) for c, n in _ENRICHED.items()], "next_earnings_date")
+
+
+@query("t20_advanced_features")
+def _t20a(t):
+    """The advanced set with its lagged columns."""
+    return feature_table(land(enriched(t)), HORIZON, "advanced", lags=True)

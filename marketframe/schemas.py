@@ -28,6 +28,11 @@ def spark_type(database_type: str) -> str | None:
     return TYPE_MAP.get(f"{name.strip()} {tail.strip()}".strip())
 
 
+def columns(ddl: str) -> dict[str, str]:
+    """Column names and Spark types of a table's DDL, in order."""
+    return dict(part.strip().split(" ", 1) for part in ddl.split(","))
+
+
 # Table schemas as DDL, for readers and casts.
 BASIC_STOCK_DATA = (
     "symbol string, date date, open double, high double, low double, close double, volume double, "

@@ -308,3 +308,22 @@ def test_late_ticks_and_bars(spark, tmp_path):
     got = {str(r.date): (r.open, r.close, r.volume) for r in _upserted(here, live.daily_bars(stream)).collect()}
     # an hour late still counts, nineteen days late no more
     assert got == {"2024-01-01": (1.0, 5.0, 2), "2024-01-02": (2.0, 2.0, 1), "2024-01-20": (3.0, 4.0, 2)}
+
+
+def test_advanced_features_and_lags(spark, small):
+    from marketframe.plans import Inputs
+    from marketframe.plans.join_queries import enriched
+    from marketframe.plans.features import LAGGED, feature_table
+    from marketframe.schemas import ADVANCED_FEATURES, ENRICHED_STOCK_DATA, columns
+    stock = enriched(Inputs(spark, small)).where("symbol IN ('Brand#1', 'Brand#7')").cache()
+    assert dict(stock.dtypes) == {c: k.replace("long", "bigint") for c, k in columns(ENRICHED_STOCK_DATA).items()}
+    got = feature_table(stock, 7, "advanced", lags=True).toPandas()
+    assert set(ADVANCED_FEATURES) <= set(got.columns) and got.notna().all().all()
+    base = stock.toPandas().sort_values(["symbol", "date"])
+    base = base.groupby("symbol", group_keys=False)[base.columns.tolist()].apply(lambda g: g.ffill())
+    for c, n in [(c, n) for c in LAGGED["advanced"] for n in (1, 7, 30)] + [("sentiment_score", 1)]:
+        base[f"{c}_lag_{n}"] = base.groupby("symbol")[c].shift(n)
+    both = got.merge(base, on=["symbol", "date"], suffixes=("", "_base"))
+    assert len(both) == len(got) > 0
+    for c in [x for x in got.columns if "_lag_" in x]:
+        assert (both[c] - both[f"{c}_base"]).abs().max() < 1e-9
