@@ -43,7 +43,7 @@ def postings(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
 def _join_centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, centre = None, None
     for batch in batches:
-        linked = pa.compute.is_valid(batch.column(2)).to_numpy(zero_copy_only=False)
+        linked = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
         done = batch.filter(pa.array(linked))
         if done.num_rows:
             yield done
