@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from marketframe.operators.landing import land
 
 SAMPLES = 32
+GROUP = 8
 BLOCK_BITS = 7
 _LOW = (1 << 32) - 1
 _ID_BITS = 30
@@ -34,12 +35,12 @@ def _unit(x: Column) -> Column:
     return (x + F.lit(0.5)) / F.lit(float(1 << 32))
 
 
-def _uniforms(term: Column, j: int, turn: int) -> tuple[Column, Column]:
-    h = F.xxhash64(F.lit(j * 4 + turn), term)
+def _uniforms(term: Column, j: Column, turn: int) -> tuple[Column, Column]:
+    h = F.xxhash64(j * 4 + turn, term)
     return _unit(F.shiftrightunsigned(h, 32)), _unit(h.bitwiseAND(F.lit(_LOW)))
 
 
-def _sample(term: Column, log_weight: Column, j: int) -> Column:
+def _sample(term: Column, log_weight: Column, j: Column) -> Column:
     """Value and identity of one term in sample j, packed into a long."""
     u1, u2 = _uniforms(term, j, 0)
     u3, u4 = _uniforms(term, j, 1)
@@ -48,12 +49,12 @@ def _sample(term: Column, log_weight: Column, j: int) -> Column:
     t = F.floor(log_weight / r + b)
     # r is below 46 and ln c above -23, so that the sum is positive for every count and below 2 ** 33.
     value = ((log_c - r * (t - b + 1) + 128) * F.lit(float(1 << 25))).cast("long")
-    return F.shiftleft(value, _ID_BITS).bitwiseOR(F.xxhash64(term, t, F.lit(j)).bitwiseAND(F.lit((1 << _ID_BITS) - 1)))
+    return F.shiftleft(value, _ID_BITS).bitwiseOR(F.xxhash64(term, t, j).bitwiseAND(F.lit((1 << _ID_BITS) - 1)))
 
 
-def _print(prefix: str, samples: int) -> Column:
-    """16 bits of every sample as hexadecimal digits; zeros for a text without words."""
-    return F.concat(*(F.lpad(F.hex(F.coalesce(F.col(f"{prefix}{j}"), F.lit(0)).bitwiseAND(F.lit(0xFFFF))), 4, "0") for j in range(samples)))
+def _print(prefix: str) -> Column:
+    """16 bits of every sample of a group as hexadecimal digits; zeros for a text without words."""
+    return F.concat(*(F.lpad(F.hex(F.coalesce(F.col(f"{prefix}{i}"), F.lit(0)).bitwiseAND(F.lit(0xFFFF))), 4, "0") for i in range(GROUP)))
 
 
 def likeness(one: Column, two: Column, samples: int = SAMPLES) -> Column:
@@ -101,7 +102,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """``samples`` is a multiple of ``GROUP``.  One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     row = ["block", "place"]
     words = lambda c: F.split(F.lower(F.translate(c, "\t\n\x0b\x0c\r", "     ")), " ")
     sha = F.sha2(F.col("edited").cast("binary"), 256)
@@ -117,10 +118,16 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
                .groupBy(*row, "term", fact.alias("fact")).agg(F.sum("x").alias("x"), F.sum("y").alias("y")))
     weighted = ~F.col("fact") & F.col("term").isNotNull()
     logs = counted.select(*row, "term", "fact", "x", *(F.when(weighted & (F.col(c) > 0), F.ln(F.col(c).cast("double"))).alias(f"log_{c}") for c in "xy"))
-    least = logs.groupBy(*row).agg(*(F.min(_sample(F.col("term"), F.col(f"log_{c}"), j)).alias(f"{c}{j}") for j in range(samples) for c in "xy"),
-                                   *(F.max(F.when(F.col("fact") & (F.col("term") == i), F.col("x"))).alias(c) for i, c in enumerate(facts)))
+    # samples are taken in groups, which keeps the compiled loop small
+    group = F.col("group")
+    sample = lambda c, i: _sample(F.col("term"), F.col(f"log_{c}"), group * GROUP + i)
+    least = logs.withColumn("group", F.explode(F.array(*map(F.lit, range(samples // GROUP))))).groupBy(*row, "group").agg(
+        *(F.min(sample(c, i)).alias(f"{c}{i}") for i in range(GROUP) for c in "xy"),
+        *(F.max(F.when(F.col("fact") & (F.col("term") == i), F.col("x"))).alias(c) for i, c in enumerate(facts)))
     digits = [F.lpad(F.lower(F.hex(f"sha{i}")), 15 if i < 4 else 4, "0") for i in range(5)]
-    prints = land(least.select(*row, *facts[:4], F.concat(*digits).alias("edited_sha256"), _print("x", samples).alias("fingerprint"), _print("y", samples).alias("edited_fingerprint")))
+    parts = least.select(*row, *facts[:4], F.concat(*digits).alias("edited_sha256"), F.struct("group", _print("x").alias("x"), _print("y").alias("y")).alias("p"))
+    whole = parts.groupBy(*row, *facts[:4], "edited_sha256").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    prints = land(whole.select(*row, *facts[:4], "edited_sha256", F.array_join("p.x", "").alias("fingerprint"), F.array_join("p.y", "").alias("edited_fingerprint")))
     ahead = prints.select(F.col("block").alias("next_block"), F.col("place").cast("long").alias("next_place"), F.col("fingerprint").alias("next_fingerprint"))
     return (prints.join(ahead, ["next_block", "next_place"])
             .select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
