@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
 
+def require_date(df: DataFrame, column: str) -> None:
+    """A DATE column bounds the rows of a key that a window sorts in one task by the calendar."""
+    if not isinstance(df.schema[column].dataType, DateType):
+        raise TypeError(f"{column} must be a DATE, not {df.schema[column].dataType.simpleString()}")
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, right_date: str,
               values: list[str], direction: str = "backward", strict: bool = False,
               tolerance_days: int | None = None, matched: str | None = None) -> DataFrame:
@@ -23,8 +29,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_date: str
     result depends on the date alone.
     """
     for df, date in ((left, left_date), (right, right_date)):
-        if not isinstance(df.schema[date].dataType, DateType):
-            raise TypeError(f"{date} must be a DATE, not {df.schema[date].dataType.simpleString()}")
+        require_date(df, date)
     if direction not in ("backward", "forward"):
         raise ValueError(f"direction {direction!r}")
     probes = left.select(*keys, F.col(left_date).alias("_d")).filter(F.col("_d").isNotNull()).distinct().select(

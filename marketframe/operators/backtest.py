@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.operators import series
+from marketframe.operators.asof import require_date
 
 STAKE = 1000.0
 CAPITAL = 10000.0
@@ -108,6 +109,7 @@ def equity_curve(trade_rows: DataFrame) -> DataFrame:
 
     Sales are summed per model and day first, so a model has at most one row per calendar day.
     """
+    require_date(trade_rows, "sell_date")
     daily = trade_rows.groupBy("model_key", F.col("sell_date").alias("date")).agg(F.sum("pnl").alias("pnl"))
     w = Window.partitionBy("model_key").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     curve = daily.withColumn("capital", CAPITAL + F.sum("pnl").over(w))
@@ -119,6 +121,7 @@ def strategy_summary(trade_rows: DataFrame, prices: DataFrame) -> DataFrame:
     """Return and worst drawdown of the strategy next to buying on the first day and holding."""
     strategy = equity_curve(trade_rows).groupBy("model_key").agg(
         (F.sum("pnl") / CAPITAL).alias("roi"), F.least(F.min("drawdown"), F.lit(0.0)).alias("max_drawdown"))
+    require_date(prices, "date")
     w = Window.partitionBy("model_key").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = prices.withColumn("_dd", drawdown(F.col("price"), F.max("price").over(w))).groupBy("model_key").agg(
         (F.try_divide(F.max_by("price", "date"), F.min_by("price", "date")) - 1).alias("hold_roi"),

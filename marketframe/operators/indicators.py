@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marketframe.operators import series
+from marketframe.operators.asof import require_date
 from marketframe.operators.windows import (
     Layers, abs_dev, block_rows, change, ema, ema_reach, frame, log_ratio, long_mean, long_std, rolling, rolling_corr,
     running_sums, with_layers)
@@ -144,6 +145,7 @@ def with_percent_return(df: DataFrame, keys: list[str], tolerance_days: int, out
 
     For index and sector series: one row per key and calendar day, so a key is small.
     """
+    require_date(df, "date")
     w = Window.partitionBy(*keys).orderBy("date")
     prev = F.lag("close").over(w)
     near = F.date_diff(F.col("date"), F.lag("date").over(w)) <= tolerance_days

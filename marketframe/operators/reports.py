@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.functions.text import clean_responses
-from marketframe.operators.asof import asof_join
+from marketframe.operators.asof import asof_join, require_date
 from marketframe.operators.select import latest_per_key, top_per_key
 from marketframe.sources.tables import upsert
 
@@ -35,6 +35,7 @@ def window_summary(probes: DataFrame, bars: DataFrame) -> DataFrame:
 
     Needs no row per (probe, bar): running counts and sums at the window's two ends give the answer.
     """
+    require_date(bars, "date")
     w = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # at most one row per symbol and calendar day
     run = bars.select("symbol", F.col("date").alias("_d"), "date", F.count("close").over(w).alias("_n"),

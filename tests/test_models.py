@@ -135,7 +135,7 @@ def test_every_symbol_and_order_has_a_row(spark, rows):
     from marketframe.operators.linear import _orders
     short = rows[rows["symbol"] == "A"].head(40).assign(symbol="S")
     empty = rows[rows["symbol"] == "A"].head(3).assign(symbol="E", y=None)
-    got = linear.order_search(spark.createDataFrame(pd.concat([rows, short, empty])), X, "y", 30, "MEDIUM").toPandas()
+    got = linear.order_search(spark.createDataFrame(pd.concat([rows, short, empty.astype({"y": float})])), X, "y", 30, "MEDIUM").toPandas()
     assert len(got) == 4 * len(_orders("MEDIUM", [7, 30]))
     assert (got["rmse"].isna() == got["reason"].notna()).all()
     assert got[got["symbol"] == "E"]["reason"].eq("no complete rows").all() and got[got["symbol"] == "S"]["rmse"].notna().any()
