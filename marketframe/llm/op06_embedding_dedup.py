@@ -69,12 +69,12 @@ class Codes:
 
 def learned(vectors: DataFrame, sample: int = SAMPLE) -> Codes | None:
     """Codes from a bounded sample of ``vectors`` (v)."""
-    found = [r["v"] for r in vectors.select("v").orderBy(F.xxhash64("v")).limit(sample).collect()]
-    if not found:
+    found = vectors.select("v").orderBy(F.xxhash64("v")).limit(sample).toArrow().column(0).combine_chunks()
+    if not len(found):
         return None
-    lengths = [len(v) for v in found]
-    usual = max(set(lengths), key=lengths.count)
-    return Codes(np.array([v for v in found if len(v) == usual], np.float64))
+    lengths = found.value_lengths().to_numpy()
+    usual = int(np.bincount(lengths).argmax())
+    return Codes(found.filter(pa.array(lengths == usual)).flatten().to_numpy().astype(np.float64).reshape(-1, usual))
 
 
 POSTED = "key long, tab int, id long, n long, subs binary, v binary"
