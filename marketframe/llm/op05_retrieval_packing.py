@@ -36,7 +36,7 @@ BINS = 1 << 20
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 SEQUENCE_BITS = 24
-CACHED = 600_000
+CACHED = 350_000
 
 
 def tokenizer_path() -> str:

@@ -36,7 +36,7 @@ WEIGHT = 0.5
 SWITCH = 12.0
 SCRIPT_SHARE = 0.001
 LONGEST = 32
-CELLS = 1 << 20
+CELLS = 1 << 22
 _PIECE = regex.compile(rf"\p{{L}}[\p{{L}}\p{{M}}]{{0,{LONGEST - 1}}}")
 
 # First code points of blocks and the script each belongs to, up to the next entry.
@@ -163,9 +163,10 @@ def best_paths(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndar
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
     out: list = [np.zeros(0, np.int8)] * len(scores)
     while order and len(scores[order[0]]):
-        longest = len(scores[order[0]])
-        group = [i for i in order[:max(1, CELLS // longest)] if len(scores[i])]
-        order = order[len(group):] if len(group) == max(1, CELLS // longest) else []
+        longest, langs = scores[order[0]].shape
+        most = max(1, CELLS // (longest * langs))
+        group = [i for i in order[:most] if len(scores[i])]
+        order = order[most:]
         lengths = np.array([len(scores[i]) for i in group])
         table = np.zeros((longest, len(group), scores[group[0]].shape[1]), np.float32)
         for g, i in enumerate(group):
@@ -206,7 +207,7 @@ def _predict(model: Model, switch: float):
         scores, letters = np.zeros((0, max(1, len(model.langs))), np.float32), np.zeros(0, np.int64)
         for batch in words.slices(batches):
             tokens = [t.as_py().split() if model.langs and t.is_valid else [] for t in batch.column(1)]
-            if len(known) > words.CACHED_WORDS // 2:
+            if len(known) > words.CACHED_WORDS:
                 known, scores, letters = {}, scores[:0], letters[:0]
             new = set().union(*tokens).difference(known)
             found = []

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-SLICE_BYTES = 8 << 20
-CACHED_WORDS = 1 << 20
+SLICE_BYTES = 4 << 20
+CACHED_WORDS = 1 << 18
 
 
 class WordHash(dict):
