@@ -7,7 +7,6 @@ from math import log
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from marketframe.llm import html_blocks
 from marketframe.llm import op01_chat_tree as op1
