@@ -1,6 +1,6 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-A document's terms are its words (white space parts them, A-Z lower-cased), weighted by their counts.  For each
+A document's terms are its lower-cased words (white space parts them), weighted by their counts.  For each
 sample j and term, hashes of the term give r and c from a Gamma(2, 1) distribution and b from a uniform one;
 with t = floor(ln(weight) / r + b) the term's value is ln c - r (t - b + 1), and the sample is the (term, t) of
 the smallest value.  Two documents agree in a sample with a probability equal to their generalised Jaccard
