@@ -147,3 +147,25 @@ def test_an_only_minority_row_is_repeated(spark, rows):
     pdf["target"] = (pdf.index == 4).astype(int)
     made = trees.oversample(spark.createDataFrame(pdf), X).toPandas()
     assert len(made) == 18 and np.allclose(made[X].to_numpy(dtype=float), pdf.loc[4, X].to_numpy(dtype=float)) and (made["target"] == 1).all()
+
+
+def test_tree_models_learn_and_repeat(spark):
+    draw = np.random.default_rng(4)
+    n = 600
+    pdf = pd.DataFrame({"symbol": np.where(np.arange(n) % 2, "A", "B"), "date": pd.date_range("2020-01-01", periods=n).date,
+                        "x1": draw.normal(size=n), "x2": draw.normal(size=n), "x3": draw.normal(size=n), "close": 10.0})
+    pdf["target"] = ((pdf.x1 > 0) ^ (pdf.x2 > 0.3)).astype(int)
+    pdf["log_return_future"] = pdf.x1 * 2 + draw.normal(size=n) * 0.1
+    df = spark.createDataFrame(pdf).cache()
+    params = {"max_depth": 3, "n_estimators": 8, "learning_rate": 0.3}
+    train, test = df.where("dayofyear(date) % 4 <> 0"), df.where("dayofyear(date) % 4 = 0")
+    scored = [trees.classify(trees.train_classifier(train, X, params), test, X).orderBy("date").toPandas() for _ in range(2)]
+    assert scored[0]["proba"].tolist() == scored[1]["proba"].tolist()
+    right = (scored[0]["pred_label"] == scored[0]["target"]).mean()
+    assert right > 0.85 > max(scored[0]["target"].mean(), 1 - scored[0]["target"].mean())
+    found = trees.grid_search(df, X, [params, {**params, "n_estimators": 1, "max_depth": 1}]).toPandas()
+    assert len(found) == 2 and found["best"].sum() == 1 and found.loc[0, "best"] and found["f1"].between(0, 1).all()
+    importance = trees.regression_importance(df, X, trees=10).toPandas().set_index("feature").importance
+    assert importance.idxmax() == "x1" and abs(importance.sum() - 1) < 1e-9
+    both = trees.classification_importance(df, X, rounds=4).toPandas().set_index("feature").importance
+    assert both["x3"] < min(both["x1"], both["x2"])
