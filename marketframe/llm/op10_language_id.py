@@ -198,7 +198,7 @@ def best_paths(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndar
 SPANS = "array<struct<lang:string,words:int,letters:int>>"
 
 
-def _predict(model: Model, switch: float):
+def _predict(model: Model, switch: float, place: int):
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([
         ("lang", pa.string()), ("words", pa.int32()), ("letters", pa.int32())])))])
 
@@ -206,7 +206,7 @@ def _predict(model: Model, switch: float):
         known: dict[str, bytes] = {}
         scores, letters = np.zeros((0, max(1, len(model.langs))), np.float32), np.zeros(0, np.int64)
         for batch in words.slices(batches):
-            tokens = [t.as_py().split() if model.langs and t.is_valid else [] for t in batch.column(1)]
+            tokens = [t.as_py().split() if model.langs and t.is_valid else [] for t in batch.column(0).field(place)]
             if len(known) > words.CACHED_WORDS:
                 known, scores, letters = {}, scores[:0], letters[:0]
             new = set().union(*tokens).difference(known)
@@ -240,7 +240,8 @@ def _predicted(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFra
     """row (all columns), lang_pred, score, spans."""
     row = F.struct(*docs.columns).alias("row")
     kind = docs.select(row).schema["row"].dataType.simpleString()
-    return docs.select(row, "text").mapInArrow(_predict(model, switch), f"row {kind}, lang_pred string, score double, spans {SPANS}")
+    place = [c.lower() for c in docs.columns].index("text")
+    return docs.select(row).mapInArrow(_predict(model, switch, place), f"row {kind}, lang_pred string, score double, spans {SPANS}")
 
 
 def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:

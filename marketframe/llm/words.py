@@ -106,6 +106,7 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterat
         rows = max(1, min(batch.num_rows, int(batch.num_rows * most / max(batch.nbytes, 1))))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
