@@ -4,7 +4,10 @@ A paragraph is a line, cut further after the end of a sentence, so that a passag
 middle of another text falls into the same paragraphs there.  Paragraphs of ``MIN_WORDS`` words and more are
 hashed as sets of word shingles; bands tuned for the wanted recall give colliding paragraphs; pairs are
 checked by the exact Jaccard similarity of their shingles; of each connected component the first paragraph
-(smallest doc_id, then position) stays.  A shorter paragraph between two removed ones goes with them.
+(smallest doc_id, then position) stays.  A shorter paragraph is compared together with its neighbours: the fewest
+paragraphs from it ahead, and the fewest up to it, that have ``MIN_WORDS`` words form a run, and equal runs are one
+component, so that a passage of short lines goes like any other, up to its edges.  A shorter paragraph between two
+removed longer ones goes with them.  Scripts without spaces count two characters as a word.
 
 Defined cases: null and empty texts have no paragraphs and come back as they are; text that stays is never
 changed; rows that repeat a doc_id must carry one text and are then each cut alike; rows without doc_id are
@@ -19,6 +22,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +33,9 @@ MIN_WORDS = 8
 ROWS = 2
 RECALL = 0.98
 POSITION_BITS = 24
-_END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*\s+|\n\s*")
+_END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*\s+|[。！？][.!?…。！？]*[\"'”’)\]」』】）]*\s*|\n\s*")
+# Thai, Lao, Myanmar, Khmer, kana and Han.
+_UNSPACED = re.compile("[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]")
 
 
 def tuned_bands(percent: int, recall: float, rows: int = ROWS) -> int:
@@ -45,6 +51,30 @@ def paragraphs(text: str | None) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
+def words_of(text: str) -> tuple[list[bytes], int]:
+    """The words of a paragraph, with each character of a script without spaces as one, and how many they count for."""
+    characters = 0
+    if not text.isascii():
+        text, characters = _UNSPACED.subn(r" \g<0> ", text)
+    found = words.ascii_words(text)
+    return found, len(found) - characters // 2
+
+
+def pieces(sizes: list[int], min_words: int) -> list[tuple[int, int]]:
+    """First and last (exclusive) paragraph of all that is compared: each one of ``min_words`` words and more, and the
+    runs of as many words that start or end with a shorter one."""
+    total = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
+    ends = np.searchsorted(total, total[:-1] + min_words, "left").tolist()
+    starts = (np.searchsorted(total, total[1:] - min_words, "right") - 1).tolist()
+    found = set()
+    for i, size in enumerate(sizes):
+        if size and ends[i] < len(total):
+            found.add((i, ends[i]))
+        if size and starts[i] >= 0:
+            found.add((starts[i], i + 1))
+    return sorted(found)
+
+
 def _name(doc_id: int, position: int) -> int:
     if position >> POSITION_BITS or abs(doc_id) >> (63 - POSITION_BITS):
         raise ValueError(f"paragraph {position} of document {doc_id} has no 64-bit name")
@@ -55,33 +85,46 @@ def _post(k: int, bands: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, factors = words.WordHash(), words.multipliers(bands * ROWS, seed=29)
         for batch in words.slices(batches):
-            names, sequences = [], []
+            names, sequences, runs, run_keys = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
-                for position, (start, end) in enumerate(paragraphs(text)):
-                    found = words.ascii_words(text[start:end])
-                    if len(found) >= min_words:
+                found = [words_of(text[start:end]) for start, end in paragraphs(text)]
+                digests = [None] * len(found)
+                for position, (first, end) in enumerate(pieces([size for _, size in found], min_words)):
+                    if end - first == 1:
                         names.append(_name(doc_id, position))
-                        sequences.append(words.hashes(found, cache))
-            if names:
+                        sequences.append(words.hashes(found[first][0], cache))
+                        continue
+                    for i in range(first, end):
+                        if digests[i] is None:
+                            digests[i] = xxhash.xxh64_digest(b" ".join(found[i][0])) if found[i][0] else b""
+                    runs.append(_name(doc_id, position))
+                    run_keys.append(xxhash.xxh64_intdigest(b"".join(digests[first:end]), seed=29))
+            if names or runs:
                 keys = words.band_keys(words.min_hashes(*words.shingles(sequences, k), factors), bands)
-                yield buckets.postings(keys.ravel(), np.repeat(np.array(names, np.int64), bands))
+                yield buckets.postings(np.concatenate([keys.ravel(), np.array(run_keys, np.uint64)]),
+                                       np.concatenate([np.repeat(np.array(names, np.int64), bands), np.array(runs, np.int64)]))
 
     return run
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fetch(min_words: int):
     schema = pa.schema([("id", pa.int64()), ("words", pa.binary())])
-    for batch in words.slices(batches):
-        names, found = [], []
-        for doc_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            text = text.as_py()
-            spans = paragraphs(text)
-            for position in dict.fromkeys(wanted.as_py()):
-                start, end = spans[position]
-                names.append(_name(doc_id, position))
-                found.append(b" ".join(words.ascii_words(text[start:end])))
-        yield words.batch_of(schema, names, found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in words.slices(batches):
+            names, out = [], []
+            for doc_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                text = text.as_py()
+                found = [words_of(text[start:end]) for start, end in paragraphs(text)]
+                compared = pieces([size for _, size in found], min_words)
+                for position in dict.fromkeys(wanted.as_py()):
+                    first, end = compared[position]
+                    names.append(_name(doc_id, position))
+                    out.append(b" ".join(w for own, _ in found[first:end] for w in own))
+            yield words.batch_of(schema, names, out)
+
+    return run
 
 
 def _set(text: bytes, k: int) -> set:
@@ -124,8 +167,8 @@ def _side(table: DataFrame, end: str) -> DataFrame:
 
 
 def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = RECALL, min_words: int = MIN_WORDS) -> DataFrame:
-    """(name, component) of every paragraph that is similar to another one, the first of a component included;
-    a name holds the doc_id and, in its lowest 24 bits, the paragraph's position."""
+    """(name, component) of every paragraph or run that is similar to another one, the first of a component included;
+    a name holds the doc_id and, in its lowest 24 bits, the position among the document's ``pieces``."""
     bands = tuned_bands(percent, recall)
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     edges = buckets.candidate_edges(docs.mapInArrow(_post(k, bands, min_words), "key long, a long, b long"))
@@ -134,7 +177,7 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, recall:
         name = F.col("id")
         wanted = (names.select(F.shiftright(name, POSITION_BITS).alias("doc_id"), name.bitwiseAND((1 << POSITION_BITS) - 1).cast("int").alias("position"))
                   .groupBy("doc_id").agg(F.collect_list("position").alias("positions")))
-        return docs.join(wanted, "doc_id").select("doc_id", "text", "positions").mapInArrow(_fetch, "id long, words binary").dropDuplicates(["id"])
+        return docs.join(wanted, "doc_id").select("doc_id", "text", "positions").mapInArrow(_fetch(min_words), "id long, words binary").dropDuplicates(["id"])
 
     def links_among(pairs: DataFrame) -> DataFrame:
         pairs = land(pairs)
@@ -159,13 +202,18 @@ def _cut(min_words: int):
                 if not positions:
                     out.append((row, len(spans), 0, [], text))
                     continue
+                sizes = [words_of(text[s:e])[1] for s, e in spans]
+                compared = pieces(sizes, min_words)
                 gone = np.zeros(len(spans) + 2, bool)
-                gone[np.array(positions) + 1] = True
-                short = np.array([True, *(len(text[s:e].split()) < min_words for s, e in spans), True])
-                edge = np.where(short & ~gone, 0, np.arange(len(gone)))
-                before = np.maximum.accumulate(edge)
-                after = np.minimum.accumulate(np.where(short & ~gone, len(gone) - 1, np.arange(len(gone)))[::-1])[::-1]
-                gone |= gone[before] & gone[after]
+                for x in positions:
+                    first, end = compared[x["position"]]
+                    a, b = compared[x["stays"]] if x["stays"] is not None else (end, end)  # may overlap
+                    gone[first + 1:max(first, min(end, a)) + 1] = True
+                    gone[min(end, max(first, b)) + 1:end + 1] = True
+                short = np.array([True, *(size < min_words for size in sizes), True])
+                before = np.maximum.accumulate(np.where(short, 0, np.arange(len(gone))))
+                after = np.minimum.accumulate(np.where(short, len(gone) - 1, np.arange(len(gone)))[::-1])[::-1]
+                gone |= short & gone[before] & gone[after]
                 gone = gone[1:-1]
                 out.append((row, len(spans), int(gone.sum()), [{"start": s, "length": e - s} for (s, e), g in zip(spans, gone) if g],
                             "".join(text[s:e] for (s, e), g in zip(spans, gone) if not g)))
@@ -181,10 +229,11 @@ def _cut_rows(docs: DataFrame, **how) -> DataFrame:
     """_row (all columns but the text), the text that stays, and the columns ``FOUND``."""
     min_words = how.get("min_words", MIN_WORDS)
     doc_of = lambda c: F.shiftright(c, POSITION_BITS)
+    position = lambda c: F.col(c).bitwiseAND((1 << POSITION_BITS) - 1).cast("int")
     label = repeated_paragraphs(docs, **how)
     removed = F.col("name") != F.col("component")
     per_doc = label.groupBy(doc_of("name").alias("_doc")).agg(
-        F.collect_list(F.when(removed, F.col("name").bitwiseAND((1 << POSITION_BITS) - 1).cast("int"))).alias("_positions"),
+        F.collect_list(F.when(removed, F.struct(position("name").alias("position"), F.when(doc_of("name") == doc_of("component"), position("component")).alias("stays")))).alias("_positions"),
         F.array_sort(F.collect_set(F.when(removed, doc_of("component")))).alias("removed_of"),
         F.array_sort(F.collect_set(doc_of("component"))).alias("shares_with"))
     rows = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text")

@@ -132,6 +132,20 @@ def test_repeated_passage_goes_and_the_rest_stays(spark):
     assert kept.columns == df.columns and kept.count() >= len(rows) - 1
 
 
+def test_passages_of_short_units_go(spark):
+    shout = "\n".join(f"{w.upper()}!!" for w in prose(60, 300, 10 ** 6)) + "\n"
+    japanese = "".join(chr(0x3042 + random.Random(i).randrange(80)) * (i % 2 + 1) + ("。" if i % 11 == 10 else "") for i in range(220)) + "。"
+    around = [paragraph(400 + i) for i in range(8)]
+    edges = "Yes, yes. " + paragraph(390) + "No, never. "
+    rows = [(1, around[0] + shout + around[1]), (2, around[2] + "Only here.\n" + shout + "And this.\n" + around[3]),
+            (3, japanese), (4, "はじめ。" + japanese + "おわり。"), (5, around[4] + edges + around[5]), (6, around[6] + edges + around[7]),
+            (7, "Ha. " * 40)]
+    out = {r.doc_id: r for r in op2.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i].text for i in (1, 3, 5)] == [rows[i - 1][1] for i in (1, 3, 5)]
+    assert out[2].text == around[2] + "Only here.\nAnd this.\n" + around[3] and out[2].removed_of == [1]
+    assert out[4].text == "はじめ。おわり。" and out[6].text == around[6] + around[7] and out[7].text == "Ha. " * 8
+
+
 def test_paragraph_classes_match_brute_force(spark):
     draw = random.Random(8)
     units = [prose(12, 200 + i, 10 ** 6) for i in range(30)]
