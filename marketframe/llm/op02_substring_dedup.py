@@ -31,7 +31,7 @@ from marketframe.operators.landing import land
 
 MIN_WORDS = 8
 ROWS = 2
-RECALL = 0.98
+RECALL = 0.9999
 POSITION_BITS = 24
 _END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*\s+|[。！？][.!?…。！？]*[\"'”’)\]」』】）]*\s*|\n\s*")
 # Thai, Lao, Myanmar, Khmer, kana and Han.

@@ -132,6 +132,15 @@ def test_repeated_passage_goes_and_the_rest_stays(spark):
     assert kept.columns == df.columns and kept.count() >= len(rows) - 1
 
 
+def test_bands_miss_less_than_one_link_in_ten_thousand(spark):
+    bands = op2.tuned_bands(80, op2.RECALL)
+    assert (1 - 0.8 ** op2.ROWS) ** bands < 1e-4
+    base = [prose(12, 5000 + i, 10 ** 6) for i in range(400)]
+    rows = [(i * 2 + j, " ".join(b if j else [*b, f"t{i}", f"u{i}"])) for i, b in enumerate(base) for j in (0, 1)]  # 8 of 10 shingles agree
+    got = op2.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.count() == 800
+
+
 def test_passages_of_short_units_go(spark):
     shout = "\n".join(f"{w.upper()}!!" for w in prose(60, 300, 10 ** 6)) + "\n"
     japanese = "".join(chr(0x3042 + random.Random(i).randrange(80)) * (i % 2 + 1) + ("。" if i % 11 == 10 else "") for i in range(220)) + "。"
