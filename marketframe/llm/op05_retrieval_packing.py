@@ -33,7 +33,6 @@ WINDOW = 2048
 END_ID = 1
 SHARD_BYTES = 2_000_000
 BINS = 1 << 20
-QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 SEQUENCE_BITS = 24
 CACHED = 350_000
@@ -125,13 +124,10 @@ class Index:
         self.n = len(docs)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the seed's ``QUERY_TERMS`` weightiest terms, best first."""
-        own = self.own[seed]
-        own = own[np.argsort(-self.weight[own], kind="stable")[:QUERY_TERMS]]
-        at = np.searchsorted(self.starts, own, "right") - 1
-        score = np.zeros(self.n)
-        for s, e in zip(self.starts[at], self.ends[at]):
-            score[self.doc[s:e]] += self.weight[s:e]
+        """Unused documents that share a term with the seed, best first."""
+        at = np.searchsorted(self.starts, self.own[seed], "right") - 1
+        parts = [slice(s, e) for s, e in zip(self.starts[at].tolist(), self.ends[at].tolist())]
+        score = np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), self.n)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 

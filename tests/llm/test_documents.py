@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,26 @@ def test_neighbours_share_rare_words():
     assert 7 not in index.neighbours(7, np.arange(100) != 7)
 
 
+def test_neighbours_of_documents_match_full_bm25():
+    texts = pq.read_table(f"{SMALL}/documents.parquet", columns=["text"]).column("text").to_pylist()
+    docs = [np.frombuffer(ids, "<u4") for ids in op5.Tokens(op5.tokenizer_path()).of(texts)]
+    docs = [d for d in docs if len(d)]
+    counts = [collections.Counter(d.tolist()) for d in docs]
+    holds = collections.Counter(t for c in counts for t in c)
+    mean = sum(map(len, docs)) / len(docs)
+
+    def score(seed, d):
+        norm = op5.K1 * (1 - op5.B + op5.B * len(docs[d]) / mean)
+        return sum(np.log1p((len(docs) - holds[t] + 0.5) / (holds[t] + 0.5)) * counts[d][t] * (op5.K1 + 1) / (counts[d][t] + norm) for t in counts[seed] if t in counts[d])
+
+    index = op5.Index(docs)
+    for seed in range(0, len(docs), 5):
+        want = np.array([score(seed, d) for d in range(len(docs))])
+        got = index.neighbours(seed, np.arange(len(docs)) != seed)
+        assert set(got.tolist()) == set(np.flatnonzero(want).tolist()) - {seed}
+        assert (np.diff(want[got]) <= 1e-9 * want.max()).all()
+
+
 def jaccard(a, b):
     x, y = (collections.Counter(w.lower() for w in words_of(t)) for t in (a, b))
     return sum((x & y).values()) / max(1, sum((x | y).values()))
