@@ -161,7 +161,7 @@ def learn(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Mo
 def best_paths(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
     """The best language of every word, for several sequences of (words, languages) scores."""
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
-    out: list = [np.zeros(0, np.int8)] * len(scores)
+    out: list = [np.zeros(0, np.int16)] * len(scores)
     while order and len(scores[order[0]]):
         longest, langs = scores[order[0]].shape
         most = max(1, CELLS // (longest * langs))
@@ -173,7 +173,7 @@ def best_paths(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndar
             table[:lengths[g], g] = scores[i]
         active = (lengths[None, :] > np.arange(longest)[:, None]).sum(axis=1)
         value = table[0].astype(np.float64)
-        top = np.zeros((longest, len(group)), np.int8)
+        top = np.zeros((longest, len(group)), np.int16)
         moved = np.zeros(table.shape, bool)
         for t in range(1, longest):
             n = active[t]
@@ -184,7 +184,7 @@ def best_paths(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndar
             top[t, :n] = best
             value[:n] = np.maximum(now, change) + table[t, :n]
         state = value.argmax(axis=1)
-        path = np.zeros((longest, len(group)), np.int8)
+        path = np.zeros((longest, len(group)), np.int16)
         for t in range(longest - 1, -1, -1):
             n = active[t]
             path[t, :n] = state[:n]
@@ -257,8 +257,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language go on; a text without letters is rejected."""
+    """Documents in a language go on; a text without letters is rejected, also where no document is labelled."""
     model = learn(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return _predicted(docs, model).where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 

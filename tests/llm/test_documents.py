@@ -221,6 +221,15 @@ def test_held_out_accuracy(spark):
     assert [bool(zlib.crc32(str(i).encode()) % 3 == 1) for i in got.doc_id] == got.held_out.tolist()
 
 
+def test_many_languages_and_none(spark, odd):
+    table_ = np.zeros((3, 300), np.float32)
+    table_[:, 290] = 50
+    assert op10.best_paths([table_])[0].tolist() == [290] * 3
+    df = odd[1]
+    kept = op10.stage(spark, df.withColumn("lang", F.lit(None).cast("string")), "").collect()
+    assert len(kept) == df.where(F.col("text").rlike("[a-zé]")).count() > 0
+
+
 def test_languages_of_odd_rows(spark, folder, odd):
     rows, df = odd
     got = op10.op10_language_id(spark, folder(documents=df)).collect()
