@@ -45,7 +45,8 @@ def price_training(rows: DataFrame, orders: DataFrame, features: list[str], hori
     forecasts = land(made.withColumns({"predicted_price": scalars.price_from_return(F.col("price"), F.col("pred")),
                                        "actual_price": scalars.price_from_return(F.col("price"), F.col(TARGET))}))
     figures = regression_metrics(forecasts, KEYS, TARGET, "pred")
-    last = rows.groupBy(*KEYS).agg(F.max_by(F.struct("date", "price", *features), "date").alias("_r")).select(*KEYS, "_r.*")
+    # landed, since the planner is slow with filters on many fields of one aggregate
+    last = land(rows.groupBy(*KEYS).agg(F.max_by(F.struct("date", "price", *features), "date").alias("_r")).select(*KEYS, "_r.*"))
     ahead = arma.order_forecasts(last, models, features, KEYS).select(
         *KEYS, F.date_add("date", horizon).alias("prediction_date"), F.col("price").alias("last_known_price"),
         scalars.price_from_return(F.col("price"), F.col("pred")).alias("predicted_amount"))
