@@ -29,15 +29,31 @@ def land(df: DataFrame) -> DataFrame:
     prune columns and push filters, and a lost executor costs a read and no recomputation."""
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._landed_at = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Remove the files of landed frames.  Call it once everything that reads them has been landed itself."""
+    for df in frames:
+        path = getattr(df, "_landed_at", None)
+        held = next((x for x in _landed if x[1] == path), None)
+        if held:
+            _landed.remove(held)
+            _remove(*held)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """A local path is removed; in another store an empty table replaces the files, if the session still runs."""
+    local = path.removeprefix("file://") if path.startswith("file:") else path
+    if "://" not in local:
+        shutil.rmtree(local.removeprefix("file:"), ignore_errors=True)
+    elif spark.getActiveSession() is not None:
+        spark.createDataFrame([], "gone int").write.mode("overwrite").parquet(path)
 
 
 @atexit.register
 def _release() -> None:
-    """Local paths are removed; in other stores an empty table replaces the files, if the session still runs."""
     for spark, path in _landed:
-        local = path.removeprefix("file://") if path.startswith("file:") else path
-        if "://" not in local:
-            shutil.rmtree(local.removeprefix("file:"), ignore_errors=True)
-        elif spark.getActiveSession() is not None:
-            spark.createDataFrame([], "gone int").write.mode("overwrite").parquet(path)
+        _remove(spark, path)
