@@ -2,7 +2,7 @@
 
 Features are cut into bins per key.  A level of a tree is one job for all keys: gradients and hessians of the logistic loss
 are summed per (key, node, feature, bin), partial sums first, and the best split of a node is read from the running sums of
-its histogram.  So the number of jobs is rounds x (depth + 1), however many keys there are, and no key's rows meet in one task.
+its histogram.  So the number of jobs is rounds x (depth + 2), however many keys there are, and no key's rows meet in one task.
 A node that cannot be split stays a leaf; a feature without a value counts as the smallest.
 """
 
@@ -47,7 +47,8 @@ def _beside(rows: DataFrame, tree: DataFrame | None, keys: list[str], columns: d
     return rows.join(other, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys], "left").drop(*[f"_of_{c}" for c in keys])
 
 
-_SPLITS = "map<int, struct<feature: int, bin: int>>"
+#: What a key's tree is made of: splits and gains by node.
+_TREE = {"splits": "map<int, struct<feature: int, bin: int>>", "gains": "map<int, double>"}
 
 
 def _node(splits: Column, bins: Column, depth: int) -> Column:
@@ -95,28 +96,33 @@ def train(rows: DataFrame, cuts: DataFrame, features: list[str], keys: list[str]
                  .select(*keys, "bins", y.alias("y"), w.alias("w"), F.lit(0.0).alias("margin")))
     grown = []
     for turn in range(rounds):
-        tree, levels = None, []
+        tree, earlier = None, []
+        g, h = gradients(F.col("margin"), F.col("y"), F.col("w"))
         for level in range(depth):
-            g, h = gradients(F.col("margin"), F.col("y"), F.col("w"))
-            placed = _beside(state, tree, keys, {"splits": _SPLITS}).select(
+            placed = _beside(state, tree, keys, _TREE).select(
                 *keys, _node(F.col("splits"), F.col("bins"), level).alias("node"), g.alias("g"), h.alias("h"), F.posexplode("bins").alias("feature", "bin"))
             histogram = placed.groupBy(*keys, "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-            # a node that stayed a leaf on the level above finds no split again
-            levels.append(land(best_splits(histogram, keys, l2, least_hessian)))
-            every = levels[0]
-            for other in levels[1:]:
-                every = every.unionByName(other)
-            entry = lambda *c: F.map_from_entries(F.collect_list(F.struct("node", F.struct(*c) if len(c) > 1 else F.col(c[0]))))
-            tree = land(every.dropDuplicates([*keys, "node"]).groupBy(*keys).agg(entry("feature", "bin").alias("splits"), entry("gain").alias("gains")))
-        g, h = gradients(F.col("margin"), F.col("y"), F.col("w"))
-        placed = _beside(state, tree, keys, {"splits": _SPLITS, "gains": "map<int, double>"}).withColumn("node", _node(F.col("splits"), F.col("bins"), depth))
+            entries = lambda c: F.map_from_entries(F.collect_list(F.struct("node", c)))
+            found = best_splits(histogram, keys, l2, least_hessian).groupBy(*keys).agg(
+                entries(F.struct("feature", "bin")).alias("new_splits"), entries(F.col("gain")).alias("new_gains"))
+            if tree is None:
+                tree = land(found.select(*keys, F.col("new_splits").alias("splits"), F.col("new_gains").alias("gains")))
+                continue
+            # a node that stayed a leaf finds no split on a later level either, so no node comes twice
+            earlier.append(tree)
+            grown_on = _beside(tree, found, keys, {f"new_{c}": kind for c, kind in _TREE.items()})
+            tree = land(grown_on.select(*keys, *(F.when(F.col(f"new_{c}").isNull(), F.col(c)).otherwise(F.map_concat(c, f"new_{c}")).alias(c) for c in _TREE)))
+        placed = _beside(state, tree, keys, _TREE).withColumn("node", _node(F.col("splits"), F.col("bins"), depth))
         leaves = placed.groupBy(*keys, "node").agg((-rate * F.sum(g) / (F.sum(h) + l2)).alias("value"))
-        values = land(leaves.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("node", "value"))).alias("leaves")))
-        grown.append(land(_beside(values, tree, keys, {"splits": _SPLITS, "gains": "map<int, double>"}).withColumn("round", F.lit(turn))))
-        moved = _beside(placed, values, keys, {"leaves": "map<int, double>"})
-        after = land(moved.select(*keys, "bins", "y", "w", (F.col("margin") + F.try_element_at("leaves", F.col("node"))).alias("margin")))
-        release(state, values, tree, *levels)
-        state = after
+        values = leaves.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("node", "value"))).alias("leaves"))
+        grown.append(land(_beside(values, tree, keys, _TREE).withColumn("round", F.lit(turn))))
+        if turn + 1 < rounds:
+            moved = _beside(placed.drop(*_TREE), grown[-1], keys, {"leaves": "map<int, double>"})
+            after = land(moved.select(*keys, "bins", "y", "w", (F.col("margin") + F.try_element_at("leaves", F.col("node"))).alias("margin")))
+        release(*earlier, tree)
+        if turn + 1 < rounds:
+            release(state)
+            state = after
     every = grown[0]
     for other in grown[1:]:
         every = every.unionByName(other)

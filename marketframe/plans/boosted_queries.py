@@ -15,7 +15,7 @@ from marketframe.plans.model_queries import FEATURES, _rows, _scaled_split, _wit
 _PAIR = ["momentum_30", "rsi"]
 _CUTS = [[-0.4, -0.2, -0.1, 0.0, 0.1, 0.2, 0.4], [30.0, 40.0, 50.0, 60.0, 70.0]]
 _RATE = 0.1
-DEPTH, ROUNDS = 3, 10
+DEPTH, ROUNDS = 3, 5
 
 CTES["stump_cuts"] = "SELECT * FROM (VALUES " + ", ".join(
     f"({f}, {b}, CAST({cut} AS DOUBLE))" for f, cuts in enumerate(_CUTS) for b, cut in enumerate(cuts)) + ") AS c(f, b, cut)"
