@@ -190,10 +190,14 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = land(sized(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     plan = Plan(rows)
     placed = land(positioned(rows, plan))
-    taken = mixed(placed.drop("source"), plan).groupBy("_source", "_start").agg(F.sum("words").alias("taken"))
+    # a document is in the mix at most four times: whole in each of up to three passes, and once in part
+    takes = mixed(placed.drop("source"), plan).groupBy("_source", "_start").agg(
+        F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("pass", "shard", "place"))).alias("takes"))
     sizable = F.when(F.col("_size") > 0, F.col("_start"))
-    return placed.withColumn("_at", sizable).join(taken.select("_source", F.col("_start").alias("_at"), "taken"), ["_source", "_at"], "left") \
-        .select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    none = F.expr("CAST(array() AS array<bigint>)")
+    return placed.withColumn("_at", sizable).join(takes.withColumnRenamed("_start", "_at"), ["_source", "_at"], "left") \
+        .select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+                F.coalesce("takes.shard", none).alias("shards"), F.coalesce("takes.place", none).alias("places"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,13 +62,36 @@ def test_tree_deals_every_draw_once():
 def test_mix_meets_targets(spark):
     one, two = (op4.op4_source_mix(spark, SMALL).toPandas().sort_values("doc_id").reset_index(drop=True) for _ in range(2))
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").toPandas().sort_values("doc_id").reset_index(drop=True)
-    assert one.equals(two) and len(one) == len(docs)
+    assert one.astype(str).equals(two.astype(str)) and len(one) == len(docs)
+    assert [len(s) for s in one.shards] == [len(s) for s in one.places] and ((one.taken > 0) == (one.shards.map(len) > 0)).all()
     assert one["size"].tolist() == [len(words_of(t)) for t in docs.text] and (one.taken <= 3 * one["size"]).all()
     by = one.groupby(docs.source.fillna("~")).agg({"size": "sum", "source_size": "max", "target": "max", "taken": "sum"})
     assert (by["size"] == by.source_size).all() and (abs(by.taken - by.target) <= 1).all()
     assert by.target.tolist() == pytest.approx(op4.target_sizes(by["size"].tolist(), [1 + i % 3 for i in range(len(by))]))
 
 
+def test_takes_stand_in_the_shards_that_the_tree_gives(spark, monkeypatch):
+    """With small blocks and shards, against the leaves of a tree walked here."""
+    plan = op4.Plan
+    monkeypatch.setattr(op4, "Plan", lambda rows: plan(rows, block_words=50, shard_words=4000))
+    df = op4.op4_source_mix(spark, SMALL)
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
+    got = {(r.doc_id, r.size): r for r in df.collect()}
+    rows = op4.sized(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    p = plan(rows, block_words=50, shard_words=4000)
+    seen = set()
+    for r in op4.positioned(rows, p).where("_size > 0").collect():
+        whole, part = p.passes[r._source], p.rest[r._source] > r._start
+        want = []
+        for turn in range(whole + part):
+            n, (factor, shift) = (p.blocks, p.whole[r._source]) if turn < whole else (p.last, p.part[r._source])
+            rank = turn * p.blocks[r._source] + (r._start // 50 * factor + shift) % n[r._source]
+            want += op4.leaves(np.array([r._source]), np.array([rank]), p.quotas, p.shards, p.seed).tolist()
+        assert got[r.doc_id, r._size].shards == want
+        seen |= set(want)
+    assert p.shards > 5 and seen == set(range(p.shards))
+
+
 def test_mix_of_odd_rows(spark, folder, odd):
     rows, df = odd
     got = op4.op4_source_mix(spark, folder(documents=df)).toPandas()
