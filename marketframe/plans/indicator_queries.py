@@ -10,6 +10,7 @@ from marketframe.operators import series, windows
 from marketframe.operators.enrich import basic_stock_data, join_index_returns
 from marketframe.operators.landing import land
 from marketframe.operators.select import differenced, stationarity
+from marketframe.operators.unit_root import augmented_stationarity
 from marketframe.plans.catalog import query, rnd, sql_rnd
 from marketframe.plans.features import feature_table
 from marketframe.plans.inputs import CTES, HORIZON
@@ -307,6 +308,43 @@ def _m1(t):
     return stationarity(_level_rows(t), "level").select("symbol", "n", rnd("t_stat").alias("t_stat"), "stationary")
 
 
+def _augmented_sql(lags: int) -> str:
+    """The test with one or two lagged changes: covariances, from which each lagged change in turn takes what it explains."""
+    w = "OVER (PARTITION BY symbol ORDER BY date)"
+    names = ["x", *(f"d{i}" for i in range(1, lags + 1)), "y"]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    steps = [f"c0 AS (SELECT symbol, count(*) AS n, {', '.join(f'covar_pop({a}, {b}) AS {a}_{b}' for a, b in pairs)} FROM v GROUP BY symbol)"]
+    of = lambda a, b: f"{a}_{b}" if (a, b) in pairs else f"{b}_{a}"
+    for i in range(1, lags + 1):
+        d = f"d{i}"
+        left = ", ".join(f"{a}_{b} - {of(a, d)} * {of(b, d)} / {d}_{d} AS {a}_{b}" for a, b in pairs)
+        steps.append(f"c{i} AS (SELECT symbol, n, {left} FROM c{i - 1})")
+    return f"""
+WITH e AS (SELECT symbol, date, lag(level) {w} AS x, level - lag(level) {w} AS y FROM level_rows WHERE level IS NOT NULL),
+ v AS (SELECT * FROM (SELECT *, {', '.join(f'lag(y, {i}) {w} AS d{i}' for i in range(1, lags + 1))} FROM e) WHERE d{lags} IS NOT NULL),
+ {', '.join(steps)}
+SELECT symbol, n, CAST({lags} AS INT) AS lags, {sql_rnd(f'x_y / x_x / sqrt((y_y - x_y * x_y / x_x) / (n - {lags + 2}) / x_x)')} AS t_stat FROM c{lags} WHERE n > {lags + 2}"""
+
+
+def _augmented(t, lags):
+    return augmented_stationarity(_level_rows(t), "level", ["symbol"], lags=lags).where(f"n > {lags + 2}").select("symbol", "n", "lags", rnd("t_stat").alias("t_stat"))
+
+
+@query("m1_one_lag", _augmented_sql(1))
+def _m1a(t):
+    return _augmented(t, 1)
+
+
+@query("m1_two_lags", _augmented_sql(2))
+def _m1b(t):
+    return _augmented(t, 2)
+
+
+@query("m1_lag_by_aic")
+def _m1c(t):
+    return augmented_stationarity(_level_rows(t), "level", ["symbol"])
+
+
 _lag_cols = ["sp500_return", "nasdaq_return", "gdp_growth"]
 
 
