@@ -15,6 +15,7 @@ from marketframe.operators import series
 from marketframe.operators.asof import asof_join
 from marketframe.operators.gram import gram, moments
 from marketframe.operators.landing import land
+from marketframe.operators.reports import actual_movement
 from marketframe.operators.select import fold_block
 
 KEYS = ["symbol"]
@@ -201,6 +202,20 @@ def score_dates(predicted: DataFrame, requests: DataFrame, horizon: int, mode: s
     return out.withColumn("predicted_price", price_from_return(F.col("last_known_price"), F.col("_usable"))).drop("_due", "_usable")
 
 
+def score_classes(scored: DataFrame, bars: DataFrame, requests: DataFrame, horizon: int, mode: str = "reference") -> DataFrame:
+    """Direction and probability for the dates of ``score_dates``, with the price and the movement that followed.
+
+    ``scored`` has ``pred_label`` and ``proba`` per bar.  A date without a bar has no price and no movement, and the movement is
+    NULL while no bar lies ``horizon`` days later."""
+    told = scored.select("symbol", "date", F.struct("pred_label", "proba").alias("pred"))
+    rows = _with_usable_forecast(told, horizon, mode).select(
+        "symbol", F.col("date").alias("_bar"), F.col("_usable.pred_label").alias("predicted_movement"), F.col("_usable.proba").alias("prediction_probability"))
+    probes = requests.select("symbol", "input_date", F.explode(scoring_dates(F.col("input_date"), F.lit(horizon))).alias("date"))
+    out = asof_join(probes.withColumn("_due", F.date_sub("date", horizon)), rows, ["symbol"], "_due", "_bar", ["predicted_movement", "prediction_probability"])
+    followed = actual_movement(bars, horizon).select("symbol", "date", F.col("close").alias("actual_price"), "actual_movement")
+    return out.drop("_due").join(followed, ["symbol", "date"], "left")
+
+
 def _with_usable_forecast(predicted: DataFrame, horizon: int, mode: str) -> DataFrame:
     if mode == "corrected":
         return predicted.withColumn("_usable", F.col("pred"))

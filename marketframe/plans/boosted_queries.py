@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marketframe.operators import boosted, select
 from marketframe.operators.evaluate import classification_metrics
 from marketframe.operators.landing import land
-from marketframe.operators.linear import future_class
+from marketframe.operators.linear import future_class, score_classes
 from marketframe.plans.catalog import query, rnd, sql_rnd
 from marketframe.plans.inputs import CTES, HORIZON
 from marketframe.plans.model_queries import FEATURES, _rows, _scaled_split, _with_price
@@ -59,6 +59,32 @@ def _m10c(t):
     return scored.select("symbol", "date", rnd("proba").alias("proba"), "pred_label")
 
 
+CTES["stump_rated"] = f"""
+WITH v AS (SELECT r.symbol, r.date, CASE f WHEN 0 THEN {_PAIR[0]} ELSE {_PAIR[1]} END AS v, b.* EXCLUDE (symbol) FROM pair_rows r JOIN stump_best b USING (symbol)),
+ p AS (SELECT symbol, date, 1 / (1 + exp(-CASE WHEN v <= cut THEN -{_RATE} * gl / (hl + {boosted.L2}) ELSE -{_RATE} * (gs - gl) / (hs - hl + {boosted.L2}) END)) AS proba FROM v)
+SELECT symbol, date, lag(proba, {HORIZON}) OVER (PARTITION BY symbol ORDER BY date) AS usable FROM p"""
+
+
+@query("m14_class_scoring", f"""
+WITH d AS (SELECT symbol, max(date) - 30 AS input_date FROM bars GROUP BY symbol),
+ days AS (SELECT symbol, input_date, CAST(unnest(generate_series(CAST(input_date - 60 AS TIMESTAMP), CAST(input_date + {HORIZON} AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM d),
+ work AS (SELECT * FROM days WHERE isodow(date) < 6),
+ probes AS (SELECT symbol, input_date, date FROM work WHERE date > input_date
+   UNION SELECT symbol, input_date, date FROM work WHERE date <= input_date QUALIFY row_number() OVER (PARTITION BY symbol, input_date ORDER BY date DESC) <= {HORIZON}
+   UNION SELECT symbol, input_date, date FROM work WHERE date = input_date),
+ told AS (SELECT p.*, u.usable FROM probes p ASOF LEFT JOIN stump_rated u ON p.symbol = u.symbol AND p.date - {HORIZON} >= u.date),
+ came AS (SELECT b.symbol, b.date, b.close, f.close AS later FROM bars b ASOF LEFT JOIN bars f ON b.symbol = f.symbol AND b.date + {HORIZON} <= f.date)
+SELECT t.symbol, t.input_date, t.date, CAST(usable > 0.5 AS INT) AS predicted_movement, {sql_rnd('usable')} AS prediction_probability,
+  c.close AS actual_price, CAST(c.later > c.close AS INT) AS actual_movement FROM told t LEFT JOIN came c ON t.symbol = c.symbol AND t.date = c.date""")
+def _m14c(t):
+    rows, cuts, models = _stumps(t)
+    split = models.where(F.size(F.col("trees")[0]["splits"]) > 0)
+    scored = boosted.score(split, cuts, rows, _PAIR, ["symbol"], 1)
+    requests = t.bars.groupBy("symbol").agg(F.date_sub(F.max("date"), 30).alias("input_date"))
+    out = score_classes(scored, t.bars, requests, HORIZON)
+    return out.select("symbol", "input_date", "date", "predicted_movement", rnd("prediction_probability").alias("prediction_probability"), "actual_price", "actual_movement")
+
+
 def _symbol_models(t):
     rows = _scaled_split(_rows(t))
     train = rows.filter("is_train")
