@@ -169,3 +169,25 @@ def test_tree_models_learn_and_repeat(spark):
     assert importance.idxmax() == "x1" and abs(importance.sum() - 1) < 1e-9
     both = trees.classification_importance(df, X, rounds=4).toPandas().set_index("feature").importance
     assert both["x3"] < min(both["x1"], both["x2"])
+
+
+def test_nearest_in_projection_tables_has_the_true_neighbours(spark):
+    """28 features of a few factors, as indicators are; a long symbol in cells, a short one whole."""
+    rng = np.random.default_rng(8)
+    mixing = rng.normal(0, 1, (6, 28))
+    parts, points = [], {}
+    for s, n in (("long", 2500), ("short", 60)):
+        x = rng.normal(0, 1, (n, 6)) @ mixing + rng.normal(0, 0.3, (n, 28))
+        points[s] = x
+        parts += [(s, dt.date(2010, 1, 1) + dt.timedelta(days=i), n, *map(float, v)) for i, v in enumerate(x)]
+    names = [f"f{i}" for i in range(28)]
+    df = spark.createDataFrame(parts, "symbol string, date date, _n long, " + ", ".join(f"{f} double" for f in names)).repartition(4)
+    found = {(r.symbol, r.date): {tuple(n["_ov"]) for n in r["_nns"]} for r in trees.nearest(df, names, 5).collect()}
+    assert len(found) == 2560
+    for s, x in points.items():
+        square = (x ** 2).sum(axis=1)
+        d = square[:, None] + square - 2 * x @ x.T
+        np.fill_diagonal(d, np.inf)
+        want = np.argsort(d, axis=1)[:, :5]
+        hits = sum(tuple(x[j].tolist()) in found[s, dt.date(2010, 1, 1) + dt.timedelta(days=i)] for i in range(len(x)) for j in want[i])
+        assert hits / want.size >= (0.95 if s == "long" else 1.0), (s, hits / want.size)
