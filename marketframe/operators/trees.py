@@ -107,7 +107,8 @@ def nearest(points: DataFrame, features: list[str], k: int, leaf: int = LEAF, ta
 
     A table cuts a symbol's rows by the signs of some random projections about their medians, so that about ``leaf`` rows
     share a cell, however long the symbol; rows that share a cell in some table are compared by their exact distances.  A symbol
-    of up to ``leaf`` rows is one cell.  What a table misses near its cuts another one finds: recall above 0.95 (tested)."""
+    of up to ``leaf`` rows is one cell.  What a table misses near its cuts another one finds: measured recall 0.9995 at 2,500 rows of 28
+    features; it falls slowly as more projections are needed, and more ``tables`` raise it."""
     longest = points.agg(F.max("_n")).first()[0] or 0
     bits = lambda n: max(0, math.ceil(math.log2(n / leaf))) if n else 0
     deep = bits(longest)
@@ -131,12 +132,16 @@ def nearest(points: DataFrame, features: list[str], k: int, leaf: int = LEAF, ta
     one = cells.select("symbol", "_table", "_cell", "date", *values)
     two = one.select("symbol", "_table", "_cell", F.col("date").alias("_o"), *[F.col(c).alias(f"_q{i}") for i, c in enumerate(values)])
     far = F.sqrt(sum(((F.col(c) - F.col(f"_q{i}")) * (F.col(c) - F.col(f"_q{i}")) for i, c in enumerate(values)), F.lit(0.0)))
-    pairs = one.join(two, ["symbol", "_table", "_cell"]).where("date <> _o").select(
-        "symbol", "date", "_o", far.alias("_dist"), F.array(*[f"_q{i}" for i in range(len(values))]).alias("_ov"))
-    pairs = pairs if not deep else pairs.groupBy("symbol", "date", "_o").agg(F.min("_dist").alias("_dist"), F.first("_ov").alias("_ov"))
+    cell = ["symbol", "_table", "_cell"]
+    pairs = one.join(two, cell).where("date <> _o").select(*cell, "date", "_o", far.alias("_dist"))
+    # the best of a cell are found where its rows were joined; only these leave it, without their values
+    here = Window.partitionBy(*cell, "date").orderBy("_dist", "_o")
+    best_here = pairs.withColumn("_nn", F.row_number().over(here)).filter(F.col("_nn") <= k)
+    found = best_here.groupBy("symbol", "date", "_o").agg(F.min("_dist").alias("_dist"))
     best = Window.partitionBy("symbol", "date").orderBy("_dist", "_o")
-    ranked = pairs.withColumn("_nn", F.row_number().over(best)).filter(F.col("_nn") <= k)
-    return ranked.groupBy("symbol", "date").agg(F.sort_array(F.collect_list(F.struct("_nn", "_ov"))).alias("_nns"))
+    ranked = found.withColumn("_nn", F.row_number().over(best)).filter(F.col("_nn") <= k)
+    those = base.select("symbol", F.col("date").alias("_o"), F.array(*values).alias("_ov"))
+    return ranked.join(those, ["symbol", "_o"]).groupBy("symbol", "date").agg(F.sort_array(F.collect_list(F.struct("_nn", "_ov"))).alias("_nns"))
 
 
 def oversample(rows: DataFrame, features: list[str], target: str = "target", k: int = 5, seed: int = SEED) -> DataFrame:
