@@ -138,7 +138,7 @@ def test_spelling_forms_against_brute_force(spark):
             line.append(w.upper() if draw.random() < 0.1 else w)
         rows.append((i % 250 if i % 17 else None, draw.choice([" ", ", ", "1", "\n"]).join(line)))
     rows += [(1, None), (2, ""), (3, "x" * 5000 + " " + "x" * 4999 + "y"), *[(k, "z" * 3000 + " " + "z" * 2999) for k in range(6)]]
-    rows += [(400, "steppe " * 6 + "stepped " * 40 + "stepper " * 250)]
+    rows += [(400, "stoneage " * 6 + "stoneagx " * 40 + "stoneayx " * 250)]  # a chain of two steps
     got = op12.spelling_forms(spark.createDataFrame([(*r, "x", "y") for r in rows], DOCS).repartition(4))
     want = forms(rows)
     assert sorted(map(tuple, got.collect())) == want
