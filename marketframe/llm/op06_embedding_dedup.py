@@ -37,19 +37,28 @@ SAMPLE = 20_000
 TILE = 256
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1; rows of zeros stay.  A power of two brings the largest component near 1 first, so that no
+    finite row's squares vanish or overflow, and all others keep their bits."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, keepdims=True, initial=0.0))
+    scaled = np.ldexp(vectors, -exponent)
+    norm = np.linalg.norm(scaled, axis=1, keepdims=True)
+    return scaled / np.where(norm > 0, norm, 1)
+
+
 class Codes:
     """Centre and learned rotations; ``substrings`` gives a code cut into tables."""
 
     def __init__(self, sample: np.ndarray, tables: int = TABLES, rotations: int = ROTATIONS, rounds: int = ROUNDS, seed: int = 6):
-        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        self.centre = unit.mean(axis=0)
-        unit = unit - self.centre
+        at = unit(sample)
+        self.centre = at.mean(axis=0)
+        at = at - self.centre
         draw = np.random.default_rng(seed)
         found = []
         for _ in range(rotations):
-            rotation, _ = np.linalg.qr(draw.normal(size=(unit.shape[1],) * 2))
+            rotation, _ = np.linalg.qr(draw.normal(size=(at.shape[1],) * 2))
             for _ in range(rounds):
-                u, _, v = np.linalg.svd(np.where(unit @ rotation >= 0, 1.0, -1.0).T @ unit)
+                u, _, v = np.linalg.svd(np.where(at @ rotation >= 0, 1.0, -1.0).T @ at)
                 rotation = (u @ v).T
             found.append(rotation)
         self.rotations = np.concatenate(found, axis=1)
@@ -59,8 +68,7 @@ class Codes:
         d = len(self.centre)
         fit = np.zeros((len(vectors), d))
         fit[:, :min(d, vectors.shape[1])] = vectors[:, :d]
-        norm = np.linalg.norm(fit, axis=1, keepdims=True)
-        bits = (fit / np.where(norm > 0, norm, 1) - self.centre) @ self.rotations >= 0
+        bits = (unit(fit) - self.centre) @ self.rotations >= 0
         out = np.empty((len(vectors), len(self.cuts) - 1), np.uint32)
         for t, (low, high) in enumerate(zip(self.cuts, self.cuts[1:])):
             out[:, t] = bits[:, low:high] @ (1 << np.arange(high - low, dtype=np.uint64)).astype(np.uint32)
@@ -113,8 +121,8 @@ def _rank(threshold: float, kind: str):
                 continue
             part, table, ids, copies = (tile.column(c).to_numpy() for c in (3, 4, 5, 6))
             vectors = np.frombuffer(b"".join(tile.column(8).to_pylist()), kind).reshape(n, -1).astype(np.float64)
-            unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-            linked = unit @ unit.T >= threshold
+            near = unit(vectors)
+            linked = near @ near.T >= threshold
             linked[np.arange(n), np.arange(n)] = False
             if tile.column(1)[0] != tile.column(2)[0]:
                 linked &= part[:, None] != part[None, :]

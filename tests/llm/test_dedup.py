@@ -195,6 +195,16 @@ def test_embeddings_match_all_pairs(spark):
     assert (got.loc[[r[0] for r in odd]].n_links == 0).all() and (got.loc[[r[0] for r in odd]].kept).all()
 
 
+def test_finite_vectors_of_any_size_link_by_their_direction(spark):
+    draw = np.random.default_rng(3)
+    one, two = draw.normal(size=(2, 16))
+    sizes = [1.0, 1e-200, 1e200]
+    rows = [(i, (one * s).tolist(), 1) for i, s in enumerate(sizes)] + [(10 + i, (two * s).tolist(), 1) for i, s in enumerate([1.0, 1e-200, 1.7e308 / np.abs(two).max()])]
+    rows += [(20, [5e-324] + [0.0] * 15, 1), (21, [1e300] + [0.0] * 15, 1)]
+    got = {r.vec_id: r.component_id for r in op6.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 10: 10, 11: 10, 12: 10, 20: 20, 21: 20}
+
+
 def test_recall_on_the_table(spark):
     path = "/root/testdata/sf0.01"
     df = spark.read.parquet(f"{path}/embeddings.parquet").toPandas()
