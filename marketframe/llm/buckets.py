@@ -40,7 +40,7 @@ def postings(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     return batch_of(POSTING, keys[keep], centre[keep], pa.array(ids[keep], mask=first[keep]))
 
 
-def _join_centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def join_centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, centre = None, None
     for batch in batches:
         linked = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
@@ -62,10 +62,10 @@ def _join_centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield batch_of(POSTING, keys[keep], start[keep], ids[keep])
 
 
-def candidate_edges(posted: DataFrame) -> DataFrame:
+def candidate_edges(posted: DataFrame, join=join_centres) -> DataFrame:
     """Edges (key, a, b) that connect the members of every bucket; ``posted`` comes from ``postings``."""
     route = F.when(F.col("b").isNull(), F.col("key")).otherwise(F.xxhash64("b"))
-    return posted.repartition(route).sortWithinPartitions("key", "a").mapInArrow(_join_centres, "key long, a long, b long")
+    return posted.repartition(route).sortWithinPartitions("key", "a").mapInArrow(join, "key long, a long, b long")
 
 
 def pairs_of(edges: DataFrame) -> DataFrame:

@@ -4,14 +4,17 @@ A paragraph is a line, cut further after the end of a sentence, so that a passag
 middle of another text falls into the same paragraphs there.  Paragraphs of ``MIN_WORDS`` words and more are
 hashed as sets of word shingles; bands tuned for the wanted recall give colliding paragraphs; pairs are
 checked by the exact Jaccard similarity of their shingles; of each connected component the first paragraph
-(smallest doc_id, then position) stays.  A shorter paragraph is compared together with its neighbours: the fewest
+(smallest doc_id, then position) stays.  Equal paragraphs (equal 62-bit hashes of their words) are one class before
+banding: bands, pairs and checks are those of classes, so that a passage costs one paragraph however often it is copied.
+A shorter paragraph is compared together with its neighbours: the fewest
 paragraphs from it ahead, and the fewest up to it, that have ``MIN_WORDS`` words form a run, and equal runs are one
 component, so that a passage of short lines goes like any other, up to its edges.  A shorter paragraph between two
 removed longer ones goes with them.  Scripts without spaces count two characters as a word.
 
 Defined cases: null and empty texts have no paragraphs and come back as they are; text that stays is never
-changed; rows that repeat a doc_id must carry one text and are then each cut alike; rows without doc_id are
-not compared and stay whole; columns besides ``doc_id`` and ``text`` are ignored.
+changed; rows that repeat a doc_id are versions of one document: equal texts are cut alike, and of different ones
+a paragraph that has the same place in both is no copy; rows without doc_id are not compared and stay whole; columns
+besides ``doc_id`` and ``text`` are ignored; a doc_id of 2^39 and more and a text of 2^24 compared pieces raise.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.llm import buckets, words
-from marketframe.operators.landing import land
+from marketframe.operators.landing import land, release
 
 MIN_WORDS = 8
 ROWS = 2
 RECALL = 0.9999
 POSITION_BITS = 24
+RUN, PARAGRAPH, BAND = 0, 1, 2  # lowest two bits of a bucket's key
+POSTED = 1 << 20
 _END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*\s+|[。！？][.!?…。！？]*[\"'”’)\]」』】）]*\s*|\n\s*")
 # Thai, Lao, Myanmar, Khmer, kana and Han.
 _UNSPACED = re.compile("[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]")
@@ -81,48 +86,85 @@ def _name(doc_id: int, position: int) -> int:
     return (doc_id << POSITION_BITS) + position
 
 
+def _digest(found: list[bytes]) -> bytes:
+    return xxhash.xxh64_digest(b" ".join(found)) if found else b""
+
+
+def _class(digests: list[bytes], first: int, end: int) -> int:
+    """Key of the class of equal paragraphs or runs, from the digests of their paragraphs."""
+    if end - first == 1:
+        return int.from_bytes(digests[first], "big", signed=True) & ~3 | PARAGRAPH
+    return int.from_bytes(xxhash.xxh64_digest(b"".join(digests[first:end]), seed=29), "big", signed=True) & ~3 | RUN
+
+
 def _post(k: int, bands: int, min_words: int):
+    """Postings: the name of each paragraph and run under the key of its class, and each class of paragraphs under the
+    keys of its bands, once for as long as the task remembers it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, factors = words.WordHash(), words.multipliers(bands * ROWS, seed=29)
+        cache, factors, posted = words.WordHash(), words.multipliers(bands * ROWS, seed=29), set()
         for batch in words.slices(batches):
-            names, sequences, runs, run_keys = [], [], [], []
+            keys, names, classes, sequences = [], [], [], []
+            if len(posted) > POSTED:
+                posted.clear()
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 found = [words_of(text[start:end]) for start, end in paragraphs(text)]
-                digests = [None] * len(found)
+                digests = [_digest(own) for own, _ in found]
                 for position, (first, end) in enumerate(pieces([size for _, size in found], min_words)):
-                    if end - first == 1:
-                        names.append(_name(doc_id, position))
+                    key = _class(digests, first, end)
+                    keys.append(key)
+                    names.append(_name(doc_id, first if end - first == 1 else position))
+                    if end - first == 1 and key not in posted:
+                        posted.add(key)
+                        classes.append(key)
                         sequences.append(words.hashes(found[first][0], cache))
-                        continue
-                    for i in range(first, end):
-                        if digests[i] is None:
-                            digests[i] = xxhash.xxh64_digest(b" ".join(found[i][0])) if found[i][0] else b""
-                    runs.append(_name(doc_id, position))
-                    run_keys.append(xxhash.xxh64_intdigest(b"".join(digests[first:end]), seed=29))
-            if names or runs:
-                keys = words.band_keys(words.min_hashes(*words.shingles(sequences, k), factors), bands)
-                yield buckets.postings(np.concatenate([keys.ravel(), np.array(run_keys, np.uint64)]),
-                                       np.concatenate([np.repeat(np.array(names, np.int64), bands), np.array(runs, np.int64)]))
+            if keys:
+                banded = words.band_keys(words.min_hashes(*words.shingles(sequences, k), factors), bands).ravel() & ~np.uint64(3) | np.uint64(BAND)
+                yield buckets.postings(np.concatenate([np.array(keys, np.int64), banded.astype(np.int64)]),
+                                       np.concatenate([np.array(names, np.int64), np.repeat(np.array(classes, np.int64), bands)]))
 
     return run
 
 
-def _fetch(min_words: int):
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of each bucket, and the first paragraph of each class as (key, first, null)."""
+    last, firsts = None, []
+
+    def watched():
+        nonlocal last
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            chosen = batch.column(2).is_null().to_numpy(zero_copy_only=False) & (keys & 3 == PARAGRAPH)
+            keys = keys[chosen]
+            if len(keys):
+                new = np.concatenate([[last is None or keys[0] != last], keys[1:] != keys[:-1]])
+                last = keys[-1]
+                firsts.append(batch.filter(pa.array(chosen)).filter(pa.array(new)))
+            yield batch
+
+    for done in buckets.join_centres(watched()):
+        while firsts:
+            yield firsts.pop()
+        yield done
+    yield from firsts
+
+
+def _fetch():
     schema = pa.schema([("id", pa.int64()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches):
-            names, out = [], []
-            for doc_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            keys, out = [], []
+            for text, wanted in zip(batch.column(0), batch.column(1)):
                 text = text.as_py()
-                found = [words_of(text[start:end]) for start, end in paragraphs(text)]
-                compared = pieces([size for _, size in found], min_words)
-                for position in dict.fromkeys(wanted.as_py()):
-                    first, end = compared[position]
-                    names.append(_name(doc_id, position))
-                    out.append(b" ".join(w for own, _ in found[first:end] for w in own))
-            yield words.batch_of(schema, names, out)
+                spans = paragraphs(text)
+                for x in wanted.as_py():
+                    if x["position"] < len(spans):
+                        own, _ = words_of(text[slice(*spans[x["position"]])])
+                        if own and _class([_digest(own)], 0, 1) == x["id"]:  # else of another text with the doc_id
+                            keys.append(x["id"])
+                            out.append(b" ".join(own))
+            yield words.batch_of(schema, keys, out)
 
     return run
 
@@ -167,26 +209,39 @@ def _side(table: DataFrame, end: str) -> DataFrame:
 
 
 def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = RECALL, min_words: int = MIN_WORDS) -> DataFrame:
-    """(name, component) of every paragraph or run that is similar to another one, the first of a component included;
-    a name holds the doc_id and, in its lowest 24 bits, the position among the document's ``pieces``."""
+    """(key, name, component) of every paragraph or run that is similar to another one, the first of a component
+    included; key is its class, a name holds the doc_id and, in its lowest 24 bits, the paragraph's number, or
+    that of a run among the document's ``pieces``."""
     bands = tuned_bands(percent, recall)
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    edges = buckets.candidate_edges(docs.mapInArrow(_post(k, bands, min_words), "key long, a long, b long"))
-
-    def payload(names: DataFrame) -> DataFrame:
-        name = F.col("id")
-        wanted = (names.select(F.shiftright(name, POSITION_BITS).alias("doc_id"), name.bitwiseAND((1 << POSITION_BITS) - 1).cast("int").alias("position"))
-                  .groupBy("doc_id").agg(F.collect_list("position").alias("positions")))
-        return docs.join(wanted, "doc_id").select("doc_id", "text", "positions").mapInArrow(_fetch(min_words), "id long, words binary").dropDuplicates(["id"])
+    found = land(buckets.candidate_edges(docs.mapInArrow(_post(k, bands, min_words), "key long, a long, b long"), _stars))
+    kind = F.col("key").bitwiseAND(3)
+    edges = found.where(kind == BAND)
+    firsts = found.where((kind == PARAGRAPH) & F.col("b").isNull()).select(F.col("key").alias("id"), F.col("a").alias("name"))
+    wanted = (firsts.join(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
+              .groupBy(_doc_of("name").alias("doc_id")).agg(F.collect_list(F.struct(_place_of("name").alias("position"), "id")).alias("wanted")))
+    fetched = land(docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_fetch(), "id long, words binary").dropDuplicates(["id"]))
 
     def links_among(pairs: DataFrame) -> DataFrame:
-        pairs = land(pairs)
-        fetched = land(payload(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
         return pairs.join(_side(fetched, "a"), "a").join(_side(fetched, "b"), "b").select("a", "b", "words_a", "words_b") \
             .mapInArrow(_similar(k, percent), "a long, b long")
 
-    label = buckets.linked_components(edges, links_among, payload, _tile(k, percent))
-    return label.select(F.col("id").alias("name"), "component")
+    label = buckets.linked_components(edges, links_among, lambda ids: fetched.join(ids, "id"), _tile(k, percent)) \
+        .select(F.col("id").alias("key"), F.col("component").alias("whole"))
+    copies = found.where((kind != BAND) & F.col("b").isNotNull()).select("key", F.explode(F.array("a", "b")).alias("name"))
+    linked = firsts.select(F.col("id").alias("key"), "name").join(label, "key", "left_semi")
+    named = land(copies.union(linked).distinct().join(label, "key", "left").select("key", "name", F.coalesce("whole", "key").alias("whole")))
+    out = land(named.join(named.groupBy("whole").agg(F.min("name").alias("component")), "whole").select("key", "name", "component"))
+    release(found, fetched, named)
+    return out
+
+
+def _doc_of(name: str):
+    return F.shiftright(name, POSITION_BITS)
+
+
+def _place_of(name: str):
+    return F.col(name).bitwiseAND((1 << POSITION_BITS) - 1).cast("int")
 
 
 def _cut(min_words: int):
@@ -202,12 +257,17 @@ def _cut(min_words: int):
                 if not positions:
                     out.append((row, len(spans), 0, [], text))
                     continue
-                sizes = [words_of(text[s:e])[1] for s, e in spans]
+                found = [words_of(text[s:e]) for s, e in spans]
+                sizes, digests = [size for _, size in found], [_digest(own) for own, _ in found]
                 compared = pieces(sizes, min_words)
+                single = [(i, i + 1) for i in range(len(spans))]
                 gone = np.zeros(len(spans) + 2, bool)
                 for x in positions:
-                    first, end = compared[x["position"]]
-                    a, b = compared[x["stays"]] if x["stays"] is not None else (end, end)  # may overlap
+                    places = single if x["key"] & 3 == PARAGRAPH else compared
+                    if x["position"] >= len(places) or not digests[places[x["position"]][0]] or _class(digests, *places[x["position"]]) != x["key"]:
+                        continue  # of another text with the doc_id
+                    first, end = places[x["position"]]
+                    a, b = places[x["stays"]] if x["stays"] is not None and x["stays"] < len(places) else (end, end)  # may overlap
                     gone[first + 1:max(first, min(end, a)) + 1] = True
                     gone[min(end, max(first, b)) + 1:end + 1] = True
                 short = np.array([True, *(size < min_words for size in sizes), True])
@@ -228,14 +288,12 @@ FOUND = ["n_paragraphs", "n_removed", "removed", "removed_of", "shares_with"]
 def _cut_rows(docs: DataFrame, **how) -> DataFrame:
     """_row (all columns but the text), the text that stays, and the columns ``FOUND``."""
     min_words = how.get("min_words", MIN_WORDS)
-    doc_of = lambda c: F.shiftright(c, POSITION_BITS)
-    position = lambda c: F.col(c).bitwiseAND((1 << POSITION_BITS) - 1).cast("int")
     label = repeated_paragraphs(docs, **how)
     removed = F.col("name") != F.col("component")
-    per_doc = label.groupBy(doc_of("name").alias("_doc")).agg(
-        F.collect_list(F.when(removed, F.struct(position("name").alias("position"), F.when(doc_of("name") == doc_of("component"), position("component")).alias("stays")))).alias("_positions"),
-        F.array_sort(F.collect_set(F.when(removed, doc_of("component")))).alias("removed_of"),
-        F.array_sort(F.collect_set(doc_of("component"))).alias("shares_with"))
+    per_doc = label.groupBy(_doc_of("name").alias("_doc")).agg(
+        F.collect_list(F.when(removed, F.struct("key", _place_of("name").alias("position"), F.when(_doc_of("name") == _doc_of("component"), _place_of("component")).alias("stays")))).alias("_positions"),
+        F.array_sort(F.collect_set(F.when(removed, _doc_of("component")))).alias("removed_of"),
+        F.array_sort(F.collect_set(_doc_of("component"))).alias("shares_with"))
     rows = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text")
     none = F.array().cast("array<bigint>")
     joined = rows.join(per_doc, F.col("_id") == F.col("_doc"), "left").select(
