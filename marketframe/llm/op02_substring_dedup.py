@@ -14,13 +14,15 @@ removed longer ones goes with them.  Scripts without spaces count two characters
 Defined cases: null and empty texts have no paragraphs and come back as they are; text that stays is never
 changed; rows that repeat a doc_id are versions of one document: equal texts are cut alike, and of different ones
 a paragraph that has the same place in both is no copy; rows without doc_id are not compared and stay whole; columns
-besides ``doc_id`` and ``text`` are ignored; a doc_id of 2^39 and more and a text of 2^24 compared pieces raise.
+besides ``doc_id`` and ``text`` are ignored; a doc_id of 2^39 and more and a text of 2^23 compared paragraphs raise.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
+from itertools import accumulate
 from math import ceil, log
 
 import numpy as np
@@ -65,19 +67,45 @@ def words_of(text: str) -> tuple[list[bytes], int]:
     return found, len(found) - characters // 2
 
 
-def pieces(sizes: list[int], min_words: int) -> list[tuple[int, int]]:
-    """First and last (exclusive) paragraph of all that is compared: each one of ``min_words`` words and more, and the
-    runs of as many words that start or end with a shorter one."""
-    total = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
-    ends = np.searchsorted(total, total[:-1] + min_words, "left").tolist()
-    starts = (np.searchsorted(total, total[1:] - min_words, "right") - 1).tolist()
-    found = set()
+def pieces(sizes: list[int], min_words: int) -> list[tuple[int, int, int]]:
+    """First and last (exclusive) paragraph of all that is compared, and its number: each paragraph of ``min_words``
+    words and more by itself, its number its place; and the runs of as many words that start or end with a shorter
+    one, numbered by ``run_at``."""
+    found, n = [], len(sizes)
+    total = [0, *accumulate(sizes)]
+    forward = backward = 0
     for i, size in enumerate(sizes):
-        if size and ends[i] < len(total):
-            found.add((i, ends[i]))
-        if size and starts[i] >= 0:
-            found.add((starts[i], i + 1))
-    return sorted(found)
+        while forward <= n and total[forward] < total[i] + min_words:
+            forward += 1
+        while backward < i and total[backward + 1] <= total[i + 1] - min_words:
+            backward += 1
+        if size >= min_words:
+            found.append((i, i + 1, i))
+            continue
+        if size and forward <= n:
+            found.append((i, forward, 2 * i))
+        if size and total[i + 1] >= min_words and not (sizes[backward] and total[i] < total[backward] + min_words):
+            found.append((backward, i + 1, 2 * i + 1))
+    return found
+
+
+def run_at(number: int, size_of, n: int, min_words: int) -> tuple[int, int] | None:
+    """The run with this number in a document of ``n`` paragraphs: an even number's half is the paragraph from which
+    it goes ahead, an odd one's the paragraph up to which it goes; a run that is both is numbered by its start."""
+    i, size = number >> 1, 0
+    if i >= n:
+        return None
+    if number & 1:
+        first = i + 1
+        while size < min_words and first:
+            first -= 1
+            size += size_of(first)
+        return (first, i + 1) if size >= min_words else None
+    end = i
+    while size < min_words and end < n:
+        size += size_of(end)
+        end += 1
+    return (i, end) if size >= min_words else None
 
 
 def _name(doc_id: int, position: int) -> int:
@@ -110,10 +138,10 @@ def _post(k: int, bands: int, min_words: int):
                 text = text.as_py()
                 found = [words_of(text[start:end]) for start, end in paragraphs(text)]
                 digests = [_digest(own) for own, _ in found]
-                for position, (first, end) in enumerate(pieces([size for _, size in found], min_words)):
+                for first, end, number in pieces([size for _, size in found], min_words):
                     key = _class(digests, first, end)
                     keys.append(key)
-                    names.append(_name(doc_id, first if end - first == 1 else position))
+                    names.append(_name(doc_id, number))
                     if end - first == 1 and key not in posted:
                         posted.add(key)
                         classes.append(key)
@@ -210,8 +238,7 @@ def _side(table: DataFrame, end: str) -> DataFrame:
 
 def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = RECALL, min_words: int = MIN_WORDS) -> DataFrame:
     """(key, name, component) of every paragraph or run that is similar to another one, the first of a component
-    included; key is its class, a name holds the doc_id and, in its lowest 24 bits, the paragraph's number, or
-    that of a run among the document's ``pieces``."""
+    included; key is its class, a name holds the doc_id and, in its lowest 24 bits, its number in ``pieces``."""
     bands = tuned_bands(percent, recall)
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = land(buckets.candidate_edges(docs.mapInArrow(_post(k, bands, min_words), "key long, a long, b long"), _stars))
@@ -244,6 +271,23 @@ def _place_of(name: str):
     return F.col(name).bitwiseAND((1 << POSITION_BITS) - 1).cast("int")
 
 
+class _Once(dict):
+    """Values of a function, each found once."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, x):
+        self[x] = value = self.find(x)
+        return value
+
+
+def _place(kind: int, number: int, size_of, n: int, min_words: int) -> tuple[int, int] | None:
+    if kind == RUN:
+        return run_at(number, size_of, n, min_words)
+    return (number, number + 1) if number < n else None
+
+
 def _cut(min_words: int):
     schema = pa.schema([("row", pa.int64()), ("n_paragraphs", pa.int32()), ("n_removed", pa.int32()),
                         ("removed", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), ("text", pa.string())])
@@ -257,24 +301,22 @@ def _cut(min_words: int):
                 if not positions:
                     out.append((row, len(spans), 0, [], text))
                     continue
-                found = [words_of(text[s:e]) for s, e in spans]
-                sizes, digests = [size for _, size in found], [_digest(own) for own, _ in found]
-                compared = pieces(sizes, min_words)
-                single = [(i, i + 1) for i in range(len(spans))]
-                gone = np.zeros(len(spans) + 2, bool)
+                own = _Once(lambda i: words_of(text[slice(*spans[i])]))  # noqa: B023
+                size_of = lambda i: own[i][1]  # noqa: E731, B023
+                gone = np.zeros(len(spans), bool)
                 for x in positions:
-                    places = single if x["key"] & 3 == PARAGRAPH else compared
-                    if x["position"] >= len(places) or not digests[places[x["position"]][0]] or _class(digests, *places[x["position"]]) != x["key"]:
+                    at = partial(_place, x["key"] & 3, size_of=size_of, n=len(spans), min_words=min_words)
+                    place = at(x["number"])
+                    if place is None or _class([_digest(own[i][0]) for i in range(*place)], 0, place[1] - place[0]) != x["key"]:
                         continue  # of another text with the doc_id
-                    first, end = places[x["position"]]
-                    a, b = places[x["stays"]] if x["stays"] is not None and x["stays"] < len(places) else (end, end)  # may overlap
-                    gone[first + 1:max(first, min(end, a)) + 1] = True
-                    gone[min(end, max(first, b)) + 1:end + 1] = True
-                short = np.array([True, *(size < min_words for size in sizes), True])
-                before = np.maximum.accumulate(np.where(short, 0, np.arange(len(gone))))
-                after = np.minimum.accumulate(np.where(short, len(gone) - 1, np.arange(len(gone)))[::-1])[::-1]
-                gone |= short & gone[before] & gone[after]
-                gone = gone[1:-1]
+                    first, end = place
+                    a, b = at(x["stays"]) if x["stays"] is not None else (end, end)  # may overlap
+                    gone[first:max(first, min(end, a))] = True
+                    gone[min(end, max(first, b)):end] = True
+                long = [i for i in np.flatnonzero(gone).tolist() if size_of(i) >= min_words]
+                for p, q in zip(long, long[1:]):
+                    if all(gone[i] or size_of(i) < min_words for i in range(p + 1, q)):
+                        gone[p:q] = True
                 out.append((row, len(spans), int(gone.sum()), [{"start": s, "length": e - s} for (s, e), g in zip(spans, gone) if g],
                             "".join(text[s:e] for (s, e), g in zip(spans, gone) if not g)))
             yield words.batch_of(schema, *zip(*out)) if out else pa.RecordBatch.from_pylist([], schema)
@@ -291,7 +333,7 @@ def _cut_rows(docs: DataFrame, **how) -> DataFrame:
     label = repeated_paragraphs(docs, **how)
     removed = F.col("name") != F.col("component")
     per_doc = label.groupBy(_doc_of("name").alias("_doc")).agg(
-        F.collect_list(F.when(removed, F.struct("key", _place_of("name").alias("position"), F.when(_doc_of("name") == _doc_of("component"), _place_of("component")).alias("stays")))).alias("_positions"),
+        F.collect_list(F.when(removed, F.struct("key", _place_of("name").alias("number"), F.when(_doc_of("name") == _doc_of("component"), _place_of("component")).alias("stays")))).alias("_positions"),
         F.array_sort(F.collect_set(F.when(removed, _doc_of("component")))).alias("removed_of"),
         F.array_sort(F.collect_set(_doc_of("component"))).alias("shares_with"))
     rows = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text")

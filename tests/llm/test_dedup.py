@@ -214,3 +214,24 @@ def test_recall_on_the_table(spark):
     linked = (unit @ unit.T >= 0.98) & (df.label.to_numpy()[:, None] == df.label.to_numpy()[None, :])
     np.fill_diagonal(linked, False)
     assert (got.n_links.to_numpy() <= linked.sum(axis=1)).all() and got.n_links.sum() >= 0.99 * linked.sum()
+
+
+def test_runs_are_found_again_by_their_number():
+    draw = random.Random(3)
+    for _ in range(300):
+        sizes = [draw.choice([0, 0, 1, 2, 3, 5, 7, 8, 12]) for _ in range(draw.randrange(20))]
+        n, total = len(sizes), np.concatenate([[0], np.cumsum(sizes)]).astype(int).tolist()
+        ahead = {(i, min((e for e in range(i, n + 1) if total[e] >= total[i] + 8), default=None)) for i in range(n) if sizes[i]}
+        back = {(max((s for s in range(i + 1) if total[i + 1] - total[s] >= 8), default=None), i + 1) for i in range(n) if sizes[i]}
+        got = op2.pieces(sizes, 8)
+        assert sorted((a, b) for a, b, _ in got) == sorted(p for p in ahead | back if None not in p)
+        assert all(op2.run_at(number, sizes.__getitem__, n, 8) == (a, b) for a, b, number in got if b - a > 1)
+        assert len({(b - a > 1, number) for a, b, number in got}) == len(got)
+
+
+def test_versions_of_a_document_and_copies_in_one_text(spark):
+    one, two, three = (paragraph(s) for s in (701, 702, 703))
+    rows = [(1, one + two), (1, three), (1, two + three + one), (2, one + three), (3, two + "Hm. " + two + three + "Oh. " + one)]
+    out = {(r.doc_id, r.n_paragraphs): r.text for r in op2.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(out) == len(rows) and out[2, 2] == "" and "Hm." not in out[3, 6] and two not in out[3, 6]
+    assert out[1, 2].startswith(one) and out[1, 1] == three
