@@ -257,9 +257,12 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, recall:
         .select(F.col("id").alias("key"), F.col("component").alias("whole"))
     copies = found.where((kind != BAND) & F.col("b").isNotNull()).select("key", F.explode(F.array("a", "b")).alias("name"))
     linked = firsts.select(F.col("id").alias("key"), "name").join(label, "key", "left_semi")
-    named = land(copies.union(linked).distinct().join(label, "key", "left").select("key", "name", F.coalesce("whole", "key").alias("whole")))
-    out = land(named.join(named.groupBy("whole").agg(F.min("name").alias("component")), "whole").select("key", "name", "component"))
-    release(found, fetched, named)
+    named = land(copies.union(linked).distinct())
+    classes = land(named.groupBy("key").agg(F.min("name").alias("first")).join(label, "key", "left")
+                   .select("key", "first", F.coalesce("whole", "key").alias("whole")))
+    first = classes.groupBy("whole").agg(F.min("first").alias("component"))
+    out = land(named.join(classes.join(first, "whole").select("key", "component"), "key").select("key", "name", "component"))
+    release(found, fetched, named, classes)
     return out
 
 
