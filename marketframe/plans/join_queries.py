@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marketframe.operators import enrich, reports
 from marketframe.operators import indicators as ind
+from marketframe.operators.asof import asof_join
 from marketframe.operators.landing import land
 from marketframe.plans.catalog import query, rnd, sql_rnd
 from marketframe.plans.features import feature_table
@@ -111,6 +112,33 @@ def _j7(t):
     return outcomes(t)
 
 
+# -- by time: buckets of an hour, whatever the key ---------------------------------------------------
+
+@query("j5_event_asof", f"""
+SELECT e.event_id, r.ts AS error_ts, {sql_rnd('r.value')} AS error_value FROM events e ASOF LEFT JOIN
+  (SELECT ts, max(value) AS value FROM events WHERE event_type = 'error' GROUP BY ts) r ON e.ts > r.ts""")
+def _j5_events(t):
+    """The last error strictly before each event: without a key, all rows are one series."""
+    events = t.table("events")
+    errors = events.where("event_type = 'error'").select(F.col("ts").alias("error_ts"), F.col("value").alias("error_value"))
+    out = asof_join(events.select("event_id", "ts"), errors, [], "ts", "error_ts", ["error_value"], strict=True, matched="found")
+    return out.select("event_id", F.col("found").alias("error_ts"), rnd("error_value").alias("error_value"))
+
+
+@query("j8_next_purchase", f"""
+SELECT e.event_id, p.ts AS purchase_ts, {sql_rnd('p.value')} AS purchase_value FROM events e LEFT JOIN
+  (SELECT e.event_id, p.ts, p.value FROM events e ASOF JOIN
+    (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL) p ON p.user_id = e.user_id AND p.ts >= e.ts
+   WHERE p.ts <= e.ts + INTERVAL 12 HOURS) p USING (event_id)""")
+def _j8_events(t):
+    """Each user's first purchase from an event on, at most half a day later."""
+    events = t.table("events")
+    bought = events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("purchase_ts"), F.col("value").alias("purchase_value"))
+    out = asof_join(events.select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", "purchase_ts", ["purchase_value"],
+                    direction="forward", tolerance_days=0.5, matched="found")
+    return out.select("event_id", F.col("found").alias("purchase_ts"), rnd("purchase_value").alias("purchase_value"))
+
+
 @query("j8_first_trading_day", f"""
 SELECT b.symbol, b.date, f.date AS future_date, CAST(f.close > b.close AS INT) AS actual_movement
 FROM (SELECT *, date + {HORIZON} AS due FROM bars) b ASOF LEFT JOIN bars f ON f.symbol = b.symbol AND f.date >= b.due""")
