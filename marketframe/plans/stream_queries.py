@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.operators.landing import scratch_path
+from marketframe.operators.landing import land, scratch_path
 from marketframe.plans.catalog import query, rnd, sql_rnd
 from marketframe.plans.inputs import CTES
 from marketframe.streaming import live
@@ -42,6 +42,17 @@ def _upserted(t, stream: DataFrame) -> DataFrame:
     return t.spark.read.parquet(f"{root}/rows").drop("month")
 
 
+def _with_state(t, stream: DataFrame) -> DataFrame:
+    """``_upserted`` for streams that keep maps and lists as state."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(setting)
+    t.spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return _upserted(t, stream)
+    finally:
+        t.spark.conf.set(setting, before)
+
+
 @query("st1_streamed_bars", "SELECT symbol, date, open, high, low, close, volume FROM event_bars")
 def _st1(t):
     return _upserted(t, live.daily_bars(_ticks(t)))
@@ -76,17 +87,22 @@ rec AS (SELECT symbol, date, rn, close AS e50, close AS e12, close AS e26, CAST(
   FROM rec r JOIN src s ON s.symbol = r.symbol AND s.rn = r.rn + 1)
 SELECT symbol, date, {sql_rnd('e50')} AS ema_50, {sql_rnd('e12 - e26')} AS macd, {sql_rnd('sig')} AS macd_signal, {sql_rnd('e12 - e26 - sig')} AS macd_hist FROM rec""")
 def _st4(t):
+    """Bars arrive in the order of their day of the month, so that most batches are late for what is there."""
     root = scratch_path(t.spark)
     ticks = t.table("events").select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.lit(1).alias("size"))
-    live.daily_bars(ticks).write.parquet(f"{root}/bars")
-    bars = t.spark.readStream.schema("symbol string, date date, open double, high double, low double, close double, volume long").parquet(f"{root}/bars")
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = t.spark.conf.get(setting)
-    t.spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        live.live_averages(bars).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True) \
-            .start(f"{root}/out").awaitTermination()
-    finally:
-        t.spark.conf.set(setting, before)
-    out = t.spark.read.parquet(f"{root}/out").where("status = 'ok'")
+    bars = land(live.daily_bars(ticks).select("symbol", "date", "close"))
+    for part in (1, 0, 2):
+        bars.where(F.day("date") % 3 == part).coalesce(1).write.mode("append").parquet(f"{root}/bars")
+    stream = t.spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/bars")
+    out = _with_state(t, live.live_averages(stream).where("status IN ('new', 'changed')").drop("status"))
     return out.select("symbol", "date", *[rnd(c).alias(c) for c in ("ema_50", "macd", "macd_signal", "macd_hist")])
+
+
+@query("st3_latest_sentiment", f"""
+SELECT symbol, date, {sql_rnd('avg(score)')} AS sentiment_score, count(*) AS n FROM (
+  SELECT n.symbol, d.date, n.score, row_number() OVER (PARTITION BY n.symbol, d.date ORDER BY n.ts DESC, n.article_id DESC) AS rn FROM news n,
+    (SELECT CAST(unnest(generate_series(min(CAST(ts AS DATE)), max(CAST(ts AS DATE)) + 8, INTERVAL 1 DAY)) AS DATE) AS date FROM news) d
+  WHERE n.ts BETWEEN CAST(d.date AS TIMESTAMP) - INTERVAL 7 DAY AND CAST(d.date AS TIMESTAMP)) WHERE rn <= 100 GROUP BY ALL""")
+def _st3_latest(t):
+    news = _events(t).select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("article_id"), (F.col("value") / 100).alias("score"))
+    return _with_state(t, live.latest_sentiment(news)).withColumn("sentiment_score", rnd("sentiment_score"))
