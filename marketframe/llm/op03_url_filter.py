@@ -6,10 +6,16 @@ each label between dots and hyphens is split into the words that make it most li
 counts come from all words of the pages' texts and from the classifier's own vocabulary; only the substrings of
 host labels that are words are ever looked up, by a join, so that neither table is gathered.
 
-The classifier is trained on ``LABELLED``, a fixed list of urls with verdicts (``SEED_WORDS``); words it does not
-know say nothing.  The share of blocked urls is its prior, ``PRIOR``.
+The classifier learns from the table: every url that a rule allows or blocks is a labelled url, and the words of all of them are
+counted in one aggregate.  ``SEED_URLS``, a fixed list of urls made of ``SEED_WORDS``, are labelled urls beside them, for words
+and tables without any; so is a prior of ``PRIOR`` blocked urls, which weighs as much as ``PRIOR_URLS`` urls.  The table
+of log odds is joined to the words of each distinct url, salted because some words stand in most urls, and never
+gathered.  Words without a label say nothing.
 
-Defined cases: a null url or one without ``://`` has an empty host and path, no rule, and the prior's verdict;
+A word that is cut out of a label has at most ``LONGEST_WORD`` characters, and longer words of the pages are not counted: a longer
+stretch is an unknown one.
+
+Defined cases: a null url or one without ``://`` has an empty host and path, no rule, and the prior's verdict; so has an url without known words;
 labels of over 63 characters, which no host name has, stay whole; repeated urls each get a row; columns besides
 ``page_id``, ``url`` and ``html`` are ignored.
 """
@@ -31,6 +37,8 @@ from marketframe.operators.landing import land
 LONGEST_LABEL = 63
 LONGEST_WORD = 24
 PRIOR = 0.2
+PRIOR_URLS = 100
+SALTS = 16
 SMOOTH = 0.05
 SEED_COUNT = 1000
 
@@ -48,7 +56,7 @@ SEED_WORDS = {
 
 
 def training_urls() -> list[tuple[list[str], str]]:
-    """The labelled urls, as words: each seed word with two others of its kind."""
+    """Labelled urls, as words: each seed word with two others of its kind."""
     out = []
     for verdict, found in SEED_WORDS.items():
         found = list(dict.fromkeys(found))
@@ -56,7 +64,7 @@ def training_urls() -> list[tuple[list[str], str]]:
     return out
 
 
-LABELLED = training_urls()
+SEED_URLS = training_urls()
 
 
 def host_of(url: Column) -> Column:
@@ -132,26 +140,13 @@ def segmented(hosts: DataFrame, unigrams: DataFrame) -> DataFrame:
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "words"))), lambda x: x["words"])).alias("words"))
 
 
-class Bayes:
-    """Multinomial naive Bayes over words; words outside its vocabulary are left out."""
-
-    def __init__(self, labelled: list[tuple[list[str], str]] = LABELLED, prior: float = PRIOR):
-        counts = {"allow": Counter(), "block": Counter()}
-        for found, verdict in labelled:
-            counts[verdict].update(found)
-        known = set().union(*counts.values())
-        size = {v: sum(c.values()) + SMOOTH * len(known) for v, c in counts.items()}
-        self.odds = {w: log((counts["block"][w] + SMOOTH) / size["block"]) - log((counts["allow"][w] + SMOOTH) / size["allow"]) for w in known}
-        self.prior = log(prior / (1 - prior))
+READ_SCHEMA = "host string, path string, n long, rule string, ruled string, words array<string>"
 
-    def score(self, found: list[str]) -> float:
-        """Log odds of block to allow."""
-        return self.prior + sum(self.odds.get(w, 0.0) for w in found)
 
-
-def _judge(rules: list[tuple[str, str, str]], model: Bayes):
-    schema = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()),
-                        ("words", pa.list_(pa.string())), ("log_odds", pa.float64())])
+def _read(rules: list[tuple[str, str, str]]):
+    """Each distinct url with the longest rule that fits, its verdict, and the words of host and path."""
+    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("n", pa.int64()), ("rule", pa.string()), ("ruled", pa.string()),
+                        ("words", pa.list_(pa.string()))])
     by_host: dict[str, list[tuple[str, str]]] = {}
     for host, path, verdict in rules:
         by_host.setdefault(host, []).append((path, verdict))
@@ -168,25 +163,47 @@ def _judge(rules: list[tuple[str, str, str]], model: Bayes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches):
-            out = []
-            for page_id, host, path, found in zip(*(c.to_pylist() for c in batch.columns)):
-                rule, verdict = rule_of(host, path)
-                tokens = [*(found or []), *re.findall(r"[^\W\d_]+", path.lower())]
-                score = model.score(tokens)
-                out.append((page_id, host, path, rule, verdict or ("block" if score > 0 else "allow"), tokens, score))
-            yield words.batch_of(schema, *(zip(*out) if out else [[]] * 7))
+            out = [(host, path, n, *rule_of(host, path), [*(found or []), *re.findall(r"[^\W\d_]+", path.lower())])
+                   for host, path, n, found in zip(*(c.to_pylist() for c in batch.columns))]
+            yield words.batch_of(schema, *(zip(*out) if out else [[]] * 6))
 
     return run
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, model: Bayes | None = None) -> DataFrame:
+def labelled_counts(read: DataFrame, seeds: list[tuple[list[str], str]]) -> DataFrame:
+    """(word, block, allow): how often each word stands in the labelled urls of ``read`` (words, ruled, n), and in the seeds."""
+    more = Counter((w, verdict) for found, verdict in seeds for w in found)
+    more = read.sparkSession.createDataFrame([(w, v, n) for (w, v), n in sorted(more.items())], "word string, ruled string, n long")
+    seen = read.where("ruled IS NOT NULL").select(F.explode("words").alias("word"), "ruled", "n").union(more)
+    return seen.groupBy("word").agg(*[F.sum(F.when(F.col("ruled") == v, F.col("n")).otherwise(0)).alias(v) for v in ("block", "allow")])
+
+
+def log_odds(read: DataFrame, seeds: list[tuple[list[str], str]], prior: float) -> tuple[DataFrame, float]:
+    """(word, odds) of block to allow by multinomial naive Bayes, and the log odds of the shares of both kinds of urls."""
+    counts = land(labelled_counts(read, seeds))
+    size = counts.agg(F.count("*").alias("known"), F.sum("block").alias("block"), F.sum("allow").alias("allow")).first()
+    urls = read.agg(*[F.coalesce(F.sum(F.when(F.col("ruled") == v, F.col("n"))), F.lit(0)).alias(v) for v in ("block", "allow")]).first()
+    share = {v: log((size[v] or 0) + SMOOTH * (size["known"] or 1)) for v in ("block", "allow")}
+    odds = F.log(F.col("block") + SMOOTH) - F.log(F.col("allow") + SMOOTH) - F.lit(share["block"] - share["allow"])
+    return counts.select("word", odds.alias("odds")), log((urls["block"] + prior * PRIOR_URLS) / (urls["allow"] + (1 - prior) * PRIOR_URLS))
+
+
+def judged(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, seeds: list[tuple[list[str], str]] | None = None,
+           prior: float = PRIOR) -> DataFrame:
     """page_id, host, path, rule, verdict, words and log_odds of every row of ``pages`` (page_id, url, html)."""
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    hosts = land(urls.select("host").where("host <> ''").distinct())
-    split = land(segmented(hosts, vocabulary(pages)))
-    return urls.join(split, "host", "left").select("page_id", "host", "path", "words").mapInArrow(
-        _judge(RULES if rules is None else rules, model or Bayes()),
-        "page_id long, host string, path string, rule string, verdict string, words array<string>, log_odds double")
+    distinct = land(urls.groupBy("host", "path").agg(F.count("*").alias("n")))
+    split = land(segmented(distinct.select("host").where("host <> ''").distinct(), vocabulary(pages)))
+    read = land(distinct.join(split, "host", "left").select("host", "path", "n", "words").mapInArrow(_read(RULES if rules is None else rules), READ_SCHEMA))
+    odds, base = log_odds(read, SEED_URLS if seeds is None else seeds, prior)
+    odds = odds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tokens = read.select("host", "path", F.explode("words").alias("word")).withColumn("salt", F.pmod(F.hash("host", "path"), F.lit(SALTS)))
+    scores = tokens.join(odds, ["word", "salt"]).groupBy("host", "path").agg(F.sum("odds").alias("odds"))
+    # rounded, so that the order of a sum decides nothing
+    score = F.round(F.lit(base) + F.coalesce("odds", F.lit(0.0)), 9)
+    done = read.join(scores, ["host", "path"], "left").select(
+        "host", "path", "rule", F.coalesce("ruled", F.when(score > 0, "block").otherwise("allow")).alias("verdict"), "words", score.alias("log_odds"))
+    return urls.join(done, ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", "words", "log_odds")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import hashlib
 import html
 import itertools
+import random
+from collections import Counter
 from math import log
 
 import duckdb
@@ -129,9 +131,47 @@ def test_concatenated_words_of_the_pages_are_found(spark):
     assert row.words[:4] == ["stone", "bridge", "river", "m"] and row.verdict == "allow"
 
 
-def test_held_out_words_of_the_classifier():
-    right = sum((op3.Bayes([x for x in op3.LABELLED if x is not left]).score(left[0]) > 0) == (left[1] == "block") for left in op3.LABELLED)
-    assert right / len(op3.LABELLED) > 0.95
+def _sites(n, seed):
+    """Urls of hosts that run two words of one kind together, each host labelled or not."""
+    draw = random.Random(seed)
+    kinds = {"block": "poker jackpot roulette slots".split(), "allow": "garden library museum kitchen".split()}
+    out = []
+    for i in range(n):
+        kind = draw.choice(["block", "allow", "allow"])
+        host = "".join(draw.sample(kinds[kind], 2)) + f"{draw.choice('abcdefgh')}.{'new' if i % 2 else 'known'}.org"
+        out.append((i, kind, f"http://{host}/{'page' if i % 2 else 'bad' if kind == 'block' else 'good'}/{draw.choice(kinds[kind])}/{i}"))
+    text = " ".join(w for ws in kinds.values() for w in ws * 50)
+    return out, text
+
+
+def _judged_sites(spark):
+    rows, text = _sites(400, 1)
+    df = spark.createDataFrame([(i, url, text) for i, _, url in rows], "page_id long, url string, html string")
+    rules = [("known.org", "/bad/", "block"), ("known.org", "/good/", "allow")]
+    return rows, {r.page_id: r for r in op3.judged(df, rules, seeds=[([], "allow")]).collect()}
+
+
+def test_labels_come_from_the_rules_of_other_hosts(spark):
+    rows, got = _judged_sites(spark)
+    held_out = [(kind, got[i]) for i, kind, _ in rows if got[i].rule is None]
+    assert len(held_out) == 200
+    assert sum(kind == r.verdict for kind, r in held_out) / len(held_out) > 0.97
+
+
+def test_classifier_matches_brute_force(spark):
+    rows, got = _judged_sites(spark)
+    counts, urls = {"block": Counter(), "allow": Counter()}, Counter()
+    for r in got.values():
+        if r.rule:
+            counts[r.verdict].update(r.words)
+            urls[r.verdict] += 1
+    known = set(counts["block"]) | set(counts["allow"])
+    size = {v: sum(c.values()) + op3.SMOOTH * len(known) for v, c in counts.items()}
+    prior = log((urls["block"] + op3.PRIOR * op3.PRIOR_URLS) / (urls["allow"] + (1 - op3.PRIOR) * op3.PRIOR_URLS))
+    for r in got.values():
+        want = prior + sum(log((counts["block"][w] + op3.SMOOTH) / size["block"]) - log((counts["allow"][w] + op3.SMOOTH) / size["allow"])
+                           for w in r.words if w in known)
+        assert r.log_odds == pytest.approx(want, abs=1e-6)
 
 
 def test_main_text_of_unseen_layouts():
