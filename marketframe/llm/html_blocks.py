@@ -11,6 +11,7 @@ BLOCK_TAGS = frozenset("""address article aside blockquote body button caption c
     footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol optgroup option p pre
     search section select summary table tbody td textarea tfoot th thead title tr ul video audio canvas""".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+DIVIDERS = frozenset("article main nav header footer aside form section menu dialog table".split())
 RAW_TAGS = frozenset("script style template noembed noframes xmp".split())
 # An opening tag ends an open element of the listed kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -22,10 +23,55 @@ _NAMED = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*
 _SPACE = re.compile(r"\s+")
 
 
+class Element:
+    """An open block element.  ``new`` holds its tag and names as far as no element around it has them, so that a path is read
+    once however many blocks hang on it; ``part`` and ``inner`` are the nearest divider and names from here outwards."""
+
+    __slots__ = ("tag", "parent", "new", "part", "inner", "score")
+
+    def __init__(self, tag: str, parent: Element | None, new: tuple[str, ...], part: str, inner: tuple[str, ...]):
+        self.tag, self.parent, self.new, self.part, self.inner, self.score = tag, parent, new, part, inner, None
+
+
 class Block(NamedTuple):
     text: str
     link_chars: int
-    path: tuple  # (tag, names) from the outermost element inwards
+    element: Element | None  # the innermost one
+
+
+class _Open:
+    """The open elements, with the places of each tag and the count of each tag and name."""
+
+    def __init__(self):
+        self.elements: list[Element] = []
+        self.own: list[list[str]] = []
+        self.places: dict[str, list[int]] = {}
+        self.counts: dict[str, int] = {}
+
+    def top(self) -> Element | None:
+        return self.elements[-1] if self.elements else None
+
+    def last(self, tags) -> int:
+        """The place of the innermost element with one of the tags, -1 without any."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        around = self.top()
+        own = [f"in {tag}", *(f"name {n}" for n in names)]
+        new = tuple(x for x in own if not self.counts.get(x))
+        for x in own:
+            self.counts[x] = self.counts.get(x, 0) + 1
+        part = tag if tag in DIVIDERS else around.part if around else ""
+        self.places.setdefault(tag, []).append(len(self.elements))
+        self.elements.append(Element(tag, around, new, part, names or (around.inner if around else ())))
+        self.own.append(own)
+
+    def cut(self, place: int) -> None:
+        """Close all elements from ``place`` inwards."""
+        while len(self.elements) > place:
+            self.places[self.elements.pop().tag].pop()
+            for x in self.own.pop():
+                self.counts[x] -= 1
 
 
 def _names(attributes: str) -> tuple[str, ...]:
@@ -44,7 +90,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
     space and trimmed.  Scripts, styles and comments have no text."""
     page = page or ""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
+    stack = _Open()
     parts: list[str] = []
     links = depth = 0
     at = 0
@@ -53,7 +99,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         nonlocal links
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            blocks.append(Block(text, min(links, len(text)), tuple(stack)))
+            blocks.append(Block(text, min(links, len(text)), stack.top()))
         parts.clear()
         links = 0
 
@@ -93,20 +139,17 @@ def leaf_blocks(page: str | None) -> list[Block]:
         elif tag in BLOCK_TAGS:
             flush()
             if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                place = stack.last((tag,))
+                if place >= 0:
+                    stack.cut(place)
             else:
-                if stack and stack[-1][0] == "p":
-                    stack.pop()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in STOPS.get(tag, ()):
-                        break
-                    if stack[i][0] in ENDS.get(tag, ()):
-                        del stack[i:]
-                        break
+                around = stack.top()
+                if around and around.tag == "p":
+                    stack.cut(len(stack.elements) - 1)
+                ends = stack.last(ENDS.get(tag, ()))
+                if ends > stack.last(STOPS.get(tag, ())):
+                    stack.cut(ends)
                 if tag not in VOID_TAGS:
-                    stack.append((tag, _names(attributes)))
+                    stack.push(tag, _names(attributes))
     flush()
     return blocks

@@ -9,7 +9,7 @@ block's label known; a caller may pass pages of its own.  The fit is bounded by
 decoded whole.
 
 Defined cases: null or empty html gives an empty text and 0 characters; so does a page without main blocks; broken
-markup is read tolerantly; rows that repeat a page_id each get a row; columns besides ``html`` are carried along.
+markup is read tolerantly, in time linear in its length however deep it nests; hidden blocks are no main text; rows that repeat a page_id each get a row; columns besides ``html`` are carried along.
 """
 
 from __future__ import annotations
@@ -24,11 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.llm import words
-from marketframe.llm.html_blocks import Block, leaf_blocks
+from marketframe.llm.html_blocks import Block, Element, leaf_blocks
 
 TRAIN_PAGES = 600
 ROUNDS = 150
-DIVIDERS = frozenset("article main nav header footer aside form section menu dialog table".split())
 
 # Names that pages give to their parts.
 MAIN_NAMES = "article post entry content story body text main page blog news detail".split()
@@ -44,13 +43,19 @@ OTHER_NAMES = {
 }
 
 
-def features(block: Block) -> list[str]:
-    tags = [t for t, _ in block.path]
-    names = [n for _, found in block.path for n in found]
-    out = ["bias", *(f"in {t}" for t in set(tags)), f"tag {tags[-1] if tags else ''}", *(f"name {n}" for n in set(names))]
-    out.append(f"part {next((t for t in reversed(tags) if t in DIVIDERS), '')}")
-    inner = next((found for t, found in reversed(block.path) if found), ())
-    out += [f"inner {n}" for n in inner]
+def around(element: Element | None) -> list[str]:
+    """Tags and names of an element and those around it, each once."""
+    out = []
+    while element is not None:
+        out += element.new
+        element = element.parent
+    return out
+
+
+def own_features(block: Block) -> list[str]:
+    """Features of a block but its ``around``."""
+    element = block.element
+    out = ["bias", f"tag {element.tag if element else ''}", f"part {element.part if element else ''}", *(f"inner {n}" for n in (element.inner if element else ()))]
     n = len(block.text.split())
     out.append(f"words {min(n.bit_length(), 7)}")
     out.append(f"links {min(4, 5 * block.link_chars // max(1, len(block.text)))}")
@@ -61,6 +66,10 @@ def features(block: Block) -> list[str]:
     return out
 
 
+def features(block: Block) -> list[str]:
+    return own_features(block) + around(block.element)
+
+
 class Field:
     """Weights (feature, label) and (label, label) of the chain; label 1 is main text."""
 
@@ -68,10 +77,26 @@ class Field:
         self.emit = {n: (float(a), float(b)) for n, (a, b) in zip(names, emit)}
         self.move, self.first = move.tolist(), first.tolist()
 
+    def _sum(self, found) -> tuple[float, float]:
+        weights = [self.emit[f] for f in found if f in self.emit]
+        return sum(a for a, _ in weights), sum(b for _, b in weights)
+
+    def _around(self, element: Element | None) -> tuple[float, float]:
+        """The weights of ``around``, which each element of a page remembers: the work grows with the elements, not their depth."""
+        waiting = []
+        while element is not None and (element.score is None or element.score[0] is not self):
+            waiting.append(element)
+            element = element.parent
+        a, b = element.score[1] if element is not None else (0.0, 0.0)
+        for element in reversed(waiting):
+            x, y = self._sum(element.new)
+            a, b = a + x, b + y
+            element.score = (self, (a, b))
+        return a, b
+
     def scores(self, block: Block) -> tuple[float, float]:
-        zero = (0.0, 0.0)
-        found = [self.emit.get(f, zero) for f in features(block)]
-        return sum(a for a, _ in found), sum(b for _, b in found)
+        (a, b), (x, y) = self._sum(own_features(block)), self._around(block.element)
+        return a + x, b + y
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """The most likely labels (Viterbi)."""
@@ -180,6 +205,9 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 9) -> list[tuple[str, list[
         for _ in range(int(draw.integers(1, 14))):
             tag = pick(["p"] * 9 + ["h2", "blockquote", "li", "pre"])
             article += body(prose(1, 5) if draw.random() < 0.15 else prose(4, 80), tag)
+            if draw.random() < 0.08:
+                tag = pick(["p", "div", "div", "section"])
+                article += f'<{tag} {pick(["hidden", "style=display:none", "aria-hidden=true"])}>{pick(["", "<p>"])}{prose(2, 40)}</{tag}>'
             if draw.random() < 0.12:
                 article += pick([lambda: part("advert"), lambda: part("share"), lambda: part("sidebar"), form, lambda: part("notice")])()
         if draw.random() < 0.2:

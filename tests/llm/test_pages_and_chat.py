@@ -4,6 +4,7 @@ import hashlib
 import html
 import itertools
 import random
+import time
 from collections import Counter
 from math import log
 
@@ -191,6 +192,40 @@ def test_decoding_is_the_best_path():
     assert value(field.decode(blocks)) == pytest.approx(max(map(value, itertools.product([0, 1], repeat=len(blocks)))))
 
 
+def test_deep_pages_take_linear_time():
+    field = op9.trained()
+
+    def seconds(n):
+        page = "<ul>" + "".join(f'<div class="a{i}">x y' for i in range(n)) + "<li>item.</li>" * n + "</section></div>" * n
+        start = time.process_time()
+        blocks = html_blocks.leaf_blocks(page)
+        assert len(blocks) == 2 * n and len(field.decode(blocks)) == 2 * n
+        return time.process_time() - start
+    seconds(500)
+    assert seconds(16_000) < 16 * seconds(2_000) + 0.5
+
+
+def test_features_of_a_path_are_those_around_it():
+    page = '<div class="a b"><section id="a"><div class="c"><p>One.<li>Two</div><p class="x">Three</section>Four</div>Five'
+    found = [(b.text, set(op9.around(b.element)), b.element and b.element.part, b.element and b.element.inner) for b in html_blocks.leaf_blocks(page)]
+    outer = {"in div", "name a", "name b"}
+    assert found == [("One.", outer | {"in section", "name c", "in p"}, "section", ("c",)), ("Two", outer | {"in section", "name c", "in li"}, "section", ("c",)),
+                     ("Three", outer | {"in section", "in p", "name x"}, "section", ("x",)), ("Four", outer, "", ("a", "b")), ("Five", set(), None, None)]
+    field = op9.trained()
+    for block in html_blocks.leaf_blocks(page):
+        weights = [field.emit[f] for f in op9.features(block) if f in field.emit]
+        assert field.scores(block) == pytest.approx((sum(a for a, _ in weights), sum(b for _, b in weights)))
+
+
+def test_hidden_blocks_are_no_main_text(spark, folder):
+    body = "<article><h1>A title</h1><p>The first part of the story goes here, with some words.</p>{}<p>And the second part ends it.</p></article>"
+    hidden = ["<p hidden>Secret words that nobody sees here.</p>", '<div style="display: none">Secret words that nobody sees here.</div>',
+              '<div aria-hidden="true"><p>Secret words that nobody sees here.</p></div>']
+    df = spark.createDataFrame([(i, "u", body.format(h)) for i, h in enumerate(hidden)], "page_id long, url string, html string")
+    texts = {r.text for r in op9.op9_main_text(spark, folder(pages=df)).collect()}
+    assert texts == {"A title\n\nThe first part of the story goes here, with some words.\n\nAnd the second part ends it."}
+
+
 def test_pages_of_the_table(spark):
     got = {r.page_id: r for r in op9.op9_main_text(spark, SMALL).collect()}
     pages = spark.read.parquet(f"{SMALL}/pages.parquet").collect()
