@@ -14,7 +14,7 @@ from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from marketframe.operators import series
 
-BUCKET_SECONDS = 3600
+HOUR = 3600
 
 def require_date(df: DataFrame, column: str) -> None:
     """A DATE column bounds the rows of a key that a window sorts in one task by the calendar."""
@@ -30,18 +30,15 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_date: str
     ``strict`` excludes the same date.  A match further away than ``tolerance_days`` is no match.
     A matched NULL stays NULL.  ``matched`` names an output column for the matched date.
     Right rows with equal key and date are reduced to the largest by ``values``.
-    Both are DATE columns, which bounds what a task sorts per key by the calendar, or both timestamps of one kind.  Timestamps
-    go in buckets of ``bucket`` seconds (``BUCKET_SECONDS`` unless given), and a task sorts the distinct times of one key
-    and bucket; dates do in buckets of ``bucket`` days if it is given.  With no keys the result depends on the date alone.
+    Both are DATE columns, which bounds what a task sorts per key by the calendar.  With a ``bucket`` they may be timestamps of one
+    kind too: a task then sorts the distinct times of one key and ``bucket`` seconds (days for dates).  With no keys the result depends on the date alone.
     Rows without a key or a date, and all rows of an empty right side, find nothing.
     """
-    timed = isinstance(left.schema[left_date].dataType, (TimestampType, TimestampNTZType))
+    timed = bucket is not None and isinstance(left.schema[left_date].dataType, (TimestampType, TimestampNTZType))
     if timed and left.schema[left_date].dataType != right.schema[right_date].dataType:
         raise TypeError(f"{left_date} and {right_date} are of different types")
     for df, date in () if timed else ((left, left_date), (right, right_date)):
         require_date(df, date)
-    if timed:
-        bucket = bucket or BUCKET_SECONDS
     if direction not in ("backward", "forward"):
         raise ValueError(f"direction {direction!r}")
     probes = left.select(*keys, F.col(left_date).alias("_d")).filter(F.col("_d").isNotNull()).distinct().select(

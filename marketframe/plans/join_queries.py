@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketframe.operators import enrich, reports
 from marketframe.operators import indicators as ind
-from marketframe.operators.asof import asof_join
+from marketframe.operators.asof import HOUR, asof_join
 from marketframe.operators.landing import land
 from marketframe.plans.catalog import query, rnd, sql_rnd
 from marketframe.plans.features import feature_table
@@ -121,7 +121,7 @@ def _j5_events(t):
     """The last error strictly before each event: without a key, all rows are one series."""
     events = t.table("events")
     errors = events.where("event_type = 'error'").select(F.col("ts").alias("error_ts"), F.col("value").alias("error_value"))
-    out = asof_join(events.select("event_id", "ts"), errors, [], "ts", "error_ts", ["error_value"], strict=True, matched="found")
+    out = asof_join(events.select("event_id", "ts"), errors, [], "ts", "error_ts", ["error_value"], strict=True, matched="found", bucket=HOUR)
     return out.select("event_id", F.col("found").alias("error_ts"), rnd("error_value").alias("error_value"))
 
 
@@ -135,7 +135,7 @@ def _j8_events(t):
     events = t.table("events")
     bought = events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("purchase_ts"), F.col("value").alias("purchase_value"))
     out = asof_join(events.select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", "purchase_ts", ["purchase_value"],
-                    direction="forward", tolerance_days=0.5, matched="found")
+                    direction="forward", tolerance_days=0.5, matched="found", bucket=HOUR)
     return out.select("event_id", F.col("found").alias("purchase_ts"), rnd("purchase_value").alias("purchase_value"))
 
 

@@ -46,12 +46,12 @@ def test_nulls_nothing_and_types(spark):
         .withColumn("t", F.to_timestamp("t"))
     b = spark.createDataFrame([("a", "2023-01-01 00:00:00", None), ("a", None, 4), (None, "2023-01-01 00:00:00", 5)], "k string, u string, v int") \
         .withColumn("u", F.to_timestamp("u"))
-    got = {r.id: (r.v, r.m is not None) for r in asof_join(a, b, ["k"], "t", "u", ["v"], matched="m").collect()}
+    got = {r.id: (r.v, r.m is not None) for r in asof_join(a, b, ["k"], "t", "u", ["v"], matched="m", bucket=3600).collect()}
     assert got == {1: (None, True), 2: (None, False), 3: (None, False)}
-    assert {r.v for r in asof_join(a, b.where("false"), ["k"], "t", "u", ["v"]).collect()} == {None}
-    assert asof_join(a.where("false"), b, ["k"], "t", "u", ["v"]).count() == 0
+    assert {r.v for r in asof_join(a, b.where("false"), ["k"], "t", "u", ["v"], bucket=3600).collect()} == {None}
+    assert asof_join(a.where("false"), b, ["k"], "t", "u", ["v"], bucket=3600).count() == 0
     with pytest.raises(TypeError):
-        asof_join(a, b.withColumn("u", F.to_date("u")), ["k"], "t", "u", ["v"])
+        asof_join(a, b.withColumn("u", F.to_date("u")), ["k"], "t", "u", ["v"], bucket=3600)
 
 
 def test_one_key_spreads(spark):
@@ -60,7 +60,7 @@ def test_one_key_spreads(spark):
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        out = asof_join(rows, hits, ["k"], "t", "u", ["v"])
+        out = asof_join(rows, hits, ["k"], "t", "u", ["v"], bucket=3600)
         assert out.where("v <> floor(unix_timestamp(t) / 6000)").count() == 0
         plan = out._jdf.queryExecution().executedPlan().toString()
         # the rows are sorted by key and bucket; by the key alone only the table of bucket ends is
