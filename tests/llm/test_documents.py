@@ -171,6 +171,27 @@ def test_neighbours_share_rare_words():
     assert 7 not in index.neighbours(7, np.arange(100) != 7)
 
 
+def test_an_index_of_some_documents_finds_the_same_ones_among_them():
+    draw = np.random.default_rng(5)
+    docs = [draw.integers(0, 60, draw.integers(1, 40)) for _ in range(50)]
+    whole, part, unused = op5.Index(docs), op5.Index(docs), np.ones(50, bool)
+    for seed in draw.permutation(50).tolist():
+        unused[seed] = False
+        if seed % 3 == 0:
+            part.keep(unused)
+            assert len(part.doc) < len(whole.doc)
+        assert part.neighbours(seed, unused).tolist() == whole.neighbours(seed, unused).tolist()
+
+
+def test_words_beyond_those_remembered(monkeypatch):
+    from tokenizers import Tokenizer
+    monkeypatch.setattr(op5, "CACHED", 5)
+    whole, parts = Tokenizer.from_file(op5.tokenizer_path()), op5.Tokens(op5.tokenizer_path())
+    for texts in (["a b, c. d' e!", "été \xd7 f"], ["", None, " a  g's b, ", "\n"], ["été h d' d'", "a b, c. d' e!"]):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in parts.of(texts)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert len(parts.known) == 5
+
+
 def test_neighbours_of_documents_match_full_bm25():
     texts = pq.read_table(f"{SMALL}/documents.parquet", columns=["text"]).column("text").to_pylist()
     docs = [np.frombuffer(ids, "<u4") for ids in op5.Tokens(op5.tokenizer_path()).of(texts)]
