@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _landed: list[tuple[SparkSession, str]] = []
 
 
@@ -26,9 +27,15 @@ def scratch_path(spark: SparkSession) -> str:
 
 def land(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder as Parquet and read it back from there, so that later passes
-    prune columns and push filters, and a lost executor costs a read and no recomputation."""
-    path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
+    prune columns and push filters, and a lost executor costs a read and no recomputation.  The write's shuffle files go
+    with it, since nothing else reads them."""
+    conf, path = df.sparkSession.conf, scratch_path(df.sparkSession)
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before) if before is not None else conf.unset(_CLEANUP)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._landed_at = path
     return out
