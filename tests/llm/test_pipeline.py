@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from marketframe.llm import op02_substring_dedup as op2
 from marketframe.llm import op04_source_mix as op4
@@ -86,3 +87,15 @@ def test_pack_stage_holds_every_document(stages):
 def test_run_is_the_stages_in_turn(spark, stages):
     assert corpus_pipeline.run(spark, SMALL).count() == stages[-1].count()
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_landing_leaves_no_shuffle_files(spark):
+    from marketframe.operators import landing
+
+    def files():
+        return {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",").split(",") if "/shuffle_" in x}
+
+    before, setting = files(), spark.conf.get(landing._CLEANUP)
+    out = landing.land(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count())
+    assert not files() - before and spark.conf.get(landing._CLEANUP) == setting
+    assert sorted(out.collect()) == sorted(out.collect()) and out.count() == 10
