@@ -10,6 +10,8 @@ same pair read from the other end), and nothing is lost.
 A reduced word is known by a polynomial hash over its symbols, from which the hash of every edit follows in one step, so
 that a word of L letters gives about L * SYMBOLS / 2 rows of 24 bytes and no strings, however long it is.  Rows that
 meet are dropped at once where the parities of their letters differ in more than two bits, which one edit cannot do.
+All joins are of tables as long as the vocabulary or a multiple of it, and Spark judges them by compressed files and without
+the rows that a neighbourhood makes; so they are merge joins by hint, and no table goes to the driver, whatever its size.
 
 Defined cases: null text has no words; a null doc_id counts as an empty one; repeated rows count again; a word without
 near words is its own root; no words give an empty table; columns besides ``doc_id`` and ``text`` are ignored.
@@ -107,9 +109,9 @@ def near_pairs(vocab: DataFrame) -> DataFrame:
     spread = plain.mapInArrow(_keys(True), "key long, id long, letters long")
     other = own.select("key", F.col("id").alias("two"), F.col("letters").alias("others"))
     close = F.bit_count(F.col("letters").bitwiseXOR(F.col("others"))) <= 2
-    met = spread.join(other, "key").where(close & (F.col("id") != F.col("two"))).select(F.col("id").alias("one"), "two") \
-        .union(own.join(other, "key").where(close & (F.col("id") < F.col("two"))).select(F.col("id").alias("one"), "two"))
-    side = lambda c: vocab.select(F.col("id").alias(c), F.col("word").alias(f"w_{c}"), F.col("n").alias(f"n_{c}"))
+    met = spread.join(other.hint("merge"), "key").where(close & (F.col("id") != F.col("two"))).select(F.col("id").alias("one"), "two") \
+        .union(own.join(other.hint("merge"), "key").where(close & (F.col("id") < F.col("two"))).select(F.col("id").alias("one"), "two"))
+    side = lambda c: vocab.select(F.col("id").alias(c), F.col("word").alias(f"w_{c}"), F.col("n").alias(f"n_{c}")).hint("merge")
     return met.join(side("one"), "one").join(side("two"), "two").where(F.levenshtein("w_one", "w_two", 1) == 1) \
         .select(F.col("w_one").alias("one"), F.col("w_two").alias("two"), "n_one", "n_two")
 
@@ -120,7 +122,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = land(forms.select("word", F.col("form").alias("root")))
     while True:
         ahead = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = land(at.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        step = land(at.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         at = step.select("word", "root")
         if step.where("moved").isEmpty():
             return at
@@ -135,10 +137,10 @@ def spelling_forms(docs: DataFrame) -> DataFrame:
         F.struct(F.col("two").alias("word"), F.col("one").alias("other"), F.col("n_one").alias("m")))).alias("p")).select("p.*")
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
     strong = -F.col("best.m") >= RATIO * F.col("n")
-    known = land(vocab.select("word", "n").join(best, "word", "left").select(
+    known = land(vocab.select("word", "n").join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(strong, F.col("best.other")).alias("form"), F.when(strong, -F.col("best.m")).alias("form_n")))
     last = roots(known.where("form IS NOT NULL").select("word", "form"))
-    return known.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return known.join(last.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,6 +158,20 @@ def test_chain_of_forms_is_followed_to_its_end(spark):
     assert op12.spelling_forms(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_spelling_forms_send_no_table_to_the_driver(spark, monkeypatch):
+    plans, plain = [], op12.land
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(op12, "land", lambda df: plain(noted(df)))
+    rows = [(i, "stoneage stoneagx " * (1 + i % 2) + "stoneagx stoneayx stoneayx " * i, "x", "y") for i in range(30)]
+    got = noted(op12.spelling_forms(spark.createDataFrame(rows, DOCS))).collect()
+    assert len(got) == 3 and sum("SortMergeJoin" in p for p in plans) >= 3
+    assert not any("Broadcast" in p or "CartesianProduct" in p for p in plans)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_findclose_and_ranks(seed):
     rng = np.random.default_rng(seed)
