@@ -16,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.llm.words import batch_of
+from marketframe.llm.words import batch_of, mix
 from marketframe.operators.landing import land
 
 TILE = 1024
 _SALTS = (0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x6C8E9CF570932BD5)
+PART_SHIFT, EDGES = 52, 128
+PACKED = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+PACKED_TYPE = "part int, keys binary, a binary, b binary"
 POSTING = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -68,6 +71,81 @@ def candidate_edges(posted: DataFrame, join=join_centres) -> DataFrame:
     return posted.repartition(route).sortWithinPartitions("key", "a").mapInArrow(join, "key long, a long, b long")
 
 
+def _blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary values: the numbers between one cut and the next."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 8).astype(np.int32)), pa.py_buffer(values)])
+
+
+def packed(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """``postings`` with the numbers of many rows in one, so that Spark moves and sorts few: part, the centres of the
+    buckets in this part of the keys, and b null; or edges, dealt to any part.  Parts keep the order of the keys."""
+    order = np.argsort(keys)
+    keys, ids = keys[order].astype(np.int64), ids[order].astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    own = keys[starts]
+    centre = np.minimum.reduceat(ids, starts) if len(keys) else ids
+    to = np.repeat(centre, np.diff(np.append(starts, len(keys))))
+    edge = to != ids
+    part = own >> PART_SHIFT
+    cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(own)]]) if len(own) else np.zeros(1, np.int64)
+    a, b, k = to[edge], ids[edge], keys[edge]
+    ends = np.append(np.arange(0, len(a), EDGES), len(a))
+    dealt = mix(b[ends[:-1]].astype(np.uint64)).astype(np.int64) >> PART_SHIFT
+    none = pa.nulls(len(cuts) - 1, pa.binary())
+    both = zip((pa.array(part[cuts[:-1]], pa.int32()), _blobs(own, cuts), _blobs(centre, cuts), none),
+               (pa.array(dealt, pa.int32()), _blobs(k, ends), _blobs(a, ends), _blobs(b, ends)))
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in both], schema=PACKED)
+
+
+def _numbers(blobs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs.to_pylist()), np.int64)
+
+
+def _join_packed(first_wanted):
+    def settled(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        keys, ids = (np.concatenate([_numbers(x.column(c)) for x in held]) for c in (1, 2))
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        own, centre = keys[starts], np.minimum.reduceat(ids, starts)
+        to = np.repeat(centre, np.diff(np.append(starts, len(keys))))
+        edge, wanted = to != ids, first_wanted(own)
+        linked = np.concatenate([np.ones(edge.sum(), bool), np.zeros(wanted.sum(), bool)])
+        return batch_of(POSTING, np.concatenate([keys[edge], own[wanted]]), np.concatenate([to[edge], centre[wanted]]),
+                        pa.array(np.concatenate([ids[edge], centre[wanted]]), mask=~linked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for batch in batches:
+            done = batch.filter(batch.column(3).is_valid())
+            if done.num_rows:
+                yield batch_of(POSTING, *(_numbers(done.column(c)) for c in (1, 2, 3)))
+            rest = batch.filter(batch.column(3).is_null())
+            if not rest.num_rows:
+                continue
+            parts = rest.column(0).to_numpy()
+            last = int(np.searchsorted(parts, parts[-1]))
+            if held and (last or parts[-1] != at):  # all before the last part is whole
+                held, rest = [*held, rest.slice(0, last)], rest.slice(last)
+                yield settled(held)
+                held = []
+            elif last:
+                yield settled([rest.slice(0, last)])
+                rest = rest.slice(last)
+            held.append(rest)
+            at = parts[-1]
+        if held:
+            yield settled(held)
+
+    return run
+
+
+def packed_edges(posted: DataFrame, first_wanted) -> DataFrame:
+    """``candidate_edges`` of what ``packed`` gives, and (key, first member, null) of the buckets whose keys
+    ``first_wanted`` chooses.  A task holds one of 4,096 parts of the keys at a time, and the rows of one batch."""
+    return posted.repartition("part").sortWithinPartitions("part").mapInArrow(_join_packed(first_wanted), "key long, a long, b long")
+
+
 def pairs_of(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

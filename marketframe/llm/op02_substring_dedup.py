@@ -21,8 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
-from itertools import accumulate
+from itertools import accumulate, chain, islice
 from math import ceil, log
 
 import numpy as np
@@ -52,7 +51,7 @@ def tuned_bands(percent: int, recall: float, rows: int = ROWS) -> int:
 
 def paragraphs(text: str | None) -> list[tuple[int, int]]:
     """Start and end of each paragraph; together they are the whole text."""
-    cuts = [0, *(m.end() for m in _END.finditer(text or ""))]
+    cuts = [0, *[m.end() for m in _END.finditer(text or "")]]
     if cuts[-1] < len(text or ""):
         cuts.append(len(text))
     return list(zip(cuts, cuts[1:]))
@@ -67,6 +66,18 @@ def words_of(text: str) -> tuple[list[bytes], int]:
     return found, len(found) - characters // 2
 
 
+def words_of_all(text: str, spans: list[tuple[int, int]]) -> list[tuple[list[bytes], int]]:
+    """``words_of`` each paragraph; of a text in ASCII, letters are lower-cased at once."""
+    if text.isascii():
+        low = text.encode().lower()
+        found = [low[start:end].split() for start, end in spans]
+    elif _UNSPACED.search(text):
+        return [words_of(text[start:end]) for start, end in spans]
+    else:
+        found = [words.ascii_words(text[start:end]) for start, end in spans]
+    return [(own, len(own)) for own in found]
+
+
 def pieces(sizes: list[int], min_words: int) -> list[tuple[int, int, int]]:
     """First and last (exclusive) paragraph of all that is compared, and its number: each paragraph of ``min_words``
     words and more by itself, its number its place; and the runs of as many words that start or end with a shorter
@@ -118,11 +129,26 @@ def _digest(found: list[bytes]) -> bytes:
     return xxhash.xxh64_digest(b" ".join(found)) if found else b""
 
 
-def _class(digests: list[bytes], first: int, end: int) -> int:
+def _run_digest(digests, first: int, end: int) -> bytes:
+    return xxhash.xxh64_digest(b"".join([digests[i] for i in range(first, end)]), seed=29)
+
+
+def _class(digests, first: int, end: int) -> int:
     """Key of the class of equal paragraphs or runs, from the digests of their paragraphs."""
     if end - first == 1:
         return int.from_bytes(digests[first], "big", signed=True) & ~3 | PARAGRAPH
-    return int.from_bytes(xxhash.xxh64_digest(b"".join(digests[first:end]), seed=29), "big", signed=True) & ~3 | RUN
+    return int.from_bytes(_run_digest(digests, first, end), "big", signed=True) & ~3 | RUN
+
+
+def _names(doc_ids: list[int], numbers: list[int]) -> np.ndarray:
+    ids, places = np.array(doc_ids, np.int64), np.array(numbers, np.int64)
+    for bad in np.flatnonzero((places >> POSITION_BITS != 0) | (np.abs(ids) >> (63 - POSITION_BITS) != 0))[:1].tolist():
+        _name(doc_ids[bad], numbers[bad])
+    return (ids << POSITION_BITS) + places
+
+
+def _keys(digests: list[bytes], kind: int) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), ">i8").astype(np.int64) & ~3 | kind
 
 
 def _post(k: int, bands: int, min_words: int):
@@ -131,50 +157,44 @@ def _post(k: int, bands: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, factors, posted = words.WordHash(), words.multipliers(bands * ROWS, seed=29), set()
         for batch in words.slices(batches):
-            keys, names, classes, sequences = [], [], [], []
+            alone, sequences, alone_in, alone_at, joined, joined_in, joined_at = [], [], [], [], [], [], []
             if len(posted) > POSTED:
                 posted.clear()
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                found = [words_of(text[start:end]) for start, end in paragraphs(text)]
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not text:
+                    continue
+                found = words_of_all(text, paragraphs(text))
                 digests = [_digest(own) for own, _ in found]
                 for first, end, number in pieces([size for _, size in found], min_words):
-                    key = _class(digests, first, end)
-                    keys.append(key)
-                    names.append(_name(doc_id, number))
-                    if end - first == 1 and key not in posted:
-                        posted.add(key)
-                        classes.append(key)
-                        sequences.append(words.hashes(found[first][0], cache))
-            if keys:
-                banded = words.band_keys(words.min_hashes(*words.shingles(sequences, k), factors), bands).ravel() & ~np.uint64(3) | np.uint64(BAND)
-                yield buckets.postings(np.concatenate([np.array(keys, np.int64), banded.astype(np.int64)]),
-                                       np.concatenate([np.array(names, np.int64), np.repeat(np.array(classes, np.int64), bands)]))
+                    if end - first == 1:
+                        alone.append(digests[first] or bytes(8))
+                        sequences.append(found[first][0])
+                        alone_in.append(doc_id)
+                        alone_at.append(number)
+                    else:
+                        joined.append(_run_digest(digests, first, end))
+                        joined_in.append(doc_id)
+                        joined_at.append(number)
+            if not alone and not joined:
+                continue
+            keys = _keys(alone, PARAGRAPH)
+            classes, at = np.unique(keys, return_index=True)
+            new = np.fromiter((x not in posted for x in classes.tolist()), bool, len(classes))
+            classes, at = classes[new], at[new].tolist()
+            posted.update(classes.tolist())
+            sequences = [sequences[i] for i in at]
+            lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
+            flat = np.fromiter(map(cache.__getitem__, chain.from_iterable(sequences)), np.uint64, int(lengths.sum()))
+            banded = words.band_keys(words.min_hashes(*words.flat_shingles(flat, lengths, k), factors), bands).ravel() & ~np.uint64(3) | np.uint64(BAND)
+            yield buckets.packed(np.concatenate([keys, _keys(joined, RUN), banded.astype(np.int64)]),
+                                 np.concatenate([_names(alone_in, alone_at), _names(joined_in, joined_at), np.repeat(classes, bands)]))
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of each bucket, and the first paragraph of each class as (key, first, null)."""
-    last, firsts = None, []
-
-    def watched():
-        nonlocal last
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            chosen = batch.column(2).is_null().to_numpy(zero_copy_only=False) & (keys & 3 == PARAGRAPH)
-            keys = keys[chosen]
-            if len(keys):
-                new = np.concatenate([[last is None or keys[0] != last], keys[1:] != keys[:-1]])
-                last = keys[-1]
-                firsts.append(batch.filter(pa.array(chosen)).filter(pa.array(new)))
-            yield batch
-
-    for done in buckets.join_centres(watched()):
-        while firsts:
-            yield firsts.pop()
-        yield done
-    yield from firsts
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Of which buckets the first member is wanted: of the classes of paragraphs."""
+    return keys & 3 == PARAGRAPH
 
 
 def _fetch():
@@ -241,11 +261,12 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, recall:
     included; key is its class, a name holds the doc_id and, in its lowest 24 bits, its number in ``pieces``."""
     bands = tuned_bands(percent, recall)
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = land(buckets.candidate_edges(docs.mapInArrow(_post(k, bands, min_words), "key long, a long, b long"), _stars))
+    found = land(buckets.packed_edges(docs.mapInArrow(_post(k, bands, min_words), buckets.PACKED_TYPE), _firsts))
     kind = F.col("key").bitwiseAND(3)
     edges = found.where(kind == BAND)
     firsts = found.where((kind == PARAGRAPH) & F.col("b").isNull()).select(F.col("key").alias("id"), F.col("a").alias("name"))
-    wanted = (firsts.join(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
+    needed = land(firsts.join(edges.select(F.explode(F.array("a", "b")).alias("id")), "id", "left_semi"))
+    wanted = (needed
               .groupBy(_doc_of("name").alias("doc_id")).agg(F.collect_list(F.struct(_place_of("name").alias("position"), "id")).alias("wanted")))
     fetched = land(docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_fetch(), "id long, words binary").dropDuplicates(["id"]))
 
@@ -256,13 +277,13 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, recall:
     label = buckets.linked_components(edges, links_among, lambda ids: fetched.join(ids, "id"), _tile(k, percent)) \
         .select(F.col("id").alias("key"), F.col("component").alias("whole"))
     copies = found.where((kind != BAND) & F.col("b").isNotNull()).select("key", F.explode(F.array("a", "b")).alias("name"))
-    linked = firsts.select(F.col("id").alias("key"), "name").join(label, "key", "left_semi")
+    linked = needed.select(F.col("id").alias("key"), "name").join(label, "key", "left_semi")
     named = land(copies.union(linked).distinct())
     classes = land(named.groupBy("key").agg(F.min("name").alias("first")).join(label, "key", "left")
                    .select("key", "first", F.coalesce("whole", "key").alias("whole")))
     first = classes.groupBy("whole").agg(F.min("first").alias("component"))
     out = land(named.join(classes.join(first, "whole").select("key", "component"), "key").select("key", "name", "component"))
-    release(found, fetched, named, classes)
+    release(found, needed, fetched, named, classes)
     return out
 
 
@@ -285,10 +306,37 @@ class _Once(dict):
         return value
 
 
-def _place(kind: int, number: int, size_of, n: int, min_words: int) -> tuple[int, int] | None:
-    if kind == RUN:
-        return run_at(number, size_of, n, min_words)
-    return (number, number + 1) if number < n else None
+def _gone(text: str, spans: list[tuple[int, int]], wanted: list[tuple[int, int, int | None]], min_words: int) -> bytearray:
+    """Which paragraphs go; ``wanted`` has key, number and, of a component that stays in this text, the number that stays."""
+    n = len(spans)
+    if 4 * len(wanted) >= n:
+        own = words_of_all(text, spans)
+        digests, size_of = [_digest(found) for found, _ in own], [size for _, size in own].__getitem__
+    else:
+        own = _Once(lambda i: words_of(text[slice(*spans[i])]))
+        digests, size_of = _Once(lambda i: _digest(own[i][0])), _Once(lambda i: own[i][1]).__getitem__
+    gone = bytearray(n)
+
+    def place(kind: int, number: int) -> tuple[int, int] | None:
+        if kind == RUN:
+            return run_at(number, size_of, n, min_words)
+        return (number, number + 1) if number < n else None
+
+    for key, number, stays in wanted:
+        at = place(key & 3, number)
+        if at is None or _class(digests, *at) != key:
+            continue  # of another text with the doc_id
+        first, end = at
+        a, b = (place(key & 3, stays) if stays is not None else None) or (end, end)  # may overlap
+        for p, q in ((first, min(end, a)), (max(first, b), end)):
+            if q > p:
+                gone[p:q] = b"\1" * (q - p)
+    last = None
+    for q in [i for i, g in enumerate(gone) if g and size_of(i) >= min_words]:
+        if last is not None and q > last + 1 and all(gone[i] or size_of(i) < min_words for i in range(last + 1, q)):
+            gone[last:q] = b"\1" * (q - last)
+        last = q
+    return gone
 
 
 def _cut(min_words: int):
@@ -297,32 +345,28 @@ def _cut(min_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches):
-            out = []
-            for row, text, positions in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                text = text.as_py()
+            wanted = zip(*(x.to_pylist() for x in batch.column(2).flatten().flatten()))
+            sizes, removed, left, ends, starts, lengths = [], [], [], [0], [], []
+            for text, k in zip(batch.column(1).to_pylist(), batch.column(2).value_lengths().to_pylist()):
                 spans = paragraphs(text)
-                if not positions:
-                    out.append((row, len(spans), 0, [], text))
-                    continue
-                own = _Once(lambda i: words_of(text[slice(*spans[i])]))  # noqa: B023
-                size_of = lambda i: own[i][1]  # noqa: E731, B023
-                gone = np.zeros(len(spans), bool)
-                for x in positions:
-                    at = partial(_place, x["key"] & 3, size_of=size_of, n=len(spans), min_words=min_words)
-                    place = at(x["number"])
-                    if place is None or _class([_digest(own[i][0]) for i in range(*place)], 0, place[1] - place[0]) != x["key"]:
-                        continue  # of another text with the doc_id
-                    first, end = place
-                    a, b = at(x["stays"]) if x["stays"] is not None else (end, end)  # may overlap
-                    gone[first:max(first, min(end, a))] = True
-                    gone[min(end, max(first, b)):end] = True
-                long = [i for i in np.flatnonzero(gone).tolist() if size_of(i) >= min_words]
-                for p, q in zip(long, long[1:]):
-                    if all(gone[i] or size_of(i) < min_words for i in range(p + 1, q)):
-                        gone[p:q] = True
-                out.append((row, len(spans), int(gone.sum()), [{"start": s, "length": e - s} for (s, e), g in zip(spans, gone) if g],
-                            "".join(text[s:e] for (s, e), g in zip(spans, gone) if not g)))
-            yield words.batch_of(schema, *zip(*out)) if out else pa.RecordBatch.from_pylist([], schema)
+                sizes.append(len(spans))
+                n = 0
+                if k:
+                    gone, keep, after = _gone(text, spans, list(islice(wanted, k)), min_words), [], 0
+                    for (start, end), g in zip(spans, gone):
+                        if g:
+                            n += 1
+                            starts.append(start)
+                            lengths.append(end - start)
+                            keep.append(text[after:start])
+                            after = end
+                    text = "".join([*keep, text[after:]])
+                removed.append(n)
+                left.append(text)
+                ends.append(len(starts))
+            gone = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(lengths, pa.int32())], fields=list(schema.field("removed").type.value_type))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(removed, pa.int32()),
+                                              pa.ListArray.from_arrays(pa.array(ends, pa.int32()), gone, type=schema.field("removed").type), pa.array(left, pa.string())], schema=schema)
 
     return run
 

@@ -42,15 +42,19 @@ def shingles(word_hashes: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndar
     """Hashes of all k-word shingles of several word sequences, one after the other, and where each sequence
     starts (one more entry at the end).  A sequence of 1 to k-1 words is one shingle; an empty one has none."""
     lengths = np.array([len(h) for h in word_hashes], np.int64)
+    return flat_shingles(np.concatenate([*word_hashes, np.zeros(0, np.uint64)]).astype(np.uint64), lengths, k)
+
+
+def flat_shingles(flat: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingles`` of sequences that are given one after the other with their lengths."""
     counts = np.where(lengths >= k, lengths - k + 1, np.minimum(lengths, 1))
     starts = np.concatenate([[0], np.cumsum(counts)])
     out = np.zeros(starts[-1], np.uint64)
-    flat = np.concatenate([*word_hashes, np.zeros(0, np.uint64)]).astype(np.uint64)
+    word_starts = np.cumsum(lengths) - lengths
     if flat.size >= k:
         rolled = np.zeros(flat.size - k + 1, np.uint64)
         for j in range(k):
             rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + flat[j:flat.size - k + 1 + j]
-        word_starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
         long = np.flatnonzero(lengths >= k)
         if long.size:
             n = counts[long]
@@ -58,7 +62,7 @@ def shingles(word_hashes: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndar
             out[np.repeat(starts[:-1][long], n) + within] = rolled[np.repeat(word_starts[long], n) + within]
     for i in np.flatnonzero((lengths > 0) & (lengths < k)):
         value = int(lengths[i])
-        for h in word_hashes[i].tolist():
+        for h in flat[word_starts[i]:word_starts[i] + lengths[i]].tolist():
             value = (value * 0xD6E8FEB86659FD93 + h) & 0xFFFFFFFFFFFFFFFF
         out[starts[i]] = value
     return mix(out), starts

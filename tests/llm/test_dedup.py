@@ -97,6 +97,30 @@ def test_components_of_chains_and_stars(spark):
     assert got == {n: want[n] for n in names[:250]}
 
 
+def test_packed_postings_connect_every_bucket_in_few_rows(spark):
+    draw = np.random.default_rng(11)
+    keys, ids = draw.integers(-2 ** 63, 2 ** 63, 3000), draw.integers(-10 ** 9, 10 ** 9, 60_000)
+    keys = np.where(draw.random(60_000) < 0.2, keys[0], keys[draw.integers(0, 3000, 60_000)])
+    slices = [buckets.packed(k, i) for k, i in zip(np.array_split(keys, 6), np.array_split(ids, 6))]
+    assert sum(x.num_rows for x in slices) < 15_000 and buckets.packed(keys[:0], ids[:0]).num_rows == 0
+    posted = spark.createDataFrame([tuple(r.values()) for x in slices for r in x.to_pylist()], buckets.PACKED_TYPE)
+    want = {}
+    for k, i in zip(keys.tolist(), ids.tolist()):
+        want.setdefault(k, set()).add(i)
+    for batch in (7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = buckets.packed_edges(posted, lambda k: k % 2 == 0).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert {r.key: r.a for r in got if r.b is None} == {k: min(v) for k, v in want.items() if k % 2 == 0}
+        assert sum(r.b is None for r in got) == sum(k % 2 == 0 for k in want)
+        edges = {}
+        for r in got:
+            if r.b is not None:
+                edges.setdefault(r.key, []).append((r.a, r.b))
+        for k, v in want.items():
+            assert set(components(v, edges.get(k, [])).values()) == {min(v)}
+
+
 def test_shingles_and_minima():
     cache = words.WordHash()
     texts = ["a b c d", "", "b c", "A b C d", "x"]
