@@ -26,7 +26,6 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +38,12 @@ RECALL = 0.9999
 POSITION_BITS = 24
 RUN, PARAGRAPH, BAND = 0, 1, 2  # lowest two bits of a bucket's key
 POSTED = 1 << 20
-_END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*\s+|[。！？][.!?…。！？]*[\"'”’)\]」』】）]*\s*|\n\s*")
+CHUNK = 1 << 18
+_BASE = 0x9E3779B97F4A7C15
+#: What a byte counts in the hash of a word: white space nothing.
+_VALUE = np.where(np.isin(np.arange(256), [9, 10, 11, 12, 13, 32]), 0, np.arange(1, 257)).astype(np.uint64)
+#: Begins with one set of characters, which a search skips to.
+_END = re.compile(r"[.!?…。！？\n](?:(?<!\n)[.!?…。！？]*[\"'”’)\]]*\s+|(?<=[。！？])[.!?…。！？]*[\"'”’)\]」』】）]*\s*|(?<=\n)\s*)")
 # Thai, Lao, Myanmar, Khmer, kana and Han.
 _UNSPACED = re.compile("[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]")
 
@@ -66,18 +70,6 @@ def words_of(text: str) -> tuple[list[bytes], int]:
     return found, len(found) - characters // 2
 
 
-def words_of_all(text: str, spans: list[tuple[int, int]]) -> list[tuple[list[bytes], int]]:
-    """``words_of`` each paragraph; of a text in ASCII, letters are lower-cased at once."""
-    if text.isascii():
-        low = text.encode().lower()
-        found = [low[start:end].split() for start, end in spans]
-    elif _UNSPACED.search(text):
-        return [words_of(text[start:end]) for start, end in spans]
-    else:
-        found = [words.ascii_words(text[start:end]) for start, end in spans]
-    return [(own, len(own)) for own in found]
-
-
 def pieces(sizes: list[int], min_words: int) -> list[tuple[int, int, int]]:
     """First and last (exclusive) paragraph of all that is compared, and its number: each paragraph of ``min_words``
     words and more by itself, its number its place; and the runs of as many words that start or end with a shorter
@@ -119,75 +111,140 @@ def run_at(number: int, size_of, n: int, min_words: int) -> tuple[int, int] | No
     return (i, end) if size >= min_words else None
 
 
+def runs_at(numbers: np.ndarray, total: np.ndarray, begin: np.ndarray, end: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """``run_at`` of many numbers at once: ``total`` has the words before each paragraph of several texts and before the
+    end, ``begin`` and ``end`` the paragraphs of each number's text.  What is no run is empty."""
+    at = begin + (numbers >> 1)
+    known = at < end
+    at = np.where(known, at, 0)
+    first = np.where(numbers & 1, np.searchsorted(total, total[at + 1] - min_words, "right") - 1, at)
+    last = np.where(numbers & 1, at + 1, np.searchsorted(total, total[at] + min_words))
+    known &= (first >= begin) & (last <= end)
+    return np.where(known, first, 0), np.where(known, last, 0)
+
+
 def _name(doc_id: int, position: int) -> int:
     if position >> POSITION_BITS or abs(doc_id) >> (63 - POSITION_BITS):
         raise ValueError(f"paragraph {position} of document {doc_id} has no 64-bit name")
     return (doc_id << POSITION_BITS) + position
 
 
-def _digest(found: list[bytes]) -> bytes:
-    return xxhash.xxh64_digest(b" ".join(found)) if found else b""
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]), dtype=np.uint64)
 
 
-def _run_digest(digests, first: int, end: int) -> bytes:
-    return xxhash.xxh64_digest(b"".join([digests[i] for i in range(first, end)]), seed=29)
+def word_hashes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the words of ``text`` (bytes) that start there; white space counts nothing."""
+    out = np.empty(len(starts), np.uint64)
+    ends = np.append(starts, len(text))
+    powers = _powers(_BASE, int(np.diff(ends).max(initial=0)))
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(text), CHUNK)), len(starts)))
+    for i, j in zip(cuts, cuts[1:]):
+        own = text[ends[i]:ends[j]]
+        place = np.arange(len(own)) - np.repeat(ends[i:j] - ends[i], np.diff(ends[i:j + 1]))
+        out[i:j] = np.add.reduceat(_VALUE[own] * powers[place], ends[i:j] - ends[i])
+    return words.mix(out)
 
 
-def _class(digests, first: int, end: int) -> int:
-    """Key of the class of equal paragraphs or runs, from the digests of their paragraphs."""
-    if end - first == 1:
-        return int.from_bytes(digests[first], "big", signed=True) & ~3 | PARAGRAPH
-    return int.from_bytes(_run_digest(digests, first, end), "big", signed=True) & ~3 | RUN
+def _between(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers from each first to its end, one after the other."""
+    n = end - first
+    return np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
 
 
-def _names(doc_ids: list[int], numbers: list[int]) -> np.ndarray:
-    ids, places = np.array(doc_ids, np.int64), np.array(numbers, np.int64)
-    for bad in np.flatnonzero((places >> POSITION_BITS != 0) | (np.abs(ids) >> (63 - POSITION_BITS) != 0))[:1].tolist():
-        _name(doc_ids[bad], numbers[bad])
-    return (ids << POSITION_BITS) + places
+class Read:
+    """The paragraphs of several texts, one after the other.
 
+    ``hashes`` has their words', ``words`` the place of each paragraph's first word there and the end, ``sizes`` what its words
+    count for, ``total`` the sums of these before each paragraph and the end, ``keys`` the key of its class."""
 
-def _keys(digests: list[bytes], kind: int) -> np.ndarray:
-    return np.frombuffer(b"".join(digests), ">i8").astype(np.int64) & ~3 | kind
+    def __init__(self, texts: list[str], spans: list[list[tuple[int, int]]]):
+        parts, lengths, unspaced = [], [], []
+        for text, own in zip(texts, spans):
+            if text.isascii():
+                parts.append(text.encode())
+                lengths += [end - start for start, end in own]
+                continue
+            cut = [text[start:end] for start, end in own]
+            if _UNSPACED.search(text):
+                for i, x in enumerate(cut):
+                    cut[i], characters = _UNSPACED.subn(r" \g<0> ", x)
+                    unspaced.append((len(lengths) + i, characters))
+            cut = [x.encode("utf-8", "surrogatepass") for x in cut]
+            parts += cut
+            lengths += map(len, cut)
+        text = np.frombuffer(b"".join(parts).lower(), np.uint8)
+        lengths = np.array(lengths, np.int64)
+        begin = np.cumsum(lengths) - lengths
+        black = _VALUE[text] > 0
+        start = black.copy()
+        start[1:] &= ~black[:-1]
+        start[begin] = black[begin]
+        starts = np.flatnonzero(start)
+        self.hashes = word_hashes(text, starts)
+        self.words = np.searchsorted(starts, np.append(begin, len(text)))
+        n = np.diff(self.words)
+        self.sizes = n.copy()
+        for i, characters in unspaced:
+            self.sizes[i] -= characters // 2
+        self.total = np.concatenate([[0], np.cumsum(self.sizes)])
+        full = n > 0
+        place = np.arange(len(self.hashes)) - np.repeat(self.words[:-1], n)
+        digests = np.zeros(len(n), np.uint64)
+        if full.any():
+            sums = np.add.reduceat(words.mix(self.hashes + (place + 1).astype(np.uint64) * np.uint64(_BASE)), self.words[:-1][full])
+            digests[full] = words.mix(sums + n[full].astype(np.uint64))
+        self.keys = digests.astype(np.int64) & ~3 | PARAGRAPH
+        self._rank = np.concatenate([[0], np.cumsum(full)])
+        self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digests * _powers(_BASE, len(n))[self._rank[:-1]], dtype=np.uint64)])
+        self._back = _powers(pow(_BASE, -1, 1 << 64), len(n))
+
+    def classes(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Keys of the classes of equal paragraphs or runs, from the digests of their paragraphs with words."""
+        runs = words.mix((self._sums[end] - self._sums[first]) * self._back[self._rank[first]])
+        single = end - first == 1
+        keys = runs.astype(np.int64) & ~3 | RUN
+        keys[single] = self.keys[first[single]]
+        return keys
+
+
+def _names(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    for bad in np.flatnonzero((places >> POSITION_BITS != 0) | (np.abs(ids) >> (63 - POSITION_BITS) != 0))[:1]:
+        _name(int(ids[bad]), int(places[bad]))
+    return (ids << POSITION_BITS) + places
 
 
 def _post(k: int, bands: int, min_words: int):
     """Postings: the name of each paragraph and run under the key of its class, and each class of paragraphs under the
     keys of its bands, once for as long as the task remembers it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, factors, posted = words.WordHash(), words.multipliers(bands * ROWS, seed=29), set()
+        factors, posted = words.multipliers(bands * ROWS, seed=29), set()
         for batch in words.slices(batches):
-            alone, sequences, alone_in, alone_at, joined, joined_in, joined_at = [], [], [], [], [], [], []
             if len(posted) > POSTED:
                 posted.clear()
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                found = words_of_all(text, paragraphs(text))
-                digests = [_digest(own) for own, _ in found]
-                for first, end, number in pieces([size for _, size in found], min_words):
-                    if end - first == 1:
-                        alone.append(digests[first] or bytes(8))
-                        sequences.append(found[first][0])
-                        alone_in.append(doc_id)
-                        alone_at.append(number)
-                    else:
-                        joined.append(_run_digest(digests, first, end))
-                        joined_in.append(doc_id)
-                        joined_at.append(number)
-            if not alone and not joined:
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            spans = [paragraphs(x) for x in texts]
+            read, at, found, counts = Read(texts, spans), 0, [], []
+            sizes = read.sizes.tolist()
+            for own in spans:
+                found.append(pieces(sizes[at:at + len(own)], min_words))
+                at += len(own)
+            counts = np.array([len(x) for x in found], np.int64)
+            first, end, number = np.fromiter(chain.from_iterable(chain.from_iterable(found)), np.int64, 3 * int(counts.sum())).reshape(-1, 3).T
+            if not len(first):
                 continue
-            keys = _keys(alone, PARAGRAPH)
-            classes, at = np.unique(keys, return_index=True)
+            before = np.cumsum([0, *map(len, spans)])[:-1]
+            first, end = first + np.repeat(before, counts), end + np.repeat(before, counts)
+            keys, names = read.classes(first, end), _names(np.repeat(batch.column(0).to_numpy(), counts), number)
+            single = np.flatnonzero(end - first == 1)
+            classes, at = np.unique(keys[single], return_index=True)
             new = np.fromiter((x not in posted for x in classes.tolist()), bool, len(classes))
-            classes, at = classes[new], at[new].tolist()
+            classes, at = classes[new], first[single[at[new]]]
             posted.update(classes.tolist())
-            sequences = [sequences[i] for i in at]
-            lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
-            flat = np.fromiter(map(cache.__getitem__, chain.from_iterable(sequences)), np.uint64, int(lengths.sum()))
-            banded = words.band_keys(words.min_hashes(*words.flat_shingles(flat, lengths, k), factors), bands).ravel() & ~np.uint64(3) | np.uint64(BAND)
-            yield buckets.packed(np.concatenate([keys, _keys(joined, RUN), banded.astype(np.int64)]),
-                                 np.concatenate([_names(alone_in, alone_at), _names(joined_in, joined_at), np.repeat(classes, bands)]))
+            own = read.words[at], read.words[at + 1]
+            values, starts = words.flat_shingles(read.hashes[_between(*own)], own[1] - own[0], k)
+            banded = words.band_keys(words.min_hashes(values, starts, factors), bands).ravel() & ~np.uint64(3) | np.uint64(BAND)
+            yield buckets.packed(np.concatenate([keys, banded.astype(np.int64)]), np.concatenate([names, np.repeat(classes, bands)]))
 
     return run
 
@@ -202,17 +259,17 @@ def _fetch():
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches):
-            keys, out = [], []
-            for text, wanted in zip(batch.column(0), batch.column(1)):
-                text = text.as_py()
+            asked = zip(*(x.to_pylist() for x in batch.column(1).flatten().flatten()))
+            keys, found = [], []
+            for text, k in zip(batch.column(0).to_pylist(), batch.column(1).value_lengths().to_pylist()):
                 spans = paragraphs(text)
-                for x in wanted.as_py():
-                    if x["position"] < len(spans):
-                        own, _ = words_of(text[slice(*spans[x["position"]])])
-                        if own and _class([_digest(own)], 0, 1) == x["id"]:  # else of another text with the doc_id
-                            keys.append(x["id"])
-                            out.append(b" ".join(own))
-            yield words.batch_of(schema, keys, out)
+                for position, key in islice(asked, k):
+                    if position < len(spans):
+                        keys.append(key)
+                        found.append(text[slice(*spans[position])])
+            read = Read(found, [[(0, len(x))] for x in found])
+            same = np.flatnonzero((read.keys == np.array(keys, np.int64)) & (np.diff(read.words) > 0)).tolist()  # else of another text with the doc_id
+            yield words.batch_of(schema, [keys[i] for i in same], [b" ".join(words_of(found[i])[0]) for i in same])
 
     return run
 
@@ -295,48 +352,36 @@ def _place_of(name: str):
     return F.col(name).bitwiseAND((1 << POSITION_BITS) - 1).cast("int")
 
 
-class _Once(dict):
-    """Values of a function, each found once."""
-
-    def __init__(self, find):
-        self.find = find
-
-    def __missing__(self, x):
-        self[x] = value = self.find(x)
-        return value
-
-
-def _gone(text: str, spans: list[tuple[int, int]], wanted: list[tuple[int, int, int | None]], min_words: int) -> bytearray:
-    """Which paragraphs go; ``wanted`` has key, number and, of a component that stays in this text, the number that stays."""
-    n = len(spans)
-    if 4 * len(wanted) >= n:
-        own = words_of_all(text, spans)
-        digests, size_of = [_digest(found) for found, _ in own], [size for _, size in own].__getitem__
-    else:
-        own = _Once(lambda i: words_of(text[slice(*spans[i])]))
-        digests, size_of = _Once(lambda i: _digest(own[i][0])), _Once(lambda i: own[i][1]).__getitem__
-    gone = bytearray(n)
-
-    def place(kind: int, number: int) -> tuple[int, int] | None:
-        if kind == RUN:
-            return run_at(number, size_of, n, min_words)
-        return (number, number + 1) if number < n else None
-
-    for key, number, stays in wanted:
-        at = place(key & 3, number)
-        if at is None or _class(digests, *at) != key:
-            continue  # of another text with the doc_id
-        first, end = at
-        a, b = (place(key & 3, stays) if stays is not None else None) or (end, end)  # may overlap
-        for p, q in ((first, min(end, a)), (max(first, b), end)):
-            if q > p:
-                gone[p:q] = b"\1" * (q - p)
-    last = None
-    for q in [i for i, g in enumerate(gone) if g and size_of(i) >= min_words]:
-        if last is not None and q > last + 1 and all(gone[i] or size_of(i) < min_words for i in range(last + 1, q)):
-            gone[last:q] = b"\1" * (q - last)
-        last = q
-    return gone
+def _covered(n: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of ``n`` are from a first to its end."""
+    some = end > first
+    return np.cumsum(np.bincount(first[some], minlength=n + 1) - np.bincount(end[some], minlength=n + 1))[:n] > 0
+
+
+def _gone(read: Read, begin: np.ndarray, counts: np.ndarray, key: np.ndarray, number: np.ndarray, stays: np.ndarray, min_words: int) -> np.ndarray:
+    """Which paragraphs go.  ``begin`` has the first paragraph of each text and the end, ``counts`` the wanted ones of each
+    text, with key, number and, of a component that stays in this text, the number that stays, or -1."""
+    n, low, high = len(read.sizes), np.repeat(begin[:-1], counts), np.repeat(begin[1:], counts)
+
+    def places(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, end = runs_at(numbers, read.total, low, high, min_words)
+        at = low + numbers
+        single, known = key & 3 != RUN, at < high
+        return np.where(single, np.where(known, at, 0), first), np.where(single, np.where(known, at + 1, 0), end)
+
+    if not n:
+        return np.zeros(0, bool)
+    first, end = places(number)
+    same = (end > first) & (read.classes(first, end) == key)  # else of another text with the doc_id
+    a, b = places(np.maximum(stays, 0))
+    there = (stays >= 0) & (b > a)
+    a, b = np.where(there, a, end), np.where(there, b, end)  # may overlap
+    gone = _covered(n, np.concatenate([first[same], np.maximum(first, b)[same]]), np.concatenate([np.minimum(end, a)[same], end[same]]))
+    long = np.flatnonzero(read.sizes >= min_words)
+    text = np.searchsorted(begin, long, "right")
+    p, q = long[:-1], long[1:]
+    both = gone[p] & gone[q] & (text[:-1] == text[1:])
+    return gone | _covered(n, p[both], q[both])
 
 
 def _cut(min_words: int):
@@ -345,28 +390,30 @@ def _cut(min_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches):
-            wanted = zip(*(x.to_pylist() for x in batch.column(2).flatten().flatten()))
-            sizes, removed, left, ends, starts, lengths = [], [], [], [0], [], []
-            for text, k in zip(batch.column(1).to_pylist(), batch.column(2).value_lengths().to_pylist()):
-                spans = paragraphs(text)
-                sizes.append(len(spans))
-                n = 0
-                if k:
-                    gone, keep, after = _gone(text, spans, list(islice(wanted, k)), min_words), [], 0
-                    for (start, end), g in zip(spans, gone):
-                        if g:
-                            n += 1
-                            starts.append(start)
-                            lengths.append(end - start)
-                            keep.append(text[after:start])
-                            after = end
-                    text = "".join([*keep, text[after:]])
-                removed.append(n)
-                left.append(text)
-                ends.append(len(starts))
+            key, number, stays = batch.column(2).flatten().flatten()
+            counts = batch.column(2).value_lengths().fill_null(0).to_numpy()
+            texts = batch.column(1).to_pylist()
+            spans = [paragraphs(x) for x in texts]
+            removed, starts, lengths = np.zeros(len(texts), np.int32), [], []
+            some = np.flatnonzero(counts)
+            begin = np.cumsum([0, *(len(spans[i]) for i in some.tolist())])
+            read = Read([texts[i] or "" for i in some.tolist()], [spans[i] for i in some.tolist()])
+            gone = _gone(read, begin, counts[some], key.to_numpy(), number.to_numpy().astype(np.int64), stays.fill_null(-1).to_numpy().astype(np.int64), min_words)
+            for i, p, q in zip(some.tolist(), begin.tolist(), begin[1:].tolist()):
+                text, keep, after = texts[i] or "", [], 0
+                own = np.flatnonzero(gone[p:q]).tolist()
+                for x in own:
+                    start, end = spans[i][x]
+                    starts.append(start)
+                    lengths.append(end - start)
+                    keep.append(text[after:start])
+                    after = end
+                texts[i] = "".join([*keep, text[after:]])
+                removed[i] = len(own)
+            ends = np.concatenate([[0], np.cumsum(removed)])
             gone = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(lengths, pa.int32())], fields=list(schema.field("removed").type.value_type))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(removed, pa.int32()),
-                                              pa.ListArray.from_arrays(pa.array(ends, pa.int32()), gone, type=schema.field("removed").type), pa.array(left, pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in spans], pa.int32()), pa.array(removed),
+                                              pa.ListArray.from_arrays(pa.array(ends, pa.int32()), gone, type=schema.field("removed").type), pa.array(texts, pa.string())], schema=schema)
 
     return run
 

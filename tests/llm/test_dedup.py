@@ -253,6 +253,36 @@ def test_runs_are_found_again_by_their_number():
         assert len({(b - a > 1, number) for a, b, number in got}) == len(got)
 
 
+def test_many_runs_are_found_as_one_by_one():
+    draw = random.Random(4)
+    texts = [[draw.choice([0, 0, 1, 2, 3, 5, 7, 8, 12]) for _ in range(draw.randrange(12))] for _ in range(200)]
+    asked = [(i, number) for i, sizes in enumerate(texts) for number in range(2 * len(sizes) + 3)]
+    begin = np.cumsum([0, *map(len, texts)])
+    low, high = np.array([[begin[i], begin[i + 1]] for i, _ in asked]).T
+    first, end = op2.runs_at(np.array([number for _, number in asked]), np.cumsum([0, *sum(texts, [])]), low, high, 8)
+    want = [op2.run_at(number, texts[i].__getitem__, len(texts[i]), 8) for i, number in asked]
+    assert [(a - at, b - at) if b > a else None for a, b, at in zip(first.tolist(), end.tolist(), low.tolist())] == want
+
+
+def test_classes_of_paragraphs_and_runs_are_those_of_their_words(monkeypatch):
+    draw = random.Random(6)
+    unit = lambda: "".join(draw.choice(["a", "B", "b", "é", "あ", " ", "\t", "\xa0", "\x1c", "。", ". ", "!\n", "."]) for _ in range(draw.randrange(1, 9)))
+    texts = ["".join(unit() for _ in range(draw.randrange(40))) for _ in range(300)] + ["", " \n\n ", "x" * 300, "\udcff. \udcff"]
+    spans = [op2.paragraphs(t) for t in texts]
+    read = op2.Read(texts, spans)
+    own = [op2.words_of(t[s:e]) for t, cut in zip(texts, spans) for s, e in cut]
+    assert read.sizes.tolist() == [size for _, size in own] and np.diff(read.words).tolist() == [len(found) for found, _ in own]
+    at, ranges = 0, []
+    for cut in spans:
+        ranges += [(i, j) for i in range(at, at + len(cut)) for j in range(i + 1, min(i + 5, at + len(cut) + 1))]
+        at += len(cut)
+    said = [(j - i == 1, tuple(tuple(found) for found, _ in own[i:j] if found)) for i, j in ranges]
+    keys = read.classes(*np.array(ranges).T).tolist()
+    assert len(set(keys)) == len(set(said)) == len(set(zip(keys, said))) < len(said)
+    monkeypatch.setattr(op2, "CHUNK", 7)
+    assert op2.Read(texts, spans).keys.tolist() == read.keys.tolist()
+
+
 def test_versions_of_a_document_and_copies_in_one_text(spark):
     one, two, three = (paragraph(s) for s in (701, 702, 703))
     rows = [(1, one + two), (1, three), (1, two + three + one), (2, one + three), (3, two + "Hm. " + two + three + "Oh. " + one)]
