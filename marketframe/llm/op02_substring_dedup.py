@@ -315,7 +315,8 @@ def _side(table: DataFrame, end: str) -> DataFrame:
 
 def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = RECALL, min_words: int = MIN_WORDS) -> DataFrame:
     """(key, name, component) of every paragraph or run that is similar to another one, the first of a component
-    included; key is its class, a name holds the doc_id and, in its lowest 24 bits, its number in ``pieces``."""
+    included; key is its class, a name holds the doc_id and, in its lowest 24 bits, its number in ``pieces``.  Names in
+    rows that repeat a doc_id may come again."""
     bands = tuned_bands(percent, recall)
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = land(buckets.packed_edges(docs.mapInArrow(_post(k, bands, min_words), buckets.PACKED_TYPE), _firsts))
@@ -333,14 +334,14 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, recall:
 
     label = buckets.linked_components(edges, links_among, lambda ids: fetched.join(ids, "id"), _tile(k, percent)) \
         .select(F.col("id").alias("key"), F.col("component").alias("whole"))
-    copies = found.where((kind != BAND) & F.col("b").isNotNull()).select("key", F.explode(F.array("a", "b")).alias("name"))
-    linked = needed.select(F.col("id").alias("key"), "name").join(label, "key", "left_semi")
-    named = land(copies.union(linked).distinct())
-    classes = land(named.groupBy("key").agg(F.min("name").alias("first")).join(label, "key", "left")
+    copies = found.where((kind != BAND) & F.col("b").isNotNull())  # every member but the class's first is a b, the first an a
+    linked = needed.select("id", "name").join(label.select(F.col("key").alias("id")), "id", "left_semi")
+    classes = land(copies.select("key", "a").union(linked).groupBy("key").agg(F.min("a").alias("first")).join(label, "key", "left")
                    .select("key", "first", F.coalesce("whole", "key").alias("whole")))
     first = classes.groupBy("whole").agg(F.min("first").alias("component"))
-    out = land(named.join(classes.join(first, "whole").select("key", "component"), "key").select("key", "name", "component"))
-    release(found, needed, fetched, named, classes)
+    classes_of = land(classes.join(first, "whole").select("key", "first", "component"))
+    out = land(copies.select("key", F.col("b").alias("name")).join(classes_of.select("key", "component"), "key").union(classes_of))
+    release(found, needed, fetched, classes, classes_of)
     return out
 
 
